@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .language_id import identify
+from .lattice_lm import score_texts
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -19,6 +22,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.expr("crc32(cast(doc_id as string)) % 4 = 2")
+    found = identify(table(spark, sf_dir, "documents"), training=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.expr("crc32(cast(doc_id as string)) % 10 = 0")
+    found = score_texts(table(spark, sf_dir, "documents"), training=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -33,6 +48,8 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_lattice_lm": op7_lattice_lm,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_voronoi_topk": op10_voronoi_topk,
