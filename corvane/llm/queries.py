@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_leaks
 from .language_id import identify
 from .lattice_lm import score_texts
+from .line_dedup import line_dedup
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -18,6 +20,15 @@ from .voronoi_topk import topk_join
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -47,6 +58,8 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_lattice_lm": op7_lattice_lm,
@@ -55,7 +68,32 @@ QUERIES: dict[str, Query] = {
     "op10_voronoi_topk": op10_voronoi_topk,
 }
 
+LINES_SQL = """
+    SELECT doc_id, k, line, CASE WHEN filled THEN CAST(sum(CAST(filled AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) END AS pos
+    FROM (SELECT doc_id, k, line, trim(line, concat(' ', chr(9), chr(13))) <> '' AS filled
+          FROM (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS line
+                FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM {docs} WHERE text IS NOT NULL)))
+"""
+
+LATER_SQL = """
+    SELECT doc_id, pos FROM (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM {lines} WHERE pos IS NOT NULL)
+    WHERE nth > 1 AND length(line) >= 200
+    UNION
+    SELECT doc_id, unnest([pos, pos + 1]) FROM (
+        SELECT doc_id, pos, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) AS nth
+        FROM (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM {lines} WHERE pos IS NOT NULL)
+        WHERE following IS NOT NULL)
+    WHERE nth > 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": f"""
+        WITH l AS ({LINES_SQL.format(docs="documents")}), g AS ({LATER_SQL.format(lines="l")})
+        SELECT l.doc_id, count(l.pos) AS n_lines, count(g.pos) AS n_removed,
+               coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE g.pos IS NULL), '') AS text
+        FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos
+        GROUP BY l.doc_id
+    """,
     "op10_voronoi_topk": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
