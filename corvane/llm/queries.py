@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_leaks
+from .html_extract import extract_pages
 from .language_id import identify
 from .lattice_lm import score_texts
 from .line_dedup import line_dedup
+from .ngram_jaccard import jaccard_join
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -24,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"))
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
@@ -33,6 +39,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.expr("crc32(cast(doc_id as string)) % 4 = 2")
     found = identify(table(spark, sf_dir, "documents"), training=~held_out)
@@ -59,8 +69,10 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_best_fit_packing": op8_best_fit_packing,
