@@ -39,7 +39,7 @@ from .common import texts
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -85,11 +85,6 @@ class Index:
             for k, x in p:
                 at = self.number[w], k // BLOCK
                 self.block_max[at] = max(self.block_max[at], x)
-        # Words of a tenth of all items are counted once for each passage, present or not.
-        common = [self.number[w] for w, n in df.items() if n * 10 >= len(words)]
-        self.always = self.block_max[common].sum(0)
-        self.rare_max = self.block_max.copy()
-        self.rare_max[common] = 0
 
     def retrieve(self, words: set[str], threshold: float) -> list[tuple[int, float]]:
         """All items whose share of their own score from these words reaches the threshold: block-max WAND."""
@@ -132,6 +127,19 @@ class Index:
             row[0] = own[row[1]] if row[1] < len(own) else -1
         lists[:] = [row for row in lists if row[0] >= 0]
 
+    def bounds(self, ids: np.ndarray, passages: int) -> np.ndarray:
+        """The highest sum of block maxima, over each passage's distinct words, of any block."""
+        step, width = self.longest, len(self.number) + 1
+        at = np.flatnonzero(ids < width - 1)
+        of = at // step  # the passage that begins in this step; the one before holds the word too
+        key = np.concatenate([of * width + ids[at], ((of - 1) * width + ids[at])[of > 0]])
+        key = np.unique(key[key < passages * width])
+        out, of = np.zeros(passages), key // width
+        if len(key):
+            begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            out[of[begin]] = np.add.reduceat(self.block_max[key % width], begin, axis=0).max(1)
+        return out
+
     def leaks(self, words: list[str], threshold: float) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of all passages of a document."""
         step = self.longest
@@ -141,12 +149,7 @@ class Index:
         best: dict[int, tuple[float, float, float]] = {}
         for base in range(0, len(starts), 256):  # bounded memory on long texts
             own = starts[base : base + 256]
-            part = ids[own[0] : own[-1] + 2 * step]
-            sums = np.zeros((len(part) + 1, self.rare_max.shape[1]))
-            np.cumsum(self.rare_max[part], axis=0, out=sums[1:])
-            ends = np.minimum(own - own[0] + 2 * step, len(part))
-            bound = (sums[ends] - sums[own - own[0]] + self.always).max(1)
-            for s in own[bound >= threshold - 1e-4].tolist():
+            for s in own[self.bounds(ids[own[0] : own[-1] + 2 * step], len(own)) >= threshold - 1e-4].tolist():
                 passage = words[s : s + 2 * step]
                 hits = self.retrieve(set(passage), threshold)
                 if not hits:
@@ -164,7 +167,7 @@ class Index:
         return [(self.ids[k], *row) for k, row in best.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, ngram: int = 5, items_at_once: int = 2000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, ngram: int = 5, items_at_once: int = 1000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each leaked item in each document."""
     spark = docs.sparkSession
     own = texts(docs, id_col, text_col)
