@@ -74,12 +74,21 @@ def later_lines(docs: DataFrame, min_lines: int = 2, long_line: int = 200) -> Da
     return out
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once for each row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def kept_text(text: Column, gone: Column) -> Column:
     """The text without the lines numbered in gone (null: none)."""
-    every = F.split(text, "\n", -1)
-    at = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: F.trim(every[i], F.lit(" \t\r")) != "")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.transform(gone, lambda k: at[k]))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: every[i]), "\n"))
+
+    def cut(every: Column) -> Column:
+        all_ = F.sequence(F.lit(0), F.size(every) - 1)
+        filled = F.filter(all_, lambda i: F.trim(every[i], F.lit(" \t\r")) != "")
+        kept = bound(filled, lambda at: F.array_except(all_, F.transform(gone, lambda k: at[k])))
+        return F.array_join(F.transform(kept, lambda i: every[i]), "\n")
+
+    return F.when(gone.isNull(), text).otherwise(bound(F.split(text, "\n", -1), cut))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2, long_line: int = 200, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
@@ -87,7 +96,7 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, long_line: int = 200, id_col
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    gone = later_lines(own, min_lines, long_line).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
+    gone = later_lines(own, min_lines, long_line).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")).hint("merge")
     joined = docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left")
     text = F.col(text_col)
     out = [kept_text(text, F.col("__gone")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
