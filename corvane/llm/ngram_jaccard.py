@@ -269,7 +269,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tolera
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     members = groups.join(sizes, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("group"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
     members = scratch.keep(members.join(classes.select(F.col("copy_of").alias("doc_id"), "copies"), "doc_id"), "members")
-    held = scratch.keep(with_sets(own.join(members, "doc_id"), ngram).dropDuplicates(["doc_id"]), "held")
+    held = scratch.keep(with_sets(own.join(members.hint("merge"), "doc_id"), ngram).dropDuplicates(["doc_id"]), "held")
     dealt = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other", "blocks")
@@ -286,5 +286,5 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tolera
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are the smallest of their class, with all their columns; rows without an id stay."""
-    gone = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).where("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).where("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct().hint("merge")
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
