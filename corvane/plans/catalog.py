@@ -2,5 +2,369 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import text as T
+from corvane.operators import datasets as D
+from corvane.operators import evaluation as E
+from corvane.operators import retrieval as R
+from corvane.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Fixed values of the context block.
+HEADER, FOOTER, BUDGET = "[Retrieved clinical references]", "[End of references]", 2000
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("report"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer turns as scored rows: the question stands in for a prediction."""
+    qa = D.question_answers(load(spark, sf_dir, "conversations"))
+    return qa.select("qa_id", "conv_id", "turn", F.col("question").alias("prediction"), "answer")
+
+
+PUNCT_SQL = "'" + T.PUNCTUATION.replace("'", "''") + "'"
+
+
+def norm_sql(c: str) -> str:
+    bare = f"translate(trim(lower({c})), {PUNCT_SQL}, '')"
+    return rf"array_to_string(list_filter(regexp_split_to_array({bare}, '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the')), ' ')"
+
+
+def unicode_sql(c: str) -> str:
+    bare = rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g')"
+    return rf"array_to_string(list_filter(regexp_split_to_array({bare}, '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the')), ' ')"
+
+
+def em_sql(p: str, g: str) -> str:
+    return f"CASE WHEN {g} = '' THEN {p} = '' ELSE {p} = {g} OR contains(' ' || {p} || ' ', ' ' || {g} || ' ') END"
+
+
+QA_SQL = """
+    SELECT conv_id, concat(conv_id, '_qa', row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS qa_id, turn, question, answer
+    FROM (
+        SELECT conv_id, turn, h, text AS answer, lag(h) OVER o AS before, lag(text) OVER o AS question
+        FROM (SELECT *, role = 'user' AS h FROM conversations WHERE role <> 'system')
+        WHERE h OR trim(coalesce(text, '')) <> ''
+        WINDOW o AS (PARTITION BY conv_id ORDER BY turn)
+    ) WHERE NOT h AND before
+"""
+
+BM25_SQL = """
+    WITH tok AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+    tf AS (SELECT row_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+    dl AS (SELECT row_id, sum(tf) AS dl FROM tf GROUP BY ALL),
+    n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM documents) AS mean),
+    raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, n GROUP BY term),
+    idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+    q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+    s AS (SELECT query_id, row_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score
+          FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (row_id), n GROUP BY ALL),
+    f AS (SELECT item_id AS query_id, doc_id AS row_id, coalesce(score, 0) AS score
+          FROM benchmark CROSS JOIN documents LEFT JOIN s ON s.query_id = item_id AND s.row_id = doc_id WHERE coalesce(benchmark.text, '') <> ''),
+    bm AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM f)
+"""
+
+DENSE_SQL = """
+    ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    dn AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank
+           FROM (SELECT q.vec_id AS query_id, d.vec_id AS row_id, list_inner_product(q.v, d.v) AS score FROM ve q JOIN ve d ON d.vec_id <> q.vec_id WHERE q.vec_id % 25 = 0))
+"""
+
+
+@query(BM25_SQL + "SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 6) AS score FROM bm WHERE rank <= 5")
+def bm25_topk(spark, sf_dir):
+    return R.bm25_topk(corpus(spark, sf_dir), items(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
+
+
+@query(BM25_SQL + "SELECT term, df, round(idf, 9) AS idf FROM idf")
+def bm25_term_stats(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return R.term_stats(R.postings(docs), docs.count()).withColumn("idf", F.round("idf", 9))
+
+
+@query("WITH " + DENSE_SQL + "SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 6) AS score FROM dn WHERE rank <= 5")
+def dense_topk(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    asked = vectors.where("row_id % 25 = 0").select(F.col("row_id").alias("query_id"), "vec")
+    return R.dense_topk(vectors, asked, 5, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+@query(
+    BM25_SQL.rstrip() + "," + DENSE_SQL + """,
+    li AS (SELECT query_id, row_id, rank, 0 AS list_no, 0.7 AS w FROM bm WHERE rank <= 20
+           UNION ALL SELECT query_id, row_id, rank, 1, 0.3 FROM dn WHERE rank <= 20 AND query_id IN (SELECT item_id FROM benchmark)),
+    fu AS (SELECT query_id, row_id, sum(w / (60 + rank)) AS score, min(list_no * 1000 + rank) AS first FROM li GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first) AS rank FROM fu)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 9) AS score FROM rk WHERE rank <= 10"""
+)
+def rrf_hybrid(spark, sf_dir):
+    asked = items(spark, sf_dir)
+    sparse = R.bm25_topk(corpus(spark, sf_dir), asked, 20)
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    wanted = vectors.where("row_id % 25 = 0").join(asked.select(F.col("query_id").alias("row_id")), "row_id", "left_semi")
+    dense = R.dense_topk(vectors, wanted.select(F.col("row_id").alias("query_id"), "vec"), 20, exclude_self=True)
+    return R.fuse([(sparse, 0.7), (dense, 0.3)], 20).where("rank <= 10").withColumn("score", F.round("score", 9))
+
+
+@query(
+    BM25_SQL.rstrip() + f""",
+    en AS (SELECT query_id, rank, '[' || rank || '] (text) ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS entry FROM bm JOIN documents ON doc_id = row_id WHERE rank <= 5),
+    ru AS (SELECT *, {len(HEADER)} + sum(length(entry) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM en),
+    ft AS (SELECT query_id, rank, CASE WHEN cum <= {BUDGET} THEN entry
+                WHEN cum - length(entry) - 1 <= {BUDGET} AND {BUDGET} - (cum - length(entry) - 1) - 1 > 0
+                THEN rtrim(left(entry, CAST({BUDGET} - (cum - length(entry) - 1) - 1 AS BIGINT))) END AS entry FROM ru)
+    SELECT query_id, count(entry) AS n_kept, array_to_string(list_concat(['{HEADER}'], coalesce(list(entry ORDER BY rank) FILTER (WHERE entry IS NOT NULL), []), ['{FOOTER}']), chr(10)) AS context
+    FROM ft GROUP BY query_id"""
+)
+def context_pack(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    top = R.attach(R.bm25_topk(docs, items(spark, sf_dir), 5), docs)
+    flat = F.trim(F.regexp_replace("report", r"(?U)\s+", " "))
+    entries = top.select("query_id", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (text) "), flat).alias("entry"))
+    return R.pack_context(entries, HEADER, FOOTER, BUDGET)
+
+
+@query(f"SELECT doc_id, {norm_sql('text')} AS plain, {unicode_sql('text')} AS unicode FROM documents")
+def normalizers(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.normalize_words(F.col("text")).alias("plain"), T.normalize_unicode(F.col("text")).alias("unicode"))
+
+
+@query(f"WITH q AS ({QA_SQL}), t AS (SELECT qa_id, {norm_sql('question')} AS p, {norm_sql('answer')} AS g, {unicode_sql('question')} AS pu, {unicode_sql('answer')} AS gu FROM q) SELECT qa_id, {em_sql('p', 'g')} AS em, {em_sql('pu', 'gu')} AS em_unicode FROM t")
+def exact_match(spark, sf_dir):
+    p, g = F.col("prediction"), F.col("answer")
+    return answers(spark, sf_dir).select("qa_id", T.exact_match(p, g).alias("em"), T.exact_match(p, g, T.normalize_unicode).alias("em_unicode"))
+
+
+@query(f"""
+    WITH q AS ({QA_SQL}), t AS (SELECT qa_id, list_filter(string_split({norm_sql('question')}, ' '), lambda w: w <> '') AS p, list_filter(string_split({norm_sql('answer')}, ' '), lambda w: w <> '') AS g FROM q),
+    o AS (SELECT qa_id, p, g, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) AS same FROM t)
+    SELECT qa_id, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) WHEN same = 0 THEN 0 ELSE 2.0 * same / (len(p) + len(g)) END, 9) AS f1 FROM o""")
+def token_f1(spark, sf_dir):
+    return answers(spark, sf_dir).select("qa_id", F.round(T.token_f1(F.col("prediction"), F.col("answer")), 9).alias("f1"))
+
+
+@query()
+def rouge_l(spark, sf_dir):
+    return answers(spark, sf_dir).select("qa_id", E.rouge_l("prediction", "answer").alias("rouge_l"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN lower(trim(text)) IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS by_text, CASE WHEN {norm_sql('text')} IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS by_words FROM conversations")
+def answer_type(spark, sf_dir):
+    t = F.col("text")
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_type(t, False).alias("by_text"), T.answer_type(t, True).alias("by_words"))
+
+
+@query(r"""
+    WITH y AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:1[6-9]\d{2}|20\d{2})\b')) AS s FROM documents)
+    SELECT documents.doc_id, count(DISTINCT s) AS n_years FROM documents LEFT JOIN y USING (doc_id) GROUP BY ALL""")
+def years(spark, sf_dir):
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(T.YEAR_PATTERN), F.lit(0)))
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_years"))
+
+
+@query()
+def extract_specifics(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.specifics(F.col("text")).alias("specifics"))
+
+
+@query("""
+    SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned,
+           CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 80 THEN trim(regexp_replace(text, '\\s+', ' ', 'g'))
+                ELSE rtrim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 77)) || '...' END AS short,
+           coalesce(nullif(trim(regexp_replace(left(text, 60), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'unnamed') AS name FROM conversations""")
+def text_shaping(spark, sf_dir):
+    t = F.col("text")
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_prompt(t).alias("cleaned"), T.shorten(t, 80).alias("short"), T.safe_name(F.left(t, F.lit(60)), "unnamed").alias("name"))
+
+
+@query(QA_SQL)
+def qa_flatten(spark, sf_dir):
+    return D.question_answers(load(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, max_by(text, turn) FILTER (WHERE role = 'user') AS last_human, max_by(text, turn) FILTER (WHERE role <> 'user') AS last_gpt, count(*) AS n_turns FROM conversations GROUP BY conv_id")
+def last_turns(spark, sf_dir):
+    c = D.conversations(load(spark, sf_dir, "conversations"))
+    return c.select("conv_id", D.last_turn(F.col("conversations"), "human").alias("last_human"), D.last_turn(F.col("conversations"), "gpt").alias("last_gpt"), F.size("conversations").cast("long").alias("n_turns"))
+
+
+SPLIT_SQL = "CASE WHEN CAST('0x' || substr(md5('42:' || {0}), 1, 8) AS BIGINT) / 4294967296.0 < {1} THEN 'test' ELSE 'train' END"
+
+
+@query(f"SELECT doc_id, source, {SPLIT_SQL.format('source', 0.2)} AS split FROM documents")
+def group_holdout(spark, sf_dir):
+    return D.group_split(load(spark, sf_dir, "documents").select("doc_id", "source"), "source", 0.2)
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
+def exact_sample(spark, sf_dir):
+    return D.exact_sample(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
+
+
+@query("""
+    WITH c AS (SELECT count(*) FILTER (WHERE toxic = 1) AS a, count(*) FILTER (WHERE toxic <> 1) AS b FROM labels),
+    q AS (SELECT least(b, 60 - least(a, 30)) AS qb, a FROM c), r AS (SELECT least(a, 60 - qb) AS qa, qb FROM q),
+    n AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5('42:' || doc_id), doc_id) AS nth FROM labels)
+    SELECT doc_id, toxic FROM n, r WHERE nth <= CASE WHEN toxic = 1 THEN qa ELSE qb END""")
+def stratified_sample(spark, sf_dir):
+    return D.stratified_sample(load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "toxic", 1, 60).select("doc_id", "toxic")
+
+
+@query(f"""
+    WITH q AS ({QA_SQL}), t AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'caption' ELSE 'qa' END AS record_type, length(answer) AS n, {em_sql(norm_sql('question'), norm_sql('answer'))} AS em FROM q)
+    SELECT CASE WHEN grouping(record_type) = 1 THEN 'overall' ELSE record_type END AS split, count(*) AS n, round(avg(n), 6) AS mean_length, round(avg(CAST(em AS INT)), 6) AS em
+    FROM t GROUP BY GROUPING SETS ((), (record_type))""")
+def score_by_split(spark, sf_dir):
+    kind = F.when(F.col("conv_id") % 2 == 0, "caption").otherwise("qa")
+    rows = answers(spark, sf_dir).withColumn("record_type", kind)
+    metrics = {"mean_length": F.length("answer"), "em": T.exact_match(F.col("prediction"), F.col("answer"))}
+    got = E.split_summary(rows, metrics)
+    return got.select("split", "n", F.round("mean_length", 6).alias("mean_length"), F.round("em", 6).alias("em"))
+
+
+@query(f"""
+    WITH q AS ({QA_SQL}), t AS (SELECT CASE WHEN {norm_sql('answer')} IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS k, {em_sql(norm_sql('question'), norm_sql('answer'))} AS em FROM q)
+    SELECT coalesce(avg(CAST(em AS INT)), 0) AS em_all, coalesce(avg(CAST(em AS INT)) FILTER (WHERE k = 'closed'), 0) AS em_closed, coalesce(avg(CAST(em AS INT)) FILTER (WHERE k = 'open'), 0) AS em_open,
+           count(*) AS n, count(*) FILTER (WHERE k = 'closed') AS n_closed, count(*) FILTER (WHERE k = 'open') AS n_open FROM t""")
+def em_summary(spark, sf_dir):
+    p, a = F.col("prediction"), F.col("answer")
+    return E.em_summary(answers(spark, sf_dir).select(T.exact_match(p, a).alias("em"), T.answer_type(a, True).alias("answer_type")))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents")
+def key_occurrence(spark, sf_dir):
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("row_key"))
+    return E.occurrence_keys(rows, position="doc_id").select("doc_id", F.col("nth").cast("long").alias("nth"))
+
+
+PAIR_SQL = """
+    SELECT CASE WHEN e.event_id % 3 = 0 THEN 'caption' ELSE 'qa' END AS kind, m.metric, e.value AS baseline, e.value * m.f AS target
+    FROM events e, (VALUES ('rougeL', 1.1), ('hallucination', 0.9)) m(metric, f) WHERE e.value IS NOT NULL
+"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events").select(F.array(F.lit("id"), F.col("event_id").cast("string")).alias("unique_key"), F.when(F.col("event_id") % 3 == 0, "caption").otherwise("qa").alias("record_type"), "value")
+    base = events.withColumn("metric", F.explode(F.array(F.lit("rougeL"), F.lit("hallucination"))))
+    other = base.withColumn("value", F.col("value") * F.when(F.col("metric") == "rougeL", 1.1).otherwise(0.9))
+    return E.paired(base, other)
+
+
+@query(f"""
+    WITH p AS ({PAIR_SQL}), s AS (SELECT unnest(['overall', kind]) AS split, metric, baseline, target FROM p)
+    SELECT split, metric, count(*) AS n, round(avg(baseline), 6) AS baseline_mean, round(avg(target), 6) AS target_mean, round(avg(target - baseline), 6) AS diff,
+           CASE metric WHEN 'rougeL' THEN 'higher' ELSE 'lower' END AS direction,
+           CASE metric WHEN 'rougeL' THEN avg(target - baseline) > 0 ELSE avg(target - baseline) < 0 END AS favors_target
+    FROM s GROUP BY split, metric""")
+def paired_delta(spark, sf_dir):
+    got = E.paired_delta(pairs(spark, sf_dir))
+    return got.withColumns({c: F.round(c, 6) for c in ("baseline_mean", "target_mean", "diff")})
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    return E.bootstrap_ci(pairs(spark, sf_dir), resamples=200)
+
+
+@query("""
+    SELECT d.doc_id, CASE WHEN l.doc_id IS NULL AND n_chars < 1000 THEN 'missing_reference' ELSE 'not_in_scored_per_sample' END AS reason
+    FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def skipped_rows(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels")
+    refs = labels.select("doc_id", F.lit("x").alias("l"))
+    docs = load(spark, sf_dir, "documents").join(refs, "doc_id", "left")
+    rows = docs.select("doc_id", F.lit(None).cast("string").alias("error"), F.col("text").alias("prediction"), F.when(F.col("l").isNotNull() | (F.col("n_chars") >= 1000), "x").alias("answer"))
+    return E.skipped(rows, labels.where("quality = 1"), "doc_id").select("doc_id", "reason")
+
+
+@query("""
+    WITH s AS (SELECT d.doc_id, ln(n_chars) + 0.5 * quality - toxic AS s FROM documents d JOIN labels l USING (doc_id))
+    SELECT doc_id, round(s, 6) AS mine_score FROM s ORDER BY round(s, 9) DESC, doc_id LIMIT 25""")
+def mine_topn(spark, sf_dir):
+    both = load(spark, sf_dir, "documents").select("doc_id", "n_chars").join(load(spark, sf_dir, "labels"), "doc_id")
+    got = E.mine(both, F.lit(True), F.log("n_chars") + 0.5 * F.col("quality") - F.col("toxic"), 25, "doc_id")
+    return got.select("doc_id", F.round("mine_score", 6).alias("mine_score"))
+
+
+@query(f"""
+    WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS image, turn AS pos, {norm_sql('text')} AS key, role = 'system' AS cap, text AS answer FROM conversations WHERE turn % 2 = 0),
+    e AS (SELECT image, key, max_by(answer, pos) AS a FROM r GROUP BY ALL), o AS (SELECT image, max_by(answer, pos) AS a FROM r GROUP BY image HAVING count(*) = 1)
+    SELECT conv_id, turn, coalesce(e.a, o.a) AS reference FROM conversations c
+    LEFT JOIN e ON e.image = CAST(c.conv_id AS VARCHAR) AND e.key = {norm_sql('c.text')} LEFT JOIN o ON o.image = CAST(c.conv_id AS VARCHAR)""")
+def reference_cascade(spark, sf_dir):
+    turns = load(spark, sf_dir, "conversations").withColumn("image", F.col("conv_id").cast("string")).withColumn("prompt", F.col("text"))
+    kind = F.when(F.col("role") == "system", "caption").otherwise("qa")
+    refs = turns.where("turn % 2 = 0").select("image", "prompt", F.col("turn").alias("pos"), kind.alias("record_type"), F.col("text").alias("answer"))
+    return E.reference_cascade(turns, refs).select("conv_id", "turn", "reference")
+
+
+@query("""
+    WITH r AS (SELECT vec_id, vec_id // 8 AS b, range(vec_id % 13 + 1) AS ids FROM embeddings), w AS (SELECT *, least(max(len(ids)) OVER (PARTITION BY b), 10) AS w FROM r)
+    SELECT vec_id, [CASE WHEN i < len(ids) THEN ids[i + 1] ELSE 0 END FOR i IN range(w)] AS input_ids,
+           [CASE WHEN i >= len(ids) OR i < 2 THEN -100 ELSE ids[i + 1] END FOR i IN range(w)] AS labels, [CASE WHEN i < len(ids) THEN 1 ELSE 0 END FOR i IN range(w)] AS attention_mask FROM w""")
+def pad_batch(spark, sf_dir):
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 8").alias("b"), F.sequence(F.lit(0).cast("bigint"), F.col("vec_id") % 13).alias("ids"))
+    rows = rows.withColumn("labels", D.masked_labels(F.col("ids"), F.lit(2), 10))
+    out = D.padded_batches(rows, "b", 10)
+    as_int = lambda c: F.col(c).cast("array<int>")
+    return out.select("vec_id", F.col("input_ids"), as_int("padded_labels").cast("array<bigint>").alias("labels"), as_int("attention_mask").alias("attention_mask"))
+
+
+@query("SELECT step, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.001 * greatest(0.1, 0.5 * (1 + cos(pi() * least((step - 100) / 900.0, 1.0)))) END, 9) AS lr FROM range(1200) t(step)")
+def lr_schedule(spark, sf_dir):
+    return spark.range(1200).select(F.col("id").alias("step"), F.round(T.warm_up_cosine(F.col("id"), 100, 1000, 0.001), 9).alias("lr"))
+
+
+@query("""
+    WITH s AS (SELECT event_id AS step, value AS loss FROM events WHERE value IS NOT NULL)
+    SELECT round(min_by(loss, step), 6) AS first_loss, round(max_by(loss, step), 6) AS last_loss, round(min(loss), 6) AS min_loss,
+           (SELECT min(step) FROM s WHERE loss = (SELECT min(loss) FROM s)) AS min_step, round(avg(loss * 2), 6) AS mean_samples_per_sec FROM s""")
+def curve_summary(spark, sf_dir):
+    log = load(spark, sf_dir, "events").where("value is not null").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("value") * 2).alias("samples_per_sec"))
+    got = E.curve_summary(log)
+    return got.select(*[F.round(c, 6).alias(c) if c != "min_step" else F.col(c) for c in got.columns])
+
+
+@query("SELECT event_type, round(sum(value * (event_id % 7)) / nullif(sum(event_id % 7), 0), 6) AS mean_loss, CAST(sum(event_id % 7) AS BIGINT) AS tokens FROM events GROUP BY event_type")
+def weighted_loss(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select("event_type", F.col("value").alias("loss"), (F.col("event_id") % 7).alias("tokens"))
+    return E.weighted_loss(rows, ["event_type"]).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query(f"SELECT vec_id, CASE label {' '.join(f'WHEN {i} THEN {chr(39)}Morphology: {n}. {d}{chr(39)}' for i, (n, d) in enumerate(readers.CLASSES))} END AS report FROM embeddings")
+def class_reports(spark, sf_dir):
+    return readers.with_class_reports(load(spark, sf_dir, "embeddings"), "label").select("vec_id", "report")
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, CAST(count_if(n_chars > 1000) AS BIGINT) AS long FROM documents GROUP BY lang")
+def split_counts(spark, sf_dir):
+    return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.count_if(F.col("n_chars") > 1000).alias("long"))
