@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corvane.functions import text as T
 
@@ -24,7 +25,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return rows.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
     """ROUGE-L F1 on lower-cased words; 0 if either side is empty."""
     out = []
