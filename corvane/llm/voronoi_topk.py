@@ -7,9 +7,10 @@ of its cell, q.x = q.p + q.(x - p) lies within |q||x - p| of q.p. So the summari
 score that k candidates surely reach, and cells whose upper bound stays below it hold no
 answer: a query is sent only to the others, and solved there against the cell's vectors.
 
-Scale: cells are split by salt into blocks of about ``block`` vectors, so neither a hot
-cell nor many copies of one vector make a large task; a block meets its queries in
-batches; only k rows for each query and block leave it. Pivots and summaries are bounded
+Scale: cells are split by salt into blocks of about ``block`` vectors, and the queries
+sent to a cell into blocks of about ``query_block``; a task holds one of each, so neither
+a hot cell, many copies of one vector nor many queries make a large task. Only k rows for
+each query and block leave it. Pivots and summaries are bounded
 by ``pivots``. High-dimensional vectors without structure give wide bounds; then most
 cells are needed, and the join is a scan in blocks.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, parts
@@ -89,7 +90,13 @@ def best_of_block(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nda
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
 
-def topk_join(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, pivots: int = 64, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def blocks_of(counts: np.ndarray, size: int) -> Column:
+    """How many blocks of about ``size`` rows a row's cell makes."""
+    blocks = np.maximum(1, -(-counts // size)).tolist()
+    return F.create_map(*[F.lit(x) for kv in enumerate(blocks) for x in kv])[F.col("cell")]
+
+
+def topk_join(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, pivots: int = 64, block: int = 4096, query_block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with every other vector."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -120,24 +127,36 @@ def topk_join(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int
         near[r["cell"]] = np.repeat([x["distance"] for x in r["near"]], [min(x["n"], k + 1) for x in r["near"]])[: k + 1]
     bounds = spark.sparkContext.broadcast((count, far, near))
 
+    def tally(batches):
+        total = np.zeros(len(centres), np.int64)
+        for pdf in batches:
+            total += cells_needed(matrix(pdf["v"], dim).astype(np.float64), held.value, *bounds.value, k).sum(0)
+        yield pd.DataFrame({"cell": np.arange(len(total), dtype=np.int32), "n": total})
+
+    asked, wanted = all_.where(query_filter), np.zeros(len(centres), np.int64)
+    for r in asked.mapInPandas(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most ``pivots`` rows
+        wanted[r["cell"]] = r["n"]
+
     def send(batches):
         for pdf in batches:
             need = cells_needed(matrix(pdf["v"], dim).astype(np.float64), held.value, *bounds.value, k)
             row, cell = np.nonzero(need)
             yield pd.DataFrame({"cell": cell.astype(np.int32), "query_id": pdf["vec_id"].to_numpy()[row], "q": pdf["v"].to_numpy()[row]})
 
-    sent = all_.where(query_filter).mapInPandas(send, "cell int, query_id long, q array<long>")
-    blocks = np.maximum(1, -(-count // block))
-    salts = F.create_map(*[x for c, n in enumerate(blocks.tolist()) for x in (F.lit(c), F.lit(int(n)))])[F.col("cell")]
-    data = dealt.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts).cast("int")).select("cell", "salt", "vec_id", "v")
-    queries = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
+    # A block of vectors meets each block of its cell's queries once.
+    salts, shares = blocks_of(count, block), blocks_of(wanted, query_block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    data = dealt.withColumn("salt", hashed("vec_id", salts)).withColumn("share", every(shares)).select("cell", "salt", "share", "vec_id", "v")
+    sent = asked.mapInPandas(send, "cell int, query_id long, q array<long>")
+    queries = sent.withColumn("share", hashed("query_id", shares)).withColumn("salt", every(salts))
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
         return best_of_block(left["query_id"].to_numpy(), matrix(left["q"], dim), right["vec_id"].to_numpy(), matrix(right["v"], dim), k, True)
 
-    found = queries.groupBy("cell", "salt").cogroup(data.groupBy("cell", "salt")).applyInPandas(solve, "query_id long, vec_id long, score long")
+    found = queries.groupBy("cell", "salt", "share").cogroup(data.groupBy("cell", "salt", "share")).applyInPandas(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -252,8 +252,8 @@ def test_voronoi(spark):
             best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
             want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    for block in (4096, 16):
-        assert {tuple(r) for r in vt.topk_join(df, block=block, pivots=8).collect()} == want
+    for block, query_block in ((4096, 8192), (16, 8192), (4096, 2), (16, 2)):
+        assert {tuple(r) for r in vt.topk_join(df, block=block, query_block=query_block, pivots=8).collect()} == want
     assert vt.topk_join(df.limit(0)).count() == 0
 
 
