@@ -98,3 +98,13 @@ def image_positions(ids: Column, token: int, positions: int = 256) -> Column:
     at = F.array_position(ids, F.lit(token).cast("bigint")).cast("int")
     wide = F.concat(F.slice(ids, F.lit(1), at - 1), F.array_repeat(F.lit(token).cast("bigint"), positions), F.slice(ids, at + 1, F.size(ids)))
     return F.when(at > 0, wide).otherwise(ids)
+
+
+def template_questions(rows: DataFrame, position: str, label: str, names: tuple[str, ...]) -> DataFrame:
+    """Adds question, answer and answer_type: even rows ask for the class, odd ones for yes and no by turns (the wrong class is five on)."""
+    i, name = F.col(position), lambda k: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(k, F.lit(len(names))) + 1).cast("int"))
+    true, wrong = name(F.col(label)), name(F.col(label) + 5)
+    even, yes = F.pmod(i, F.lit(2)) == 0, F.pmod(F.floor(i / 2), F.lit(2)) == 0
+    ask = lambda n: F.concat(F.lit("Is this galaxy best classified as "), F.lower(n), F.lit("?"))
+    question = F.when(even, "What is the morphological classification of this galaxy?").when(yes, ask(true)).otherwise(ask(wrong))
+    return rows.select("*", question.alias("question"), F.when(even, true).when(yes, "yes").otherwise("no").alias("answer"), F.when(even, "open").otherwise("closed").alias("answer_type"))

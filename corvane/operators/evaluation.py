@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,23 +99,44 @@ def paired_delta(pairs: DataFrame) -> DataFrame:
     return got.select("*", F.coalesce(direction, F.lit("unknown")).alias("direction"), F.coalesce(better, F.lit(False)).alias("favors_target"))
 
 
-def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42, key: str = "unique_key") -> DataFrame:
+def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42, key: str = "unique_key", block_rows: int = 50_000, most_blocks: int = 4096) -> DataFrame:
     """Percentile intervals of the mean difference by paired resampling.
 
-    A group's differences are one array, as resampling needs: groups are comparison,
-    split and metric, and hold one number for each scored record."""
+    A group (split and metric) is cut into blocks by hash. How many of a resample's draws
+    fall into each block is multinomial in the blocks' sizes; every task draws the same
+    counts from the group's seed, takes its own, and draws that often inside its block. So
+    a resample is one of the whole group, and a task holds one block's differences, about
+    ``block_rows`` or, over ``most_blocks`` blocks, that share of the group."""
+    rows = by_split(pairs).select("split", "metric", key, (F.col("target") - F.col("baseline")).alias("diff"))
+    means = rows.groupBy("split", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("diff"))
+    wanted = F.least(F.ceil(F.col("n") / block_rows), F.lit(most_blocks))
+    dealt = rows.join(F.broadcast(means.select("split", "metric", wanted.alias("blocks"))), ["split", "metric"])  # a row for each split and metric
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
+    sizes: dict[tuple[str, str], dict[int, int]] = {}
+    for r in dealt.groupBy("split", "metric", "block").agg(F.count(F.lit(1)).alias("n")).collect():  # at most most_blocks for each split and metric
+        sizes.setdefault((r["split"], r["metric"]), {})[r["block"]] = r["n"]
+    held = pairs.sparkSession.sparkContext.broadcast(sizes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        split, metric, block = pdf["split"].iloc[0], pdf["metric"].iloc[0], int(pdf["block"].iloc[0])
         diffs = pdf.assign(k=pdf[key].map(tuple)).sort_values("k")["diff"].to_numpy()
-        rng, means = np.random.default_rng(seed), []
-        for at in range(0, resamples, 256):
-            rows = min(256, resamples - at)
-            means.append(diffs[rng.integers(0, len(diffs), (rows, len(diffs)))].mean(1))
-        low, high = np.quantile(np.concatenate(means), [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([{"split": pdf["split"].iloc[0], "metric": pdf["metric"].iloc[0], "n": len(diffs), "diff": diffs.mean(), "ci_low": low, "ci_high": high, "ci_excludes_zero": low > 0 or high < 0}])
-
-    rows = by_split(pairs).select("split", "metric", key, (F.col("target") - F.col("baseline")).alias("diff"))
-    return rows.groupBy("split", "metric").applyInPandas(run, "split string, metric string, n long, diff double, ci_low double, ci_high double, ci_excludes_zero boolean")
+        own = held.value[split, metric]
+        blocks = sorted(own)
+        n, group = np.array([own[b] for b in blocks]), [seed, zlib.crc32(f"{split}\0{metric}".encode())]
+        shared, inside, at = np.random.default_rng(group), np.random.default_rng([*group, block + 1]), blocks.index(block)
+        draws = np.concatenate([shared.multinomial(n.sum(), n / n.sum(), min(64, resamples - i))[:, at] for i in range(0, resamples, 64)])
+        step, sums = max(1, 4_000_000 // max(1, len(diffs))), np.zeros(resamples)
+        for i in range(0, resamples, step):
+            part = draws[i : i + step]
+            got = diffs[inside.integers(0, len(diffs), part.sum())]
+            sums[i : i + step] = np.bincount(np.repeat(np.arange(len(part)), part), got, len(part))
+        return pd.DataFrame({"split": split, "metric": metric, "resample": np.arange(resamples), "total": sums})
+
+    made = dealt.groupBy("split", "metric", "block").applyInPandas(run, "split string, metric string, resample int, total double")
+    drawn = made.groupBy("split", "metric", "resample").agg(F.sum("total").alias("total")).join(F.broadcast(means), ["split", "metric"])
+    ends = [F.percentile(F.col("total") / F.col("n"), F.lit(x)).alias(name) for x, name in (((1 - level) / 2, "ci_low"), ((1 + level) / 2, "ci_high"))]
+    found = drawn.groupBy("split", "metric").agg(F.max("n").alias("n"), F.max("diff").alias("diff"), *ends)
+    return found.withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
 def skipped(predictions: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -124,6 +147,34 @@ def skipped(predictions: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("reason", T.joined_reasons(reasons, "not_in_scored_per_sample"))
 
 
+def reason_counts(rows: DataFrame) -> DataFrame:
+    """How often each reason occurs; most frequent first, then by name."""
+    one = rows.select(F.explode(F.split("reason", ";")).alias("reason"))
+    return one.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def mode_comparison(modes: dict[str, DataFrame]) -> DataFrame:
+    """One row for each mode: exact-match shares of its rows (em, answer_type), and nli means where they are there."""
+    out = None
+    for mode, rows in modes.items():
+        kept = rows.select("em", "answer_type", (F.col("nli") if "nli" in rows.columns else F.lit(None)).cast("double").alias("nli"), F.lit(mode).alias("mode"))
+        out = kept if out is None else out.unionByName(kept)
+    contradicts = F.avg((F.col("nli") < 0).cast("double")).alias("contradiction_rate")
+    more = out.groupBy("mode").agg(F.avg("nli").alias("nli_consistency"), contradicts)
+    return em_summary(out, ["mode"]).join(F.broadcast(more), "mode")
+
+
+def judge_sheet(samples: DataFrame, systems: dict[str, DataFrame], key: str, order: Column) -> DataFrame:
+    """A row for each sample and system that has it, with numbered samples and systems, ready for a judge's marks."""
+    number = F.row_number().over(Window.orderBy(order, key))  # a sample: as many rows as a judge reads
+    named = samples.withColumn("sample_id", F.format_string("judge_%04d", number))
+    out = None
+    for i, (label, rows) in enumerate(sorted(systems.items()), 1):
+        own = named.join(rows.select(key, "prediction"), key).select("*", F.lit(f"model_{i}").alias("model_slot"), F.lit(label).alias("model_label"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def reference_cascade(rows: DataFrame, references: DataFrame) -> DataFrame:
     """References for rows (image, prompt): by image and prompt, else the image's caption if the
     prompt asks for one, else the image's only record. Of equal keys the last reference wins."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import datasets as D
 from corvane.operators import evaluation as E
+from corvane.operators import mining as M
 from corvane.operators import retrieval as R
 from corvane.sources import readers
 
@@ -93,10 +94,11 @@ BM25_SQL = """
     bm AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM f)
 """
 
-DENSE_SQL = """
+def dense_sql(asked: str) -> str:
+    return f"""
     ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     dn AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank
-           FROM (SELECT q.vec_id AS query_id, d.vec_id AS row_id, list_inner_product(q.v, d.v) AS score FROM ve q JOIN ve d ON d.vec_id <> q.vec_id WHERE q.vec_id % 25 = 0))
+           FROM (SELECT q.vec_id AS query_id, d.vec_id AS row_id, list_inner_product(q.v, d.v) AS score FROM ve q JOIN ve d ON d.vec_id <> q.vec_id WHERE {asked}))
 """
 
 
@@ -111,17 +113,17 @@ def bm25_term_stats(spark, sf_dir):
     return R.term_stats(R.postings(docs), docs.count()).withColumn("idf", F.round("idf", 9))
 
 
-@query("WITH " + DENSE_SQL + "SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 6) AS score FROM dn WHERE rank <= 5")
+@query("WITH " + dense_sql("q.vec_id % 20 = 0") + "SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 6) AS score FROM dn WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
-    asked = vectors.where("row_id % 25 = 0").select(F.col("row_id").alias("query_id"), "vec")
+    asked = vectors.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
     return R.dense_topk(vectors, asked, 5, exclude_self=True).withColumn("score", F.round("score", 6))
 
 
 @query(
-    BM25_SQL.rstrip() + "," + DENSE_SQL + """,
+    BM25_SQL.rstrip() + "," + dense_sql("q.vec_id IN (SELECT item_id FROM benchmark)") + """,
     li AS (SELECT query_id, row_id, rank, 0 AS list_no, 0.7 AS w FROM bm WHERE rank <= 20
-           UNION ALL SELECT query_id, row_id, rank, 1, 0.3 FROM dn WHERE rank <= 20 AND query_id IN (SELECT item_id FROM benchmark)),
+           UNION ALL SELECT query_id, row_id, rank, 1, 0.3 FROM dn WHERE rank <= 20),
     fu AS (SELECT query_id, row_id, sum(w / (60 + rank)) AS score, min(list_no * 1000 + rank) AS first FROM li GROUP BY ALL),
     rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first) AS rank FROM fu)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 9) AS score FROM rk WHERE rank <= 10"""
@@ -130,7 +132,7 @@ def rrf_hybrid(spark, sf_dir):
     asked = items(spark, sf_dir)
     sparse = R.bm25_topk(corpus(spark, sf_dir), asked, 20)
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
-    wanted = vectors.where("row_id % 25 = 0").join(asked.select(F.col("query_id").alias("row_id")), "row_id", "left_semi")
+    wanted = vectors.join(asked.select(F.col("query_id").alias("row_id")), "row_id", "left_semi")
     dense = R.dense_topk(vectors, wanted.select(F.col("row_id").alias("query_id"), "vec"), 20, exclude_self=True)
     return R.fuse([(sparse, 0.7), (dense, 0.3)], 20).where("rank <= 10").withColumn("score", F.round("score", 9))
 
@@ -292,7 +294,7 @@ def paired_delta(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return E.bootstrap_ci(pairs(spark, sf_dir), resamples=200)
+    return E.bootstrap_ci(pairs(spark, sf_dir))
 
 
 @query("""
@@ -368,3 +370,111 @@ def class_reports(spark, sf_dir):
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, CAST(count_if(n_chars > 1000) AS BIGINT) AS long FROM documents GROUP BY lang")
 def split_counts(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.count_if(F.col("n_chars") > 1000).alias("long"))
+
+
+SYSTEMS_SQL = """
+    WITH m AS (
+        SELECT doc_id, n_chars % 97 / 97.0 AS f_a, doc_id % 89 / 89.0 AS f_b, n_chars % 31 / 31.0 AS r_a, doc_id % 29 / 29.0 AS r_b, n_chars % 13 / 13.0 AS s_a, doc_id % 11 / 11.0 AS s_b,
+               CAST(n_chars % 2 AS DOUBLE) AS c_a, CAST(doc_id % 2 AS DOUBLE) AS c_b, CAST(n_chars % 5 AS DOUBLE) AS u_a, CAST(doc_id % 7 AS DOUBLE) AS u_b,
+               CAST(n_chars % 5 > 0 AS INT) AS h_a, CAST(doc_id % 7 > 0 AS INT) AS h_b,
+               CAST(source = 'src0' AS INT) + CAST(lang = 'de' AS INT) AS k_a, CAST(lang = 'de' AS INT) AS k_b, (source = 'src0' OR lang = 'de') AS has
+        FROM documents WHERE n_chars IS NOT NULL)
+"""
+
+
+def mined_sql(score: str, keep: str) -> str:
+    return f"{SYSTEMS_SQL} SELECT doc_id, round({score}, 6) AS mine_score FROM m WHERE {keep} ORDER BY round({score}, 9) DESC, doc_id LIMIT 25"
+
+
+def systems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two systems' scored rows, with metrics from the lengths and the ids of the documents."""
+    docs = load(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", "n_chars", "source", "lang")
+    src, de = F.when(F.col("source") == "src0", "src0"), F.when(F.col("lang") == "de", "de")
+    filled = lambda *xs: F.array_compact(F.array(*xs))
+
+    def side(n: str, mods: tuple[int, int, int, int], predicted) -> DataFrame:
+        part = lambda k: F.col(n) % k / float(k)
+        f1, rouge, sbert, unsupported = mods
+        many = F.col(n) % unsupported
+        return docs.select(
+            "doc_id", part(f1).alias("token_f1"), part(rouge).alias("rougeL"), part(sbert).alias("sbert"), (F.col(n) % 2).alias("contradiction"), many.alias("unsupported_specific_count"),
+            (many > 0).alias("has_specificity_hallucination"), predicted.alias("pred_specifics"), filled(src, de).alias("answer_specifics"),
+        )
+
+    return side("n_chars", (97, 31, 13, 5), filled(src, de)), side("doc_id", (89, 29, 11, 7), filled(de))
+
+
+def mined(got: DataFrame) -> DataFrame:
+    return got.select("doc_id", F.round("mine_score", 6).alias("mine_score"))
+
+
+@query(mined_sql("f_a - f_b + r_a - r_b + 0.25 * (h_b - h_a) + 0.05 * (u_b - u_a)", "f_a > f_b OR r_a > r_b OR h_b > h_a"))
+def mine_improvements(spark, sf_dir):
+    return mined(M.improvements(*systems(spark, sf_dir), 25, "doc_id"))
+
+
+@query(mined_sql("f_a - f_b + 0.5 * (k_a - k_b)", "has AND (k_a > k_b OR f_a > f_b)"))
+def mine_better_supported(spark, sf_dir):
+    return mined(M.better_supported(*systems(spark, sf_dir), 25, "doc_id"))
+
+
+@query(mined_sql("u_a - u_b + c_a - c_b", "u_a > u_b OR c_a > c_b"))
+def mine_safer_baselines(spark, sf_dir):
+    return mined(M.safer_baselines(*systems(spark, sf_dir), 25, "doc_id"))
+
+
+@query(mined_sql("u_a + f_a", "h_a = 1"))
+def mine_hallucinations(spark, sf_dir):
+    return mined(M.hallucinations(systems(spark, sf_dir)[0], 25, "doc_id"))
+
+
+@query(mined_sql("f_a - f_b + s_a - s_b + 0.1 * u_b", "f_a - f_b + s_a - s_b + 0.1 * u_b > 0"))
+def mine_baseline_failures(spark, sf_dir):
+    return mined(M.baseline_failures(*systems(spark, sf_dir), 25, "doc_id"))
+
+
+@query("""
+    WITH r AS (SELECT CASE WHEN l.doc_id IS NULL AND n_chars < 1000 THEN 'missing_reference' ELSE 'not_in_scored_per_sample' END AS reason
+               FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1))
+    SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+def skip_reasons(spark, sf_dir):
+    return E.reason_counts(skipped_rows(spark, sf_dir))
+
+
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n, _ in readers.CLASSES) + "]"
+
+
+@query(f"""
+    WITH t AS (SELECT vec_id, ({NAMES_SQL})[label + 1] AS name, ({NAMES_SQL})[(label + 5) % 10 + 1] AS wrong FROM embeddings)
+    SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'What is the morphological classification of this galaxy?'
+                        ELSE 'Is this galaxy best classified as ' || lower(CASE WHEN vec_id // 2 % 2 = 0 THEN name ELSE wrong END) || '?' END AS question,
+           CASE WHEN vec_id % 2 = 0 THEN name WHEN vec_id // 2 % 2 = 0 THEN 'yes' ELSE 'no' END AS answer, CASE WHEN vec_id % 2 = 0 THEN 'open' ELSE 'closed' END AS answer_type FROM t""")
+def template_questions(spark, sf_dir):
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return D.template_questions(rows, "vec_id", "label", tuple(n for n, _ in readers.CLASSES)).drop("label")
+
+
+@query(f"""
+    WITH q AS ({QA_SQL}), p AS (SELECT 'no_retrieval' AS mode, '' AS p, answer FROM q UNION ALL SELECT 'question', question, answer FROM q UNION ALL SELECT 'echo', answer, answer FROM q),
+    t AS (SELECT mode, {norm_sql('answer')} IN ('yes', 'no') AS closed, CAST({em_sql(norm_sql('p'), norm_sql('answer'))} AS INT) AS em FROM p)
+    SELECT mode, avg(em) AS em_all, coalesce(avg(em) FILTER (WHERE closed), 0) AS em_closed, coalesce(avg(em) FILTER (WHERE NOT closed), 0) AS em_open,
+           count(*) AS n, count(*) FILTER (WHERE closed) AS n_closed, count(*) FILTER (WHERE NOT closed) AS n_open FROM t GROUP BY mode""")
+def mode_comparison(spark, sf_dir):
+    rows, a = answers(spark, sf_dir), F.col("answer")
+    told = lambda p: rows.select(T.exact_match(p, a).alias("em"), T.answer_type(a, True).alias("answer_type"))
+    got = E.mode_comparison({"no_retrieval": told(F.lit("")), "question": told(F.col("prediction")), "echo": told(a)})
+    return got.drop("nli_consistency", "contradiction_rate")
+
+
+@query("""
+    WITH c AS (SELECT count(*) FILTER (WHERE toxic = 1) AS a, count(*) FILTER (WHERE toxic <> 1) AS b FROM labels),
+    q AS (SELECT least(b, 60 - least(a, 30)) AS qb, a FROM c), r AS (SELECT least(a, 60 - qb) AS qa, qb FROM q),
+    n AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5('42:' || doc_id), doc_id) AS nth FROM labels),
+    s AS (SELECT doc_id, printf('judge_%04d', row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id)) AS sample_id FROM n, r WHERE nth <= CASE WHEN toxic = 1 THEN qa ELSE qb END),
+    m AS (SELECT doc_id, 'model_1' AS model_slot, 'lang' AS model_label, lang AS prediction FROM documents UNION ALL SELECT doc_id, 'model_2', 'source', source FROM documents)
+    SELECT doc_id, sample_id, model_slot, model_label, prediction FROM s JOIN m USING (doc_id)""")
+def judge_sheet(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    some = D.stratified_sample(load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "toxic", 1, 60).select("doc_id")
+    told = {c: docs.select("doc_id", F.col(c).alias("prediction")) for c in ("lang", "source")}
+    return E.judge_sheet(some, told, "doc_id", D.draw(F.col("doc_id"), 42))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import zipfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,3 +52,21 @@ def write_document(df: DataFrame, path: str) -> None:
     with open(f"{path}.part", "w", encoding="utf-8") as f:
         json.dump(rows, f, ensure_ascii=False, indent=2)
     os.replace(f"{path}.part", path)
+
+
+def markdown_report(title: str, sections: list[tuple[str, DataFrame | str]]) -> str:
+    """A page of headings, each with a text or a small result's table."""
+    parts = [f"# {title}"]
+    for heading, body in sections:
+        parts += [f"## {heading}", body if isinstance(body, str) else markdown_table(body)]
+    return "\n\n".join(parts) + "\n"
+
+
+def write_package(path: str, members: dict[str, str], note: str = "") -> None:
+    """A ZIP archive of files under member names, with a note on how to make them again; put in place when it is whole."""
+    with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(members):
+            z.write(members[name], name)
+        if note:
+            z.writestr("REPRODUCE.md", note)
+    os.replace(f"{path}.part", path)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import datasets as D
 from corvane.operators import evaluation as E
+from corvane.operators import mining as M
+from corvane.operators import models as X
 from corvane.operators import retrieval as R
 from corvane.plans import catalog
 from corvane.sources import readers, sinks
@@ -135,3 +137,54 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(PermissionError):
         readers.open_source(spark, "restricted")
     assert readers.open_source(spark, "synthetic", 9).count() == 9
+
+
+def test_bootstrap_in_blocks(spark):
+    rows = [(["id", str(i)], "qa", "rougeL", float(i % 7)) for i in range(400)]
+    base = spark.createDataFrame(rows, "unique_key array<string>, record_type string, metric string, value double")
+    pairs = E.paired(base, base.withColumn("value", F.col("value") * 1.5))
+    one_, many = ({r["split"]: r for r in E.bootstrap_ci(pairs, 2000, block_rows=b).collect()} for b in (50_000, 30))
+    diffs = [0.5 * (i % 7) for i in range(400)]
+    mean = sum(diffs) / 400
+    half = 1.96 * (sum((d - mean) ** 2 for d in diffs) / 400) ** 0.5 / 20
+    for got in (one_["overall"], many["overall"], many["qa"]):
+        assert (got["n"], got["ci_excludes_zero"]) == (400, True) and got["diff"] == pytest.approx(mean)
+        assert got["ci_low"] == pytest.approx(mean - half, abs=0.02) and got["ci_high"] == pytest.approx(mean + half, abs=0.02)
+    assert many == {r["split"]: r for r in E.bootstrap_ci(pairs, 2000, block_rows=30).collect()}
+    assert E.bootstrap_ci(pairs.limit(0), 10).count() == 0
+
+
+def test_miners_on_missing_values(spark):
+    kind = "unique_key string, token_f1 double, rougeL double, sbert double, contradiction double, unsupported_specific_count int, has_specificity_hallucination boolean, pred_specifics array<string>, answer_specifics array<string>"
+    a = spark.createDataFrame([("x", 0.9, None, None, None, None, None, ["m31"], ["m31"]), ("y", 0.1, None, None, None, 2, True, None, None)], kind)
+    b = spark.createDataFrame([("x", 0.5, None, None, None, None, None, [], ["m31"]), ("y", 0.5, None, None, None, 0, False, None, None), ("z", 1.0, None, None, None, 9, True, [], [])], kind)
+    keys = lambda df: [(r["unique_key"], round(r["mine_score"], 6)) for r in df.collect()]
+    assert keys(M.improvements(a, b, 5)) == [("x", 0.4)]
+    assert keys(M.better_supported(a, b, 5)) == [("x", 0.9)]
+    assert keys(M.safer_baselines(a, b, 5)) == [("y", 2.0)]
+    assert keys(M.baseline_failures(a, b, 5)) == [("x", 0.4)]
+    assert [r["mine_score"] for r in M.hallucinations(a.withColumn("pos", F.lit(1)), 5).collect()] == [2.1]
+
+
+def test_model_seams(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "b b"), (1, 2, "a", "c"), (1, 3, "a", "d d d")], "query_id long, rank int, text string, report string")
+    top = X.rerank(rows, lambda: lambda q, p: [float(len(x)) for x in p], 2)
+    assert [(r["rank"], r["report"]) for r in top.orderBy("rank").collect()] == [(1, "d d d"), (2, "b b")]
+    vec = X.embed(rows, lambda: lambda t: [[3.0, 4.0]] * len(t), "text").first()["vec"]
+    assert vec == pytest.approx([0.6, 0.8])
+    told = spark.createDataFrame([("q", "", "a"), ("q", "x", "a")], "prompt string, prediction string, answer string")
+    scored = X.nli(told, lambda: lambda p, h: [[0.2, 0.7]] * len(p))
+    assert sorted(round(r["nli"], 6) for r in scored.collect()) == [-1.0, -0.5]
+    assert X.nli_summary(scored).first()["contradiction_rate"] == 1.0
+    assert X.nli_summary(scored.limit(0)).first()["nli_consistency"] == 0.0
+    made = X.generate(told.withColumn("prompt", F.col("prediction")), lambda: lambda p: 1 / len(p))
+    assert sorted((r["response"] or "", r["error"] or "") for r in made.collect()) == [("", "ZeroDivisionError: division by zero"), ("1.0", "")]
+
+
+def test_reports_and_packages(spark, tmp_path):
+    report = sinks.markdown_report("R", [("A", "text"), ("B", spark.createDataFrame([], "a int"))])
+    assert report == "# R\n\n## A\n\ntext\n\n## B\n\n_No rows._\n"
+    (tmp_path / "x").write_text("1")
+    sinks.write_package(str(tmp_path / "p.zip"), {"m/x.json": str(tmp_path / "x")}, "how")
+    with zipfile.ZipFile(tmp_path / "p.zip") as z:
+        assert z.namelist() == ["m/x.json", "REPRODUCE.md"] and z.read("REPRODUCE.md") == b"how"
