@@ -170,22 +170,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c, all): occurrences in training texts and in all texts, summed in each task by chunks."""
 
     def run(batches):
-        def flush(train, whole):
-            words = list(whole)
-            return batch(word=pa.array(words, pa.binary()), c=pa.array([train[w] for w in words], pa.int64()), n=pa.array(whole.values(), pa.int64()))
+        def flush(train, other):
+            more = [w for w in other if w not in train]
+            words, c = [*train, *more], [*train.values(), *[0] * len(more)]
+            n = [k + other.get(w, 0) for w, k in zip(words, c, strict=True)]
+            return batch(word=pa.array(words, pa.binary()), c=pa.array(c, pa.int64()), n=pa.array(n, pa.int64()))
 
-        train, whole = Counter(), Counter()
+        train, other = Counter(), Counter()  # of texts to learn from, and of the others
         for b in batches:
             for text, own in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words = lowered(text.as_py())
-                whole.update(words)
-                if own:
-                    train.update(words)
-                if len(whole) > CHUNK_WORDS:
-                    yield flush(train, whole)
-                    train, whole = Counter(), Counter()
-        if whole:
-            yield flush(train, whole)
+                (train if own else other).update(lowered(text.as_py()))
+                if max(len(train), len(other)) > CHUNK_WORDS:
+                    yield flush(train, other)
+                    train, other = Counter(), Counter()
+        if train or other:
+            yield flush(train, other)
 
     counted = docs.select(F.col("text").cast("binary").alias("text"), "train").mapInArrow(run, "word binary, c long, n long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
