@@ -213,6 +213,15 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int) -> np.ndarray:
     return logs
 
 
+class Numbers(dict):
+    """Numbers of words; ``missing`` for all others, which are not kept."""
+
+    missing = -1
+
+    def __missing__(self, word: bytes) -> int:
+        return self.missing
+
+
 def score_texts(docs: DataFrame, training: Column | str = "true", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 2, frequent: int = 300_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text; learns from rows where ``training`` holds."""
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
@@ -256,9 +265,9 @@ def score_texts(docs: DataFrame, training: Column | str = "true", id_col: str =
 
     def look_up(batches):
         names, values = top.value
-        index = {w: i for i, w in enumerate(names)}
+        index = Numbers(zip(names, range(len(names)), strict=True))
         values = np.vstack([values, np.zeros((1, 3))])
-        missing = len(names)
+        missing = index.missing = len(names)
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
         def flush(rows):
@@ -268,11 +277,11 @@ def score_texts(docs: DataFrame, training: Column | str = "true", id_col: str =
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = lowered(text.as_py())
-                at = [index.get(w, missing) for w in own]
-                known_, base, score = values[at].sum(0).tolist() if at else (0, 0, 0)
+                at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
+                known_, base, score = values[at].sum(0).tolist()
                 rows.append((doc, None, len(own) + 1, int(known_) + (ends > 0), base + end_base, score + end / np.log(10)))
-                if missing in at:
-                    rows += [(doc, w, k, 0, 0.0, 0.0) for w, k in Counter([w for w, i in zip(own, at, strict=True) if i == missing]).items()]
+                rare = np.flatnonzero(at == missing).tolist()
+                rows += [(doc, w, k, 0, 0.0, 0.0) for w, k in Counter([own[i] for i in rare]).items()]
                 if len(rows) > 100_000:
                     yield flush(rows)
                     rows = []
