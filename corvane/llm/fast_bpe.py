@@ -3,8 +3,9 @@
 White space separates tokens in these vocabularies, so a text is the sequence of its
 words, and each distinct word is encoded once while it is remembered. Words of Latin
 letters, with or without plain punctuation behind, are encoded by merging all distinct
-words of a batch at once in numpy; anything else goes to the tokenizer itself. The
-merges of a word end with the same ids whichever of the two applies them.
+words of a batch at once in numpy; anything else goes to the tokenizer itself, as do
+words of over ``LONG_WORD`` characters, since each merge in numpy passes over the whole
+word. The merges of a word end with the same ids whichever of the two applies them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 KNOWN_WORDS = 800_000
+LONG_WORD = 100
 
 
 def byte_letters() -> list[str]:
@@ -136,7 +138,9 @@ class Encoder:
         known, new = self.known, self.known.new
         whole, odd, cut = [], [], []
         for w in new:
-            if w.isalpha() and PLAIN.fullmatch(w):
+            if len(w) > LONG_WORD:
+                odd.append(w)
+            elif w.isalpha() and PLAIN.fullmatch(w):
                 whole.append(w)
             elif m := PLAIN.fullmatch(w):
                 cut.append((w, *m.groups()))
@@ -145,6 +149,8 @@ class Encoder:
         for w, ids in zip(odd, self.slow(odd) if odd else (), strict=True):
             new[w] += ids
             known[w] = ids
+            if len(w) > LONG_WORD:  # not remembered, as their number does not bound their size
+                del known[w]
         for tail in {t for _, _, t in cut} - self.tails.keys():
             self.tails[tail] = self.slow([tail])[0]
         stems = whole + [s for _, s, _ in cut]
