@@ -9,8 +9,9 @@ discount; the discounted mass goes to the lattice, so that the pieces are fitted
 they stand for, each training word once. A text's probability is the product over its
 words and one end token.
 
-All words of one length are taken at once in numpy. Work on the lattice is for each
-distinct word of the corpus, not for each occurrence.
+All words of one length are taken at once in numpy; of a word over ``LONG_WORD`` bytes,
+all positions, so that the work stays linear in its length. Work on the lattice is for
+each distinct word of the corpus, not for each occurrence.
 
 Scale: words are counted in each task before the shuffle. The scored words are a table
 that grows with the corpus, so it is joined, not broadcast; only the most frequent words
@@ -23,6 +24,7 @@ that repeat an id are scored as one. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -37,6 +39,7 @@ from .common import Scratch, texts
 PRIOR = 0.1
 CHUNK_WORDS = 400_000
 LATTICE_CELLS = 1 << 20
+LONG_WORD = 256
 
 
 def default_vocabulary() -> str:
@@ -133,11 +136,49 @@ class Lattice:
             alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logs[piece])
         return alpha
 
+    def long_edges(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edges of one word, in order of their ends: starts, ends and pieces."""
+        sums, q = self.sums(word[None, :])
+        found = []
+        for size in range(1, min(self.longest, len(word)) + 1):
+            n = len(word) - size + 1
+            piece = self.find(winnow.mix((sums[0, size:] - sums[0, :n]) * q[:n] + np.uint64(size)))
+            start = np.flatnonzero(piece >= 0)
+            found.append((start, start + size, piece[start]))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((start, end))
+        return start[by], end[by], piece[by]
+
+    @staticmethod
+    def long_sums(edges: list[tuple[int, int, float]], n: int, first: int) -> list[float]:
+        """Of n + 1 places, the log of the summed weights of all ways from the first one along the edges."""
+        out = [-math.inf] * (n + 1)
+        out[first] = 0.0
+        for a, b, x in edges:
+            x += out[a]
+            y = out[b]
+            out[b] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        return out
+
+    def long_forward(self, word: np.ndarray, logs: np.ndarray, edges) -> list[float]:
+        start, end, piece = edges
+        return self.long_sums(list(zip(start.tolist(), end.tolist(), logs[piece].tolist(), strict=True)), len(word), 0)
+
+    def long_expected(self, word: np.ndarray, count: float, logs: np.ndarray) -> np.ndarray:
+        start, end, piece = edges = self.long_edges(word)
+        alpha = np.array(self.long_forward(word, logs, edges))
+        beta = np.array(self.long_sums(list(zip(end[::-1].tolist(), start[::-1].tolist(), logs[piece[::-1]].tolist(), strict=True)), len(word), len(word)))
+        return np.bincount(piece, np.exp(alpha[start] + logs[piece] + beta[end] - alpha[-1]) * count, len(logs))
+
     def score(self, words: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        if words.shape[1] > LONG_WORD:
+            return np.array([self.long_forward(w, logs, self.long_edges(w))[-1] for w in words])
         return self.forward(words, logs, self.edges(words))[-1]
 
     def expected(self, words: np.ndarray, count: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Expected piece counts by forward and backward recursion."""
+        if words.shape[1] > LONG_WORD:
+            return sum(self.long_expected(w, n, logs) for w, n in zip(words, count.tolist(), strict=True))
         edges = self.edges(words)
         alpha = self.forward(words, logs, edges)
         beta = np.full(alpha.shape, -np.inf)

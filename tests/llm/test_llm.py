@@ -206,6 +206,12 @@ def test_lattice(spark):
             if word[i:j] in at:
                 sums[j] += sums[i] * weight[at[word[i:j]]]
         assert lattice.score(np.frombuffer(word, np.uint8)[None, :], np.log(weight))[0] == pytest.approx(np.log(sums[-1]))
+    word = np.frombuffer((" " + "straße+ing" * 80).encode(), np.uint8)[None, :]  # over LONG_WORD: another way to the same sums
+    edges = lattice.edges(word)
+    assert lattice.score(word, np.log(weight))[0] == pytest.approx(lattice.forward(word, np.log(weight), edges)[-1, 0])
+    few = word[:, :200]
+    assert lattice.long_expected(few[0], 3.0, np.log(weight)) == pytest.approx(lattice.expected(few, np.array([3.0]), np.log(weight)))
+    assert np.isfinite(lattice.score(np.full((1, 300_000), 97, np.uint8), np.log(weight))[0])
     rows = [(i, f"the cat sat on Mat {i % 7}") for i in range(40)] + [(100, None), (101, "unseen wörd"), (None, "x")]
     train = [(i, t) for i, t in rows if i is not None and i % 10]
     count = Counter(w for _, t in train for w in [*(t or "").lower().split(), ""])
@@ -222,7 +228,7 @@ def test_lattice(spark):
 
 
 def test_packing(spark):
-    rows = sample(9) + [(2000, "word " * 9000), (2001, "It's <|endoftext|> ΣΑΣ ½́ 12")]
+    rows = sample(9) + [(2000, "word " * 9000), (2001, "It's <|endoftext|> ΣΑΣ ½́ 12"), (2002, f"{'abcde' * 20_000} {'abcde' * 20_000}!")]
     got = pk.pack(table(spark, rows), capacity=256, with_ids=True).toPandas()
     from tokenizers import Tokenizer
 
