@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import IMAGE_TOKEN
+from corvane.functions.text import IMAGE_TOKEN, choose
+
+# Prompts for descriptions, classes and captions.
+DESCRIBE = ("Describe this galaxy.", "Provide a short description of the galaxy in this image.", "What does this astronomical image show?", "Describe the morphology of the galaxy in the image.")
+CLASSIFY = ("What type of galaxy is shown in this image?", "Classify the morphology of this galaxy.", "Which galaxy morphology class does this image belong to?")
+CAPTION = ("Describe this astronomical image.", "What does this image show?", "Provide a detailed description of this image.", "Explain what is depicted in this astronomical image.")
 
 
 def human_or_gpt(role: Column) -> Column:
@@ -108,3 +113,29 @@ def template_questions(rows: DataFrame, position: str, label: str, names: tuple[
     ask = lambda n: F.concat(F.lit("Is this galaxy best classified as "), F.lower(n), F.lit("?"))
     question = F.when(even, "What is the morphological classification of this galaxy?").when(yes, ask(true)).otherwise(ask(wrong))
     return rows.select("*", question.alias("question"), F.when(even, true).when(yes, "yes").otherwise("no").alias("answer"), F.when(even, "open").otherwise("closed").alias("answer_type"))
+
+
+def one_of(options: tuple[str, ...], id_: Column, seed: int) -> Column:
+    """One of the options, by a hash of id and seed."""
+    return choose(F.floor(bucket(id_, seed) * len(options)).cast("int"), list(options))
+
+
+def turns_of(question: Column, answer: Column) -> Column:
+    """A question on an image, and its answer, as turns."""
+    asked = F.struct(F.lit("human").alias("from"), F.concat(F.lit(f"{IMAGE_TOKEN}\n"), question).alias("value"))
+    return F.array(asked, F.struct(F.lit("gpt").alias("from"), answer.alias("value")))
+
+
+def class_conversations(rows: DataFrame, id_col: str, label: str, singular: tuple[str, ...], descriptions: tuple[str, ...], seed: int = 42) -> DataFrame:
+    """Adds conversations: half ask for a description, half for the class; which, and in what words, goes by hashes of the id."""
+    id_, of = F.col(id_col), lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col(label) + 1)
+    describe = bucket(id_, seed) < 0.5
+    question = F.when(describe, one_of(DESCRIBE, id_, seed + 1)).otherwise(one_of(CLASSIFY, id_, seed + 1))
+    answer = F.when(describe, of(descriptions)).otherwise(F.concat(F.lit("This image shows "), of(singular), F.lit(". "), of(descriptions)))
+    return rows.select("*", turns_of(question, answer).alias("conversations"))
+
+
+def caption_conversations(rows: DataFrame, id_col: str, caption: str, seed: int = 42) -> DataFrame:
+    """Rows with a caption that is not blank, and their conversations: a prompt by a hash of the id, and the caption."""
+    own = rows.where(F.trim(F.coalesce(caption, F.lit(""))) != "")
+    return own.select("*", turns_of(one_of(CAPTION, F.col(id_col), seed), F.trim(caption)).alias("conversations"))

@@ -12,7 +12,7 @@ from corvane.operators import datasets as D
 from corvane.operators import evaluation as E
 from corvane.operators import mining as M
 from corvane.operators import retrieval as R
-from corvane.sources import readers
+from corvane.sources import images, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -478,3 +478,45 @@ def judge_sheet(spark, sf_dir):
     some = D.stratified_sample(load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "toxic", 1, 60).select("doc_id")
     told = {c: docs.select("doc_id", F.col(c).alias("prediction")) for c in ("lang", "source")}
     return E.judge_sheet(some, told, "doc_id", D.draw(F.col("doc_id"), 42))
+
+
+@query("SELECT source, min(doc_id) AS first_pos, arg_min(lang, doc_id) FILTER (WHERE lang IS NOT NULL) AS caption FROM documents GROUP BY source")
+def first_seen(spark, sf_dir):
+    return images.first_seen(load(spark, sf_dir, "documents"), "source", "doc_id", "lang", "lang is not null")
+
+
+def list_sql(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def bucket_sql(id_: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {id_}), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+def one_of_sql(values: tuple[str, ...], id_: str, seed: int) -> str:
+    return f"{list_sql(values)}[CAST(floor({bucket_sql(id_, seed)} * {len(values)}) AS INTEGER) + 1]"
+
+
+def spoken(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(id_col, F.col("conversations")[0]["value"].alias("question"), F.col("conversations")[1]["value"].alias("answer"))
+
+
+DESCRIPTIONS = tuple(d for _, d in readers.CLASSES)
+
+
+@query(f"""
+    SELECT vec_id, concat('{T.IMAGE_TOKEN}', chr(10), CASE WHEN {bucket_sql("vec_id", 42)} < 0.5 THEN {one_of_sql(D.DESCRIBE, "vec_id", 43)} ELSE {one_of_sql(D.CLASSIFY, "vec_id", 43)} END) AS question,
+           CASE WHEN {bucket_sql("vec_id", 42)} < 0.5 THEN d ELSE concat('This image shows ', s, '. ', d) END AS answer
+    FROM (SELECT vec_id, {list_sql(DESCRIPTIONS)}[label % 10 + 1] AS d, {list_sql(readers.SINGULAR)}[label % 10 + 1] AS s FROM embeddings)
+""")
+def class_conversations(spark, sf_dir):
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 10).cast("int").alias("label"))
+    return spoken(D.class_conversations(rows, "vec_id", "label", readers.SINGULAR, DESCRIPTIONS), "vec_id")
+
+
+@query(f"""
+    SELECT doc_id, concat('{T.IMAGE_TOKEN}', chr(10), {one_of_sql(D.CAPTION, "doc_id", 42)}) AS question, trim(text) AS answer
+    FROM documents WHERE trim(coalesce(text, '')) <> ''
+""")
+def caption_conversations(spark, sf_dir):
+    return spoken(D.caption_conversations(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")

@@ -28,6 +28,19 @@ CLASSES = (
     ("Edge-on Galaxies without Bulge", "A disk galaxy seen edge-on as a thin line of light, lacking a prominent central bulge."),
     ("Edge-on Galaxies with Bulge", "A disk galaxy seen edge-on with a prominent bright central bulge."),
 )
+#: The classes, one galaxy each, in the same order.
+SINGULAR = (
+    "a disturbed galaxy",
+    "a pair of merging galaxies",
+    "a round, smooth elliptical galaxy",
+    "an in-between round smooth galaxy",
+    "a cigar-shaped smooth galaxy",
+    "a barred spiral galaxy",
+    "an unbarred tight spiral galaxy",
+    "an unbarred loose spiral galaxy",
+    "an edge-on galaxy without a bulge",
+    "an edge-on galaxy with a bulge",
+)
 FINDINGS = (
     "Findings: bilateral lower-lobe airspace opacities consistent with pneumonia.",
     "Findings: cardiomegaly with an enlarged cardiac silhouette; lungs are clear.",
@@ -86,7 +99,11 @@ def files_by_suffix(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 def training_log(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a trainer's log; other lines are dropped."""
-    lines = spark.read.text(path).where(F.col("value").rlike(LOG_LINE))
+    return log_rows(spark.read.text(path))
+
+
+def log_rows(lines: DataFrame) -> DataFrame:
+    lines = lines.where(F.col("value").rlike(LOG_LINE))
     part = lambda i, kind: F.regexp_extract("value", LOG_LINE, i).cast(kind)
     return lines.select(part(1, "int").alias("step"), part(2, "int").alias("total_steps"), part(3, "double").alias("loss"), part(4, "double").alias("lr"), part(5, "double").alias("samples_per_sec"))
 
