@@ -10,8 +10,8 @@ they stand for, each training word once. A text's probability is the product ove
 words and one end token.
 
 All words of one length are taken at once in numpy; of a word over ``LONG_WORD`` bytes,
-all positions, so that the work stays linear in its length. Work on the lattice is for
-each distinct word of the corpus, not for each occurrence.
+all positions, so that numpy is called for each length of a piece and not for each edge.
+Work on the lattice is for each distinct word of the corpus, not for each occurrence.
 
 Scale: words are counted in each task before the shuffle. The scored words are a table
 that grows with the corpus, so it is joined, not broadcast; only the most frequent words
