@@ -22,8 +22,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; so do documents of which nothing is left. n_chars follows the text."""
-    out = line_dedup(docs)
+    """Later copies of lines go, as a single line is a run too; so do documents of which nothing is left. n_chars follows the text."""
+    out = line_dedup(docs, min_lines=1)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.where(F.trim("text", F.lit(" \t\r\n")) != "")
