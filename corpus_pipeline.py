@@ -12,13 +12,13 @@ from corvane.llm.line_dedup import line_dedup
 from corvane.llm.ngram_jaccard import keep_one
 from corvane.llm.packing import pack
 
-LEAST_SCORE = 0.5
+LEAST_FIT = 0.5
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which most is in one of the learned languages; text without letters goes."""
+    """Documents that the learned languages selected for them explain for the most part, be it one or several; text without letters goes."""
     found = identify(docs, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("fit") >= LEAST_FIT)).select(*docs.columns)
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,8 +73,8 @@ def fit_mixture(p: np.ndarray, weight: np.ndarray | None, share: np.ndarray, ste
     return share, float(logs.sum() if weight is None else logs @ weight)
 
 
-def infer(h: np.ndarray, models: np.ndarray) -> np.ndarray:
-    """Shares of the selected languages (0 for the others)."""
+def infer(h: np.ndarray, models: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shares of the selected languages (0 for the others), and what they sum to in the unrestricted mixture."""
     weight = None
     if len(h) > 20_000:
         counts = np.bincount(h.astype(np.int64), minlength=len(models))
@@ -99,7 +99,8 @@ def infer(h: np.ndarray, models: np.ndarray) -> np.ndarray:
             best, kept = value - price * (size - 1), np.zeros(languages)
             kept[own] = got
     # The score is the share in the unrestricted mixture, so that a poor fit shows.
-    return np.where(kept > 0, share, 0) if (kept > 0).sum() == 1 else kept
+    fit = min(1.0, float(share[kept > 0].sum()))
+    return np.where(kept > 0, share, 0) if (kept > 0).sum() == 1 else kept, fit
 
 
 def learn(labelled: DataFrame, sample_per_language: int) -> tuple[list[str], np.ndarray]:
@@ -128,7 +129,7 @@ def learn(labelled: DataFrame, sample_per_language: int) -> tuple[list[str], np.
 
 
 def identify(docs: DataFrame, training: Column | str = "true", sample_per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, languages) and the columns in ``keep``; learns from rows where ``training`` holds."""
+    """(doc_id, lang_pred, score, languages, fit) and the columns in ``keep``; learns from rows where ``training`` holds."""
     spark = docs.sparkSession
     own = docs.where(F.col(id_col).isNotNull())
     training = F.expr(training) if isinstance(training, str) else training
@@ -139,26 +140,28 @@ def identify(docs: DataFrame, training: Column | str = "true", sample_per_langua
     keep = keep or []
     rows = own.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = [(f"_{i}", t) for i, t in enumerate(dict(docs.dtypes)[c] for c in keep)]
-    schema = ", ".join(f"{c} {t}" for c, t in kept + [("doc_id", "long"), ("lang_pred", "string"), ("score", "double"), ("languages", "array<struct<lang: string, share: double>>")])
+    schema = ", ".join(f"{c} {t}" for c, t in kept + [("doc_id", "long"), ("lang_pred", "string"), ("score", "double"), ("languages", "array<struct<lang: string, share: double>>"), ("fit", "double")])
     mixed = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches):
         letters, models = letter_table(), held.value
         for b in batches:
-            pred, score, sets = [], [], []
+            pred, score, sets, fits = [], [], [], []
             for text in b.column("text"):
                 h = trigrams(text.as_py(), letters) if languages else ()
                 if len(h):
-                    share = infer(h, models)
+                    share, fit = infer(h, models)
                     best = int(share.argmax())
                     pred.append(languages[best])
                     score.append(min(1.0, float(share[best])))
                     sets.append([{"lang": languages[i], "share": float(share[i])} for i in np.flatnonzero(share)])
+                    fits.append(fit)
                 else:
                     pred.append("und")
                     score.append(0.0)
                     sets.append([])
-            yield batch(**{c: b.column(c) for c, _ in kept}, doc_id=b.column("doc_id"), lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()), languages=pa.array(sets, mixed))
+                    fits.append(0.0)
+            yield batch(**{c: b.column(c) for c, _ in kept}, doc_id=b.column("doc_id"), lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()), languages=pa.array(sets, mixed), fit=pa.array(fits, pa.float64()))
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep) if c != "doc_id"], "doc_id", "lang_pred", "score", "languages")
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep) if c != "doc_id"], "doc_id", "lang_pred", "score", "languages", "fit")

@@ -1,5 +1,7 @@
 """Cases in which the operators once did less than the whole job."""
 
+import random
+
 import corpus_pipeline as cp
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
@@ -11,3 +13,13 @@ def test_single_lines(spark):
     got = cp.lines_deduplicated(spark, spark.createDataFrame(rows, ROW), "").collect()
     want = {0: rows[0][1], None: line} | {i: f"own first {i}\nown last {i}" for i in range(1, 4)}
     assert {r["doc_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_three_languages_in_even_parts(spark):
+    rnd = random.Random(1)
+    make = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(n))
+    own = {"aa": "abcde", "mm": "klmno", "zz": "vwxyz"}
+    rows = [(100 * k + i, make(letters, 80), lang, "s", 1) for k, (lang, letters) in enumerate(own.items()) for i in range(30)]
+    rows += [(1000, " ".join(make(letters, 80) for letters in own.values()), None, "s", 1), (1001, "12 !", None, "s", 1), (1002, None, None, "s", 1)]
+    got = cp.identified(spark, spark.createDataFrame(rows, ROW), "")
+    assert {r["doc_id"] for r in got.collect()} == {r[0] for r in rows} - {1001, 1002} and got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
