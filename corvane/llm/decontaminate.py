@@ -14,7 +14,8 @@ occur in the passage. The answer is the item's last sentence, or its last third
 has one sentence; n is ``ngram`` or, for shorter parts, all their words.
 
 Scale: one pass over the documents, no shuffle of text. The index of at most
-``items_at_once`` items is broadcast; a larger benchmark takes more passes. Results are a
+``items_at_once`` items is broadcast; a larger benchmark takes more passes, which share the
+word frequencies, lengths and passages of all items. Results are a
 few rows for each leak, combined by (document, item).
 
 Words are lower-cased runs of letters and digits. Null and empty texts match nothing, as
@@ -28,6 +29,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +59,40 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+class Totals:
+    """What scores take from all items, however many passes they are dealt over."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.n, self.words, self.longest, self.df = 0, 0, 1, Counter()
+        for text in texts:
+            q, a = split_item(text)
+            if q:
+                self.n += 1
+                self.words += len(q) + len(a)
+                self.longest = max(self.longest, len(q) + len(a))
+                self.df.update({*q, *a})
+
+    def of(self, texts: list[str]) -> Totals:
+        """The same, with the document frequencies of these texts' words only."""
+        out = Totals(())
+        out.n, out.words, out.longest = self.n, self.words, self.longest
+        out.df = Counter({w: self.df[w] for t in texts for x in split_item(t) for w in x})
+        return out
+
+
 class Index:
     """Inverted index of test items for the retrieval of all items over a share of their own score."""
 
-    def __init__(self, items: list[tuple[int, str]], ngram: int):
+    def __init__(self, items: list[tuple[int, str]], ngram: int, totals: Totals | None = None):
+        totals = totals or Totals(t for _, t in items)
         rows = [(i, *split_item(t)) for i, t in items]
         rows = [(i, q, a) for i, q, a in rows if q]
         self.ids = [i for i, _, _ in rows]
         self.parts = [[(grams(x, ngram), min(ngram, len(x))) for x in (q, a) if x] for _, q, a in rows]
         words = [q + a for _, q, a in rows]
-        self.longest = max(map(len, words), default=1)
-        mean = sum(map(len, words)) / max(1, len(words))
-        df = Counter(w for own in words for w in set(own))
-        idf = {w: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        self.longest = totals.longest
+        mean = totals.words / max(1, totals.n)
+        idf = {w: math.log(1 + (totals.n - n + 0.5) / (n + 0.5)) for w, n in totals.df.items()}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for k, own in enumerate(words):
             impact = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / mean)) for w, n in Counter(own).items()}
@@ -175,13 +198,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
     total = items.count()
     passes = max(1, -(-total // items_at_once))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
+    out, all_ = None, Totals(r["text"] for r in items.select("text").toLocalIterator()) if passes > 1 else None
     for k in range(passes):  # each pass holds about items_at_once items
         some = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        held = spark.sparkContext.broadcast(sorted((r["doc_id"], r["text"]) for r in some.collect()))
+        rows = sorted((r["doc_id"], r["text"]) for r in some.collect())
+        held = spark.sparkContext.broadcast((rows, all_ and all_.of([t for _, t in rows])))
 
         def run(batches, held=held):
-            index = Index(held.value, ngram)
+            index = Index(held.value[0], ngram, held.value[1])
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
             for b in batches:

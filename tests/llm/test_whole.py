@@ -2,7 +2,13 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline as cp
+from corvane.llm import decontaminate as dc
+from corvane.llm import voronoi_topk as vt
+from corvane.operators import evaluation as E
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,3 +29,14 @@ def test_three_languages_in_even_parts(spark):
     rows += [(1000, " ".join(make(letters, 80) for letters in own.values()), None, "s", 1), (1001, "12 !", None, "s", 1), (1002, None, None, "s", 1)]
     got = cp.identified(spark, spark.createDataFrame(rows, ROW), "")
     assert {r["doc_id"] for r in got.collect()} == {r[0] for r in rows} - {1001, 1002} and got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_scores_do_not_depend_on_passes(spark):
+    rnd = random.Random(2)
+    voc = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choice(voc[: 5 + i]) for _ in range(rnd.randrange(10, 40)))) for i in range(30)]
+    docs = [(i, " ".join([*t.split()[: len(t.split()) * 4 // 5], *rnd.choices(voc, k=30)])) for i, t in items]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({tuple(r)[:2]: tuple(r)[2:] for r in dc.find_leaks(docs, bench, overlap=0.0, items_at_once=n).collect()} for n in (1000, 7))
+    assert len(one) >= 20 and set(one) == set(many)
+    assert all(many[k] == pytest.approx(one[k]) for k in one)
