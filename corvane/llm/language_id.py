@@ -15,8 +15,8 @@ in each task first: at most languages x BUCKETS rows. The models are broadcast;
 size does not depend on the corpus.
 
 Text that is null or has no letter gives ``und`` with score 0, as does everything where
-nothing was learned. Rows without an id take no part; repeated rows are labelled each.
-Other columns are ignored.
+nothing was learned. Rows without an id teach nothing, and are labelled only where columns are
+kept that tell them apart; repeated rows are labelled each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,9 +131,9 @@ def learn(labelled: DataFrame, sample_per_language: int) -> tuple[list[str], np.
 def identify(docs: DataFrame, training: Column | str = "true", sample_per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, languages, fit) and the columns in ``keep``; learns from rows where ``training`` holds."""
     spark = docs.sparkSession
-    own = docs.where(F.col(id_col).isNotNull())
+    own = docs if keep else docs.where(F.col(id_col).isNotNull())
     training = F.expr(training) if isinstance(training, str) else training
-    labelled = own.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = docs.where(F.col(id_col).isNotNull() & training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     languages, models = learn(labelled, sample_per_language)
     held = spark.sparkContext.broadcast(models.astype(np.float32) if len(languages) > 16 else models)

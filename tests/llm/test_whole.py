@@ -40,3 +40,9 @@ def test_scores_do_not_depend_on_passes(spark):
     one, many = ({tuple(r)[:2]: tuple(r)[2:] for r in dc.find_leaks(docs, bench, overlap=0.0, items_at_once=n).collect()} for n in (1000, 7))
     assert len(one) >= 20 and set(one) == set(many)
     assert all(many[k] == pytest.approx(one[k]) for k in one)
+
+
+def test_language_of_rows_without_an_id(spark):
+    rows = [(i, "abc bca cab " * 9, "aa", "s", 1) for i in range(9)] + [(None, "abc cab bca " * 9, None, "s", 1), (None, "12", None, "s", 1)]
+    got = cp.identified(spark, spark.createDataFrame(rows, ROW), "").collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in got) == sorted((r[0] is None, r[1]) for r in rows[:-1])
