@@ -15,8 +15,8 @@ by ``pivots``. High-dimensional vectors without structure give wide bounds; then
 cells are needed, and the join is a scan in blocks.
 
 Components become floor(scale * x), x as double. Vectors that are null, hold null or
-non-finite components, or lack an id take no part, nor do those of another length than
-the most common one. An id that occurs twice stands for two candidates. Other columns
+non-finite components, or lack an id take no part. Vectors of each length are joined among
+themselves, as products of different lengths are not defined. An id that occurs twice stands for two candidates. Other columns
 are ignored. No vectors, no rows.
 """
 
@@ -71,7 +71,7 @@ def best_of_block(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nda
     out = []
     by = np.argsort(ids, kind="stable")
     ids, x = ids[by], x[by]
-    exact = not len(x) or not len(q) or float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**53
+    exact = not x.size or not q.size or float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**53
     kind = np.float64 if exact else np.int64
     x = x.astype(kind)
     for at in range(0, len(q), rows):
@@ -100,13 +100,18 @@ def topk_join(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int
     """(query_id, rank, vec_id, score): the k highest inner products of each query with every other vector."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    scratch = Scratch(spark, "voronoi")
     all_ = quantised(vectors, id_col, vector_col, scale)
-    sizes = all_.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).take(1)
-    if not sizes or not sizes[0]["dim"]:
-        return empty
-    dim = sizes[0]["dim"]
-    all_ = all_.where(F.size("v") == dim)
+    out = None
+    for dim in sorted(r["dim"] for r in all_.select(F.size("v").alias("dim")).distinct().collect()):
+        found = topk_of_length(all_.where(F.size("v") == dim), dim, query_filter, k, pivots, block, query_block)
+        out = found if out is None else out.unionByName(found)
+    return empty if out is None else out
+
+
+def topk_of_length(all_: DataFrame, dim: int, query_filter: str, k: int, pivots: int, block: int, query_block: int) -> DataFrame:
+    """topk_join for quantised vectors of one length."""
+    spark = all_.sparkSession
+    scratch = Scratch(spark, "voronoi")
     chosen = all_.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     centres = np.array([r["v"] for r in chosen], np.float64)
     held = spark.sparkContext.broadcast(centres)

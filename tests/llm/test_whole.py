@@ -46,3 +46,15 @@ def test_language_of_rows_without_an_id(spark):
     rows = [(i, "abc bca cab " * 9, "aa", "s", 1) for i in range(9)] + [(None, "abc cab bca " * 9, None, "s", 1), (None, "12", None, "s", 1)]
     got = cp.identified(spark, spark.createDataFrame(rows, ROW), "").collect()
     assert sorted((r["doc_id"] is None, r["text"]) for r in got) == sorted((r[0] is None, r[1]) for r in rows[:-1])
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=(6, 6, 6, 3, 3, 0)[i % 6]).tolist()) for i in range(200)]
+    q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vectors}
+    want = set()
+    for i in range(0, 200, 25):
+        best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i and len(q[j]) == len(q[i]))[:5]
+        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in vt.topk_join(df, query_filter="vec_id % 25 = 0", pivots=8).collect()} == want
