@@ -164,8 +164,16 @@ def mode_comparison(modes: dict[str, DataFrame]) -> DataFrame:
     return em_summary(out, ["mode"]).join(F.broadcast(more), "mode")
 
 
+def in_all(samples: DataFrame, systems: dict[str, DataFrame], key: str) -> DataFrame:
+    """The samples that every system has; to be taken before a quota is drawn from them."""
+    for _, rows in sorted(systems.items()):
+        samples = samples.join(rows.select(key), key, "left_semi")
+    return samples
+
+
 def judge_sheet(samples: DataFrame, systems: dict[str, DataFrame], key: str, order: Column) -> DataFrame:
-    """A row for each sample and system that has it, with numbered samples and systems, ready for a judge's marks."""
+    """A row for each system and each sample that all have, with numbered samples and systems, ready for a judge's marks."""
+    samples = in_all(samples, systems, key)
     number = F.row_number().over(Window.orderBy(order, key))  # a sample: as many rows as a judge reads
     named = samples.withColumn("sample_id", F.format_string("judge_%04d", number))
     out = None

@@ -475,8 +475,9 @@ def mode_comparison(spark, sf_dir):
     SELECT doc_id, sample_id, model_slot, model_label, prediction FROM s JOIN m USING (doc_id)""")
 def judge_sheet(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    some = D.stratified_sample(load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "toxic", 1, 60).select("doc_id")
     told = {c: docs.select("doc_id", F.col(c).alias("prediction")) for c in ("lang", "source")}
+    labels = E.in_all(load(spark, sf_dir, "labels").select("doc_id", "toxic"), told, "doc_id")
+    some = D.stratified_sample(labels, "doc_id", "toxic", 1, 60).select("doc_id")
     return E.judge_sheet(some, told, "doc_id", D.draw(F.col("doc_id"), 42))
 
 

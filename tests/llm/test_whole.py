@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from corvane.llm import decontaminate as dc
@@ -58,3 +59,12 @@ def test_vectors_of_several_lengths(spark):
         want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in vt.topk_join(df, query_filter="vec_id % 25 = 0", pivots=8).collect()} == want
+
+
+def test_judged_samples_are_in_all_systems(spark):
+    make = lambda ids: spark.createDataFrame([(i, f"p{i}") for i in ids], "k long, prediction string")
+    systems = {"a": make([1, 2, 3, 4]), "b": make([2, 3, 4, 5]), "c": make([4, 2, 9])}
+    samples = spark.createDataFrame([(i,) for i in range(1, 6)], "k long")
+    got = E.judge_sheet(samples, systems, "k", F.col("k")).collect()
+    assert {(r["k"], r["sample_id"], r["model_label"]) for r in got} == {(k, s, m) for k, s in ((2, "judge_0001"), (4, "judge_0002")) for m in "abc"}
+    assert {r["k"] for r in E.in_all(samples, systems, "k").collect()} == {2, 4}
