@@ -1,25 +1,28 @@
 """Removal of word runs that an earlier document also has (operator 4), by seed and extend.
 
-Seeds are winnowed anchors of ``SEED`` words: each window of ``length`` words holds one,
-and equal windows hold equal ones. Documents are joined on the seeds that lie in more
+Seeds are winnowed anchors of up to ``SEED`` words: each window of ``length`` words holds
+one, and equal windows hold equal ones. Documents are joined on the seeds that lie in more
 than one document. A seed is extended both ways for its whole group at once, not pair by
 pair, since pairs grow with the square of a group of copies:
 
 1. as far as any window with this seed can reach. Where a smaller document has the seed
    with the same surroundings, every window around it recurs, and the match goes on into
    the next seed;
-2. for one representative of each of the other surroundings, window by window: the
-   windows around the seed, up to length - SEED + 1 of them, are matched by 128-bit
-   fingerprints with the smallest document that has them.
+2. at the open ends, for one representative of each of the other surroundings, word by
+   word: the windows around the seed, up to length - seed + 1 of them, are matched by
+   128-bit fingerprints with the smallest document that has them.
 
-The matched windows around neighbouring seeds join into maximal repeats.
+The matches around neighbouring seeds join into maximal repeats.
 
-Scale: work and rows are linear in the anchors, about a fifth of the words. Counts are
-combined before the shuffle and hot seeds are sort-merge joined, which AQE splits.
+Scale: work and rows are linear in the anchors, about a quarter of the words. The anchors
+are computed twice rather than written: once to count seeds in each task before the
+shuffle, once to join those that documents share. A seed or surrounding of many rows is
+dealt over several tasks. Each step's shuffle and tables go before the next one's.
 
 Words are maximal runs outside ASCII white space, unchanged. Null texts are empty; texts
 under ``length`` words lose nothing; rows without an id take no part; rows that repeat a
-doc_id are one document, none of them smaller than the other. Other columns are ignored.
+doc_id are cut each by its own text, none of them smaller than the other. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ from pyspark.sql import functions as F
 
 from . import winnow
 from .arrow import batch, longs
-from .common import Scratch, texts
+from .common import Scratch, dealt_join, texts, variant
 
-SEED = 4
+SEED = 6
 KNOWN_WORDS = 400_000
 
 
@@ -53,45 +56,59 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def seed_words(length: int) -> int:
+    return max(1, min(SEED, length // 2))
+
+
+def anchor_rows(docs: DataFrame, length: int, counts: bool = False) -> DataFrame:
+    """Each anchor's seed, surroundings and place; or of each seed the first and last document and the rows, in each task by chunks."""
+
     def run(batches):
         known = WordHashes()
 
-        def flush(ids, values):
-            offsets = np.cumsum([0, *map(len, values)])
-            for of, at, a, c in winnow.batch_anchors(np.concatenate(values), offsets, SEED, length):
-                yield batch(a=a.view(np.int64), c=c.view(np.int64), doc_id=np.array(ids)[of], pos=at.astype(np.int32))
+        def flush(ids, variants, values):
+            offsets, ids, variants = np.cumsum([0, *map(len, values)]), np.array(ids), np.array(variants, np.int32)
+            for of, at, a, c in winnow.batch_anchors(np.concatenate(values), offsets, seed_words(length), length):
+                a, doc = a.view(np.int64), ids[of]
+                if not counts:
+                    yield batch(a=a, c=c.view(np.int64), doc_id=doc, variant=variants[of], pos=at.astype(np.int32))
+                elif len(a):
+                    by = np.argsort(a, kind="stable")
+                    begin = np.flatnonzero(np.append(True, a[by][1:] != a[by][:-1]))
+                    yield batch(a=a[by][begin], first=np.minimum.reduceat(doc[by], begin), last=np.maximum.reduceat(doc[by], begin), n=np.diff(np.append(begin, len(a))).astype(np.int32))
 
         for b in batches:
-            ids, values, held = [], [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids, variants, values, held = [], [], [], 0
+            for doc, which, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 ids.append(doc)
+                variants.append(which)
                 values.append(known.of(text.as_py().split()))
                 held += len(values[-1])
                 if held > 400_000:
-                    yield from flush(ids, values)
-                    ids, values, held = [], [], 0
+                    yield from flush(ids, variants, values)
+                    ids, variants, values, held = [], [], [], 0
             if ids:
-                yield from flush(ids, values)
+                yield from flush(ids, variants, values)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "a long, c long, doc_id long, pos int")
+    schema = "a long, first long, last long, n int" if counts else "a long, c long, doc_id long, variant int, pos int"
+    return docs.select("doc_id", "variant", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def windows_around(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The windows around the wanted seeds (a, c, doc_id, pos): fingerprint and start, relative to the seed."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("c").alias("c"), F.collect_list("pos").alias("pos"))
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(by_doc, "doc_id")
+    """The windows around the wanted seeds (a, c, doc_id, variant, pos): fingerprint and start, relative to the seed."""
+    by_doc = wanted.groupBy("doc_id", "variant").agg(F.collect_list("a").alias("a"), F.collect_list("c").alias("c"), F.collect_list("pos").alias("pos"))
+    joined = docs.select("doc_id", "variant", F.col("text").cast("binary").alias("text")).join(by_doc.hint("merge"), ["doc_id", "variant"])
 
     def run(batches):
         known = WordHashes()
         for b in batches:
-            for doc, text, a, c, pos in zip(*b.columns, strict=True):
+            for doc, text, a, c, pos in zip(*(b.column(x) for x in ("doc_id", "text", "a", "c", "pos")), strict=True):
                 values = known.of(text.as_py().split())
                 if len(values) < length:
                     continue
                 f1, f2 = (winnow.mix(winnow.Rolling(v).raw(length)) for v in (values, winnow.mix(values)))
                 p = pos.values.to_numpy().astype(np.int64)
-                back = np.arange(length - SEED + 1)
+                back = np.arange(length - seed_words(length) + 1)
                 start = p[:, None] - back
                 row, o = np.nonzero((start >= 0) & (start < len(f1)) & (p[:, None] < len(values)))
                 s = start[row, o]
@@ -101,33 +118,42 @@ def windows_around(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 13) -> DataFrame:
-    """(doc_id, lo, hi) in words, possibly overlapping: what recurs from a smaller document; hi may pass the text's end."""
-    room = length - SEED
-    anchors = scratch.keep(anchor_rows(docs, length), "anchors")
-    shared = anchors.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "first")
-    seen = scratch.keep(anchors.join(shared, "a"), "seen")
-    scratch.drop("anchors")
-    same = seen.groupBy("a", "c").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    same = scratch.keep(same.select("a", "c", F.col("at.doc_id").alias("same_first"), F.col("at.pos").alias("same_pos")), "same")
-    joined = scratch.keep(seen.join(same.drop("same_pos"), ["a", "c"]).where("doc_id > first"), "joined")
-    scratch.drop("seen")
-    settled = joined.where("same_first < doc_id").select("doc_id", F.greatest(F.col("pos") - room, F.lit(0)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
-    open_ = joined.where("same_first = doc_id").select("a", "c", "doc_id", "pos")
-    wanted = same.join(open_.select("a").distinct(), "a", "left_semi").select("a", "c", F.col("same_first").alias("doc_id"), F.col("same_pos").alias("pos"))
+    """(doc_id, variant, lo, hi) in words, possibly overlapping: what recurs from a smaller document; hi may pass the text's end."""
+    room, place = length - seed_words(length), ["doc_id", "variant", "pos"]
+    shared = anchor_rows(docs, length, counts=True).groupBy("a").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    shared = scratch.keep(shared.where("first < last").select("a", "first", "n"), "shared")
+    scratch.drop()
+    seen = dealt_join(anchor_rows(docs, length), shared, ["a"], "n", ["doc_id", "pos"]).drop("n")
+    seen = scratch.keep(seen, "seen")
+    scratch.drop("shared")
+    same = seen.groupBy("a", "c").agg(F.min(F.struct(*place)).alias("at"), F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    same = scratch.keep(same.select("a", "c", F.col("at.doc_id").alias("same_first"), "at.variant", "at.pos", "n", "first"), "same")
+    # Surroundings whose first document is the seed's first too are where matches start; only the others can be open.
+    joined = dealt_join(seen.where("doc_id > first").drop("first"), same.select("a", "c", "same_first", "n"), ["a", "c"], "n", ["doc_id", "pos"])
+    joined = scratch.keep(joined.select("a", "c", "same_first", *place), "joined")
+    wanted = same.join(same.where("same_first > first").select("a").distinct().hint("merge"), "a", "left_semi").select("a", "c", F.col("same_first").alias("doc_id"), "variant", "pos")
+    wanted = scratch.keep(wanted, "wanted")
+    scratch.drop("seen", "same")
     around = scratch.keep(windows_around(docs, wanted, length), "around")
-    firsts = around.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("f1", "f2", "first")
+    scratch.drop("wanted")
+    firsts = around.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = scratch.keep(firsts.where("first < last").select("f1", "f2", "first", "n"), "firsts")
+    scratch.drop()
     # All windows here hold one seed, so what they cover together is one run.
-    hit = around.join(firsts, ["f1", "f2"]).where("first < doc_id").groupBy("a", "c").agg(F.max("o").alias("far"), F.min("o").alias("near"))
-    fitted = open_.join(hit, ["a", "c"]).select("doc_id", (F.col("pos") - F.col("far")).cast("long").alias("lo"), (F.col("pos") - F.col("near") + length).cast("long").alias("hi"))
+    hit = dealt_join(around, firsts, ["f1", "f2"], "n", ["c", "o"]).where("first < doc_id").groupBy("a", "c").agg(F.max("o").alias("far"), F.min("o").alias("near"))
+    hit = scratch.keep(hit, "hit")
+    scratch.drop("around", "firsts")
+    settled = joined.where("same_first < doc_id").select("doc_id", "variant", F.greatest(F.col("pos") - room, F.lit(0)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
+    fitted = joined.where("same_first = doc_id").join(hit, ["a", "c"]).select("doc_id", "variant", (F.col("pos") - F.col("far")).cast("long").alias("lo"), (F.col("pos") - F.col("near") + length).cast("long").alias("hi"))
     spans = scratch.keep(settled.unionByName(fitted), "spans")
-    scratch.drop("joined", "same", "around")
+    scratch.drop("joined", "hit")
     return spans
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
     """Each text without its spans of words: counts, SHA-256 of the words left, and the maximal spans."""
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(by_doc, "doc_id", "left")
+    by_doc = spans.groupBy("doc_id", "variant").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    joined = docs.select("doc_id", "variant", F.col("text").cast("binary").alias("text")).join(by_doc.hint("merge"), ["doc_id", "variant"], "left").drop("variant")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<lo: long, hi: long>>" + ", kept binary" * with_text
     span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
@@ -157,8 +183,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> Dat
 
 def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Remove each word covered by a window of ``length`` words that a document with a smaller id also has."""
-    if length <= SEED:
-        raise ValueError(f"length must be over {SEED}")
-    docs = texts(docs, id_col, text_col)
+    if length < 2:
+        raise ValueError("length must be 2 or more")
+    docs = texts(docs, id_col, text_col).withColumn("variant", variant(F.col("text")))
     scratch = Scratch(docs.sparkSession, "substring")
     return cut_spans(docs, repeated_spans(docs, scratch, length), with_text)

@@ -1,13 +1,17 @@
 """Cases in which the operators once did less than the whole job."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from corvane.llm import common
 from corvane.llm import decontaminate as dc
+from corvane.llm import substring_dedup as sub
 from corvane.llm import voronoi_topk as vt
 from corvane.operators import evaluation as E
 
@@ -68,3 +72,34 @@ def test_judged_samples_are_in_all_systems(spark):
     got = E.judge_sheet(samples, systems, "k", F.col("k")).collect()
     assert {(r["k"], r["sample_id"], r["model_label"]) for r in got} == {(k, s, m) for k, s in ((2, "judge_0001"), (4, "judge_0002")) for m in "abc"}
     assert {r["k"] for r in E.in_all(samples, systems, "k").collect()} == {2, 4}
+
+
+def repeated_ids(seed, n=90, words=60, sep=" "):
+    """Rows of which many share an id, with equal and with different texts."""
+    rnd = random.Random(seed)
+    base = [[f"w{rnd.randrange(9)}" for _ in range(words)] for _ in range(4)]
+    rows = []
+    for _ in range(n):
+        a, b = rnd.choice(base), rnd.choice(base)
+        j, k = rnd.randrange(words), rnd.randrange(words)
+        rows.append((rnd.randrange(40), sep.join(rnd.choice([a, a[:j] + b[j:], [f"x{len(rows)}", *a[min(j, k) : max(j, k)]], [f"y{len(rows)}-{i}" for i in range(words)]]))))
+    return rows + rows[:10]
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_substring_of_repeated_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = repeated_ids(1)
+    first = {}
+    for i, t in sorted(rows):
+        w = t.split()
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    want = Counter()
+    for i, t in rows:
+        w = t.split()
+        gone = {k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(j, j + 13)}
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
+    got = sub.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r)[:4] for r in got.collect()) == want
+    assert sum(n for (_, _, gone, _), n in want.items() if gone) > 20
