@@ -93,12 +93,13 @@ def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spread: list[str]) -> DataFrame:
+def dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spread: list[str], total: int | None = None) -> DataFrame:
     """Inner join of rows with keys, a written table of one row for each key and how many rows have it.
 
     A key of over ``limit`` rows is dealt by ``spread`` over several tasks, each with a copy of the
     key's row. At most HOT_KEYS keys can have so many rows; only these are broadcast."""
-    limit = max(HOT_ROWS, -(-(keys.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS))
+    total = keys.agg(F.sum(count)).first()[0] or 0 if total is None else total
+    limit = max(HOT_ROWS, -(-total // HOT_KEYS))
     shares = F.ceil(F.col(count) / limit).cast("int")
     hot = keys.where(F.col(count) > limit).select(*on, shares.alias("__shares"))
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__share", F.coalesce(F.pmod(F.hash(*spread), F.col("__shares")), F.lit(0))).drop("__shares")
