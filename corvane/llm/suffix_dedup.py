@@ -10,13 +10,17 @@ orders each group with a longer common prefix. The longest common prefixes to th
 and those of the reversed text to the left, tell which windows around an anchor recur.
 
 Scale: texts never meet in one place. Anchors, about one in 65 bytes, are counted with
-map-side aggregation; hot seeds are joined by sort-merge, which AQE splits. A seed with
-over ``group_limit`` distinct surroundings, too many for one task, has its windows
-spread over the cluster as hashed rows instead, which gives the same result.
+map-side aggregation; a seed or surrounding of many rows is dealt over several tasks. A
+seed with over ``group_limit`` distinct surroundings, too many for one sort, makes deeper
+buckets first: two windows of ``length`` bytes around the seed agree either on half the
+room more to its left or on half the room more to its right, so its rows go to the buckets
+of these two longer strings, each for its half of the windows, and so on until buckets fit.
+A bucket of whole windows needs no sort: its rows are equal.
 
 Null texts are empty; texts under ``length`` bytes lose nothing; rows without an id take
-no part. doc_id is taken as the key: rows that repeat an id with the same text count as
-repeats of each other. Other columns are ignored, whatever their names.
+no part. Rows that repeat an id count each: with the same text they are repeats of each
+other, with different ones each is cut by its own. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import winnow
 from .arrow import batch, binary, longs
-from .common import Scratch, parts, texts
+from .common import Scratch, dealt_join, parts, texts, variant
 
 SEED = 72
 SHALLOW = 32
@@ -157,16 +161,16 @@ def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray,
     return order, lcp
 
 
-def recurring_windows(key: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def recurring_windows(key: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of each surrounding recur: (row, window start's distance before the anchor).
 
     left: reversed bytes before the anchor; right: bytes from the anchor on; both padded.
+    least, most: the distances that a row's bucket is for.
     A window with o bytes on the left recurs iff another row of the same key agrees on the
     first o bytes of left and the first length - o of right: iff it is in the same group of
     both suffix arrays, cut where the longest common prefix is under that depth.
     """
     m = len(key)
-    where = np.empty(m, np.int64)
     by_key = np.unique(key, return_inverse=True)[1]
     sides = []
     for rows in (left, right):
@@ -176,7 +180,7 @@ def recurring_windows(key: np.ndarray, left: np.ndarray, right: np.ndarray, n_le
     out_row, out_o = [], []
     rank = np.empty(m, np.int64)
     for o in range(length - SEED + 1):
-        fits = (n_left >= o) & (n_right >= length - o)
+        fits = (n_left >= o) & (n_right >= length - o) & (least <= o) & (o <= most)
         if not fits.any():
             continue
         ids = []
@@ -189,7 +193,6 @@ def recurring_windows(key: np.ndarray, left: np.ndarray, right: np.ndarray, n_le
         hit = rows[n[at] > 1]
         out_row.append(hit)
         out_o.append(np.full(len(hit), o))
-    del where
     return (np.concatenate(out_row), np.concatenate(out_o)) if out_row else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -207,28 +210,28 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         table = winnow.byte_values()
         for b in batches:
-            ids = longs(b.column(0))
-            data, offsets = binary(b.column(1))
+            ids, variants = longs(b.column(0)), longs(b.column(1))
+            data, offsets = binary(b.column(2))
             for of, at, a, c in winnow.batch_anchors(data, offsets, SEED, length, lambda x: table[x]):
-                yield batch(a=a.view(np.int64), c=c.view(np.int64), doc_id=ids[of], pos=at.astype(np.int32))
+                yield batch(a=a.view(np.int64), c=c.view(np.int64), doc_id=ids[of], variant=variants[of], pos=at.astype(np.int32))
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "a long, c long, doc_id long, pos int")
+    return docs.select("doc_id", "variant", F.col("text").cast("binary").alias("text")).mapInArrow(run, "a long, c long, doc_id long, variant int, pos int")
 
 
 def surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes around the wanted anchors (a, c, n, doc_id, pos)."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "c", "n", "pos")).alias("at"))
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(by_doc, "doc_id")
+    """The bytes around the wanted anchors (a, c, n, doc_id, variant, pos)."""
+    by_doc = wanted.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("a", "c", "n", "pos")).alias("at"))
+    joined = docs.select("doc_id", "variant", F.col("text").cast("binary").alias("text")).join(by_doc.hint("merge"), ["doc_id", "variant"])
     room = length - SEED
 
     def run(batches):
         for b in batches:
             out = []
-            for doc, text, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for doc, which, text, at in zip(*(b.column(x).to_pylist() if x != "text" else b.column(x) for x in ("doc_id", "variant", "text", "at")), strict=True):
                 text = text.as_py()
-                for x in at.as_py():
+                for x in at:
                     p = x["pos"]
-                    out.append((x["a"], x["c"], x["n"], doc, p, text[max(0, p - room) : p][::-1], text[p : p + length]))
+                    out.append((x["a"], x["c"], x["n"], doc, which, p, text[max(0, p - room) : p][::-1], text[p : p + length]))
                 if len(out) > 20_000:
                     yield pack(out)
                     out = []
@@ -236,10 +239,10 @@ def surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pack(out)
 
     def pack(out):
-        a, c, n, doc, pos, left, right = zip(*out, strict=True)
-        return batch(a=pa.array(a, pa.int64()), c=pa.array(c, pa.int64()), n=pa.array(n, pa.int64()), doc_id=pa.array(doc, pa.int64()), pos=pa.array(pos, pa.int32()), before=pa.array(left, pa.binary()), after=pa.array(right, pa.binary()))
+        a, c, n, doc, which, pos, left, right = zip(*out, strict=True)
+        return batch(a=pa.array(a, pa.int64()), c=pa.array(c, pa.int64()), n=pa.array(n, pa.int64()), doc_id=pa.array(doc, pa.int64()), variant=pa.array(which, pa.int32()), pos=pa.array(pos, pa.int32()), before=pa.array(left, pa.binary()), after=pa.array(right, pa.binary()))
 
-    return joined.mapInArrow(run, "a long, c long, n long, doc_id long, pos int, before binary, after binary")
+    return joined.mapInArrow(run, "a long, c long, n long, doc_id long, variant int, pos int, before binary, after binary")
 
 
 def padded(values: list[bytes], width: int) -> np.ndarray:
@@ -247,64 +250,67 @@ def padded(values: list[bytes], width: int) -> np.ndarray:
 
 
 def solve_bucket(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Deep-shallow sort all surroundings of a bucket of seeds; give the covers of unsettled ones."""
+    """Deep-shallow sort all surroundings of some buckets; give the covers of unsettled ones."""
     n_left, n_right = pdf["before"].str.len().to_numpy(), pdf["after"].str.len().to_numpy()
-    row, o = recurring_windows(pdf["a"].to_numpy(), padded(pdf["before"].tolist(), length - SEED), padded(pdf["after"].tolist(), length), n_left, n_right, pdf["n"].to_numpy(), length)
+    row, o = recurring_windows(pdf["bucket"].to_numpy(), padded(pdf["before"].tolist(), length - SEED), padded(pdf["after"].tolist(), length), n_left, n_right, pdf["least"].to_numpy(), pdf["most"].to_numpy(), length)
     row, lo, hi = window_runs(row, o, length)
     pos = pdf["pos"].to_numpy()[row].astype(np.int64)
-    got = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "lo": pos + lo, "hi": pos + hi})
+    got = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "variant": pdf["variant"].to_numpy()[row], "lo": pos + lo, "hi": pos + hi})
     return got[pdf["n"].to_numpy()[row] == 1]
 
 
-def spread_windows(rows: DataFrame, length: int) -> DataFrame:
-    """For seeds with too many surroundings for one task: their windows as hashed rows."""
+def deeper(rows: DataFrame, length: int) -> DataFrame:
+    """The rows of large buckets in the two buckets of half their windows each, by the longer strings that these have in common."""
+    half = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+    on_left = rows.withColumn("least", half + 1).where(F.length("before") >= F.col("least")).withColumn("bucket", F.xxhash64("bucket", F.lit(0), F.expr("substring(before, 1, least)")))
+    on_right = rows.withColumn("most", half).where(F.length("after") >= length - F.col("most")).withColumn("bucket", F.xxhash64("bucket", F.lit(1), F.expr(f"substring(after, 1, {length} - most)")))
+    return on_left.unionByName(on_right)
 
-    def run(batches):
-        for b in batches:
-            for a, n, doc, pos, left, right in zip(*(b.column(k).to_pylist() for k in ("a", "n", "doc_id", "pos", "before", "after")), strict=True):
-                whole = left[::-1] + right
-                at = range(max(0, len(left) - (length - SEED)), min(len(left), len(whole) - length) + 1)
-                if len(at):
-                    keys = [hashlib.blake2b(whole[i : i + length], digest_size=16).digest() for i in at]
-                    k = len(keys)
-                    yield batch(a=pa.array([a] * k, pa.int64()), w=pa.array(keys, pa.binary()), n=pa.array([n] * k, pa.int64()), doc_id=pa.array([doc] * k, pa.int64()), lo=pa.array([pos - len(left) + i for i in at], pa.int64()))
 
-    windows = rows.mapInArrow(run, "a long, w binary, n long, doc_id long, lo long")
-    shared = windows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "w")
-    return windows.where("n = 1").join(shared, ["a", "w"]).select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
+def sized_buckets(open_: DataFrame, scratch: Scratch, length: int, group_limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Buckets of at most group_limit rows to sort; and larger ones of one whole window each, with the rows' count."""
+    todo, fit, whole, depth = open_, [], [], 0
+    while True:
+        sizes = scratch.keep(todo.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group_limit), f"large{depth}")
+        if sizes.isEmpty():
+            return [*fit, todo], whole
+        fit.append(todo.join(sizes.hint("merge"), "bucket", "left_anti"))
+        large = dealt_join(todo, sizes, ["bucket"], "rows", ["doc_id", "pos"]).drop("rows")
+        whole.append(large.where("least = most"))
+        depth += 1
+        todo = scratch.keep(deeper(large.where("least < most"), length), f"deeper{depth}")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, group_limit: int = 100_000) -> DataFrame:
-    """(doc_id, lo, hi): byte spans, possibly overlapping, whose union is all that recurs; hi may pass the text's end."""
+    """(doc_id, variant, lo, hi): byte spans, possibly overlapping, whose union is all that recurs; hi may pass the text's end."""
     spark = docs.sparkSession
     anchors = scratch.keep(anchor_rows(docs, length), "anchors")
-    shared = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
-    seen = scratch.keep(anchors.join(shared, "a"), "seen")
-    scratch.drop("anchors")
-    same = seen.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
-    same = scratch.keep(same.select("a", "c", "n", "at.doc_id", "at.pos"), "same")
-    settled = seen.join(same.where("n > 1").select("a", "c"), ["a", "c"])
-    settled = settled.select("doc_id", F.greatest(F.col("pos") - (length - SEED), F.lit(0)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
+    shared = scratch.keep(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
+    seen = scratch.keep(dealt_join(anchors, shared, ["a"], "k", ["doc_id", "pos"]).drop("k"), "seen")
+    scratch.drop("anchors", "shared")
+    same = seen.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "variant", "pos")).alias("at"))
+    same = scratch.keep(same.select("a", "c", "n", "at.doc_id", "at.variant", "at.pos"), "same")
+    settled = dealt_join(seen, same.where("n > 1").select("a", "c", "n"), ["a", "c"], "n", ["doc_id", "pos"])
+    settled = settled.select("doc_id", "variant", F.greatest(F.col("pos") - (length - SEED), F.lit(0)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
     # Where all surroundings of a seed but one recur as wholes, that one still has to be compared with a copy of each.
     kinds = same.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).where("m > 1 and open = 1")
-    open_ = scratch.keep(surroundings(docs, same.join(kinds.select("a"), "a"), length), "open")
-    big = kinds.where(F.col("m") > group_limit).select("a")
-    any_big = bool(big.take(1))
-    inner = open_.join(big, "a", "left_anti") if any_big else open_
-    buckets = max(parts(spark), open_.count() // BUCKET_ROWS + 1)
-    fitted = inner.groupBy(F.expr(f"pmod(a, {buckets})")).applyInPandas(lambda pdf: solve_bucket(pdf, length), "doc_id long, lo long, hi long")
-    spans = settled.unionByName(fitted)
-    if any_big:
-        spans = spans.unionByName(spread_windows(open_.join(big, "a", "left_semi"), length))
-    spans = scratch.keep(spans, "spans")
-    scratch.drop("seen", "same", "open")
-    return spans
+    kinds = scratch.keep(kinds.select("a", "m"), "kinds")
+    open_ = surroundings(docs, dealt_join(same, kinds, ["a"], "m", ["c"]), length)
+    open_ = scratch.keep(open_.withColumn("bucket", F.col("a")).withColumn("least", F.lit(0)).withColumn("most", F.lit(length - SEED)), "open")
+    fit, whole = sized_buckets(open_, scratch, length, group_limit)
+    spans = settled
+    for some in fit:
+        tasks = max(parts(spark), some.count() // BUCKET_ROWS + 1)
+        spans = spans.unionByName(some.groupBy(F.pmod("bucket", F.lit(tasks))).applyInPandas(lambda pdf: solve_bucket(pdf, length), "doc_id long, variant int, lo long, hi long"))
+    for some in whole:
+        spans = spans.unionByName(some.where("n = 1").select("doc_id", "variant", (F.col("pos") - F.col("least")).cast("long").alias("lo"), (F.col("pos") - F.col("least") + length).cast("long").alias("hi")))
+    return scratch.keep(spans, "spans")
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
     """Each text without its spans, as counts and the SHA-256 of what is left (and the bytes left)."""
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(by_doc, "doc_id", "left")
+    by_doc = spans.groupBy("doc_id", "variant").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    joined = docs.select("doc_id", "variant", F.col("text").cast("binary").alias("text")).join(by_doc.hint("merge"), ["doc_id", "variant"], "left").drop("variant")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches):
@@ -336,6 +342,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else."""
     if length <= SEED:
         raise ValueError(f"length must be over {SEED}")
-    docs = texts(docs, id_col, text_col)
+    docs = texts(docs, id_col, text_col).withColumn("variant", variant(F.col("text")))
     scratch = Scratch(docs.sparkSession, "suffix")
-    return cut_spans(docs, repeated_spans(docs, scratch, length, group_limit), with_text)
+    spans = repeated_spans(docs, scratch, length, group_limit)
+    scratch.drop("seen", "same", "kinds", "open")
+    return cut_spans(docs, spans, with_text)
