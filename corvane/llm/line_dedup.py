@@ -4,19 +4,23 @@ A document is its sequence of lines that are not blank. Lines that occur once ge
 no repeated run can hold them. The others get ids in the order of their digests, and
 prefix doubling ranks the suffixes that start at them by their first 2, 4, ... lines:
 a rank at depth h and the rank h lines on make the rank at depth 2h. Suffixes with equal
-ranks at depth ``min_lines`` form an interval of the suffix array whose longest common
-prefix is at least that; deeper intervals lie inside, so doubling stops there. In each
-interval the first suffix, by (doc_id, line), stays; the lines that the others share with
-it are later copies and go. Runs covered line by line by such intervals are the maximal
-repeated runs. A single line of ``long_line`` characters or more counts as a run.
+ranks at a depth form an interval of the suffix array whose longest common prefix is at
+least that; the others leave, and doubling goes on until none is tied. In each interval
+the first suffix, by (doc_id, line), stays; the lines that the others share with it are a
+later copy of a run. A suffix counts with the deepest interval in which it is a later
+copy. A run whose length is not a power of two is covered by two that are, from its start
+and to its end, so the overlapping ones join into the maximal runs of later copies; these
+go. A run has ``min_lines`` lines or more, or is a line of ``long_line`` characters or more.
 
 Scale: lines travel as 16-byte digests. Ids and ranks are dealt by range over distinct
-keys, counted before the shuffle, so a line that makes up a third of the corpus is one
-key; its occurrences meet the key's one row in a sort-merge join, which AQE splits.
+keys, counted before the shuffle; a line that makes up a third of the corpus is one key,
+and its occurrences are dealt over several tasks. There are as many rounds as the longest
+repeated run's length has binary digits, over ever fewer suffixes.
 
 Null text stays null and has no lines; blank lines stay; a document may lose all lines
-and becomes empty. Rows without an id are returned unchanged. Rows that repeat an id are
-one document: they are no copies of each other. Other columns stay, whatever their names.
+and becomes empty. Rows without an id are returned unchanged. Rows that repeat an id with
+the same text are one document: they are no copies of each other; with different texts
+they are documents of their own. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,54 +28,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch, dealt_join, parts, variant
 
 FILLED = "filter(split({0}, '\\n', -1), x -> trim(both ' \\t\\r' from x) <> '')"
 
 
+PLACE = ["doc_id", "variant", "pos"]
+
+
 def dealt_ranks(keys: DataFrame, columns: list[str], scratch: Scratch, name: str) -> DataFrame:
     """Number distinct keys from 0 in their order, without one task seeing them all."""
-    ranged = scratch.keep(keys.repartitionByRange(parts(keys.sparkSession), *columns).withColumn("part", F.spark_partition_id()), name)
+    ranged = scratch.keep(keys.repartitionByRange(parts(keys.sparkSession), *columns).withColumn("part", F.spark_partition_id()), f"{name}_ranged")
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     local = F.row_number().over(Window.partitionBy("part").orderBy(*columns)) - 1
-    return ranged.withColumn("local", local).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("local")).drop("part", "before", "local")
+    numbered = ranged.withColumn("local", local).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("local"))
+    return scratch.keep(numbered.drop("part", "before", "local"), name)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(F.expr(FILLED.format("text"))).alias("pos", "line"))
-    return rows.select("doc_id", "pos", F.unhex(F.md5("line")).alias("line_key"), F.length("line").alias("chars"))
+    rows = docs.select("doc_id", "variant", F.posexplode(F.expr(FILLED.format("text"))).alias("pos", "line"))
+    return rows.select(*PLACE, F.unhex(F.md5("line")).alias("line_key"), F.length("line").alias("chars"))
 
 
-def repeated_suffixes(docs: DataFrame, min_lines: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Suffixes in intervals of at least two at depth 1 and at depth min_lines: doc_id, pos, rank, first (of the interval), chars."""
+def later_runs(docs: DataFrame, min_lines: int, long_line: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, variant, pos, depth): of each suffix, the most lines, by doubling, for which it is a later copy."""
     lines = scratch.keep(line_rows(docs), "lines")
-    counted = [F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")]
-    keys = lines.groupBy("line_key").agg(*counted).where("n > 1").drop("n")
-    ids = dealt_ranks(keys, ["line_key"], scratch, "ids")
-    single = scratch.keep(lines.join(ids, "line_key").select("doc_id", "pos", "rank", "first", "chars").dropDuplicates(["doc_id", "pos", "rank"]), "depth1")
-    now, depth = single, 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ahead = now.select("doc_id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("rank2"))
-        pairs = scratch.keep(now.select("doc_id", "pos", F.col("rank").alias("rank1"), "chars").join(ahead, ["doc_id", "pos"]), f"pairs{depth + step}")
-        keys = pairs.groupBy("rank1", "rank2").agg(*counted).where("n > 1").drop("n")
-        ranks = dealt_ranks(keys, ["rank1", "rank2"], scratch, f"ranks{depth + step}")
+    counted = [F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")]
+    ids = dealt_ranks(lines.groupBy("line_key").agg(*counted).where("n > 1"), ["line_key"], scratch, "ids")
+    now = scratch.keep(dealt_join(lines, ids, ["line_key"], "n", ["doc_id", "pos"]).select(*PLACE, "rank", "first", "chars").dropDuplicates(PLACE), "depth1")
+    scratch.drop("lines", "ids", "ids_ranged")
+    later, depth = F.struct(*PLACE) > F.col("first"), 1
+    out = now.where(later if min_lines == 1 else later & (F.col("chars") >= long_line)).select(*PLACE, F.lit(1).alias("depth"))
+    while True:
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
+        ahead = now.select("doc_id", "variant", (F.col("pos") - step).alias("pos"), F.col("rank").alias("rank2"))
+        pairs = scratch.keep(now.select(*PLACE, F.col("rank").alias("rank1")).join(ahead.hint("merge"), PLACE), f"pairs{depth}")
+        ranks = dealt_ranks(pairs.groupBy("rank1", "rank2").agg(*counted).where("n > 1"), ["rank1", "rank2"], scratch, f"ranks{depth}")
+        tied = ranks.agg(F.sum("n")).first()[0]
+        if not tied:
+            break
         depth += step
-        now = scratch.keep(pairs.join(ranks, ["rank1", "rank2"]).select("doc_id", "pos", "rank", "first", "chars"), f"depth{depth}")
-    return single, now
+        now = scratch.keep(dealt_join(pairs, ranks, ["rank1", "rank2"], "n", ["doc_id", "pos"], tied).select(*PLACE, "rank", "first"), f"depth{depth}")
+        if depth >= min_lines:
+            out = out.unionByName(now.where(later).select(*PLACE, F.lit(depth).alias("depth")))
+        scratch.drop(f"pairs{depth - step}", f"ranks{depth - step}", f"ranks{depth - step}_ranged")
+    return out.groupBy(*PLACE).agg(F.max("depth").alias("depth"))
 
 
-def later_lines(docs: DataFrame, min_lines: int = 2, long_line: int = 200) -> DataFrame:
-    """(doc_id, gone): the positions, among lines that are not blank, of later copies."""
+def line_runs(docs: DataFrame, min_lines: int = 2, long_line: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, variant, lo, hi): the maximal runs of later copies, in numbers of lines that are not blank, without overlaps."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), variant(F.col(text_col)).alias("variant"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
-    single, runs = repeated_suffixes(docs, min_lines, scratch)
-    later = F.struct("doc_id", "pos") > F.col("first")
-    gone = runs.where(later).select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + min_lines - 1)).alias("pos"))
-    gone = gone.unionByName(single.where(later & (F.col("chars") >= long_line)).select("doc_id", "pos"))
-    out = scratch.keep(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")), "gone")
-    scratch.drop("lines", "ids")
-    return out
+    found = later_runs(own.where("doc_id is not null and text is not null"), min_lines, long_line, scratch)
+    order = Window.partitionBy("doc_id", "variant").orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("depth")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach > F.col("pos"), 0).otherwise(1)
+    run = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    runs = run.groupBy("doc_id", "variant", "run").agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("depth")).alias("hi"))
+    return scratch.keep(runs.drop("run"), "runs")
 
 
 def bound(value: Column, use) -> Column:
@@ -95,11 +110,13 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, long_line: int = 200, id_col
     """All rows and columns, the text without later copies of runs; counts names two more: lines not blank, and lines removed."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    gone = later_lines(own, min_lines, long_line).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")).hint("merge")
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left")
+    runs = line_runs(docs, min_lines, long_line, id_col, text_col)
+    spans = F.flatten(F.transform(F.collect_list(F.struct("lo", "hi")), lambda r: F.sequence(r["lo"], r["hi"] - 1)))
+    gone = runs.groupBy(F.col("doc_id").alias("__gone_id"), F.col("variant").alias("__gone_variant")).agg(spans.alias("__gone")).hint("merge")
+    same = (docs[id_col].cast("long") == F.col("__gone_id")) & (variant(docs[text_col]) == F.col("__gone_variant"))
+    joined = docs.join(gone, same, "left")
     text = F.col(text_col)
-    out = [kept_text(text, F.col("__gone")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    out = [kept_text(text, F.col("__gone")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         out += [F.coalesce(F.size(F.expr(FILLED.format(f"`{text_col}`"))), F.lit(0)).alias(counts[0]), F.coalesce(F.size("__gone"), F.lit(0)).alias(counts[1])]
     return joined.select(*out)
