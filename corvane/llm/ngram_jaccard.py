@@ -9,18 +9,19 @@ reaches the threshold, under a uniform prior, is below ``tolerance``. The rest i
 exactly, on the sets.
 
 Scale: pairs are compared inside tasks and never emitted; what leaves a task is a link
-count and at most one edge for each document. A group over ``BLOCK_ROWS`` classes is cut
-into blocks by hash, and each pair of blocks is a task, so a hot group is spread and no
-task holds more than two blocks. Sets and signatures are shipped only for classes that
-share a band. Components come from label propagation with pointer jumping over written
-tables; nothing about documents reaches the driver.
+count and at most one edge for each class. A group over ``BLOCK_ROWS`` classes, or whose
+sets have over ``BLOCK_RUNS`` runs, is cut into blocks by hash, and each pair of blocks is
+a task, so a hot group is spread and a task holds two blocks of bounded rows and bytes (or
+two texts). Sets and signatures are shipped only for classes that share a band. Components
+come from star contraction over written tables; nothing about documents reaches the driver.
 
 The bands find a pair at the threshold with a probability over 0.9999 (27 bands of 5
 values at 0.8: 1 - (1 - 0.8 ** 5) ** 27), more similar ones with higher.
 
 Null and empty texts, and those without a letter or digit, have no runs: each is alone
-and has no links. Rows that repeat an id with the same text are one document. Rows without
-an id take no part. Other columns are ignored.
+and has no links. Rows that repeat an id with the same set are one document; with different
+sets they are documents of their own, with a row each. Rows without an id take no part.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch
-from .common import Scratch, texts
+from .common import Scratch, texts, variant
 from .winnow import mix
 
 WORD = re.compile(r"[^\W_]+")
 HASHES, BANDS, ROWS = 135, 27, 5
 STEP = 15
-BLOCK_ROWS = 2048
+BLOCK_ROWS, BLOCK_RUNS = 2048, 2_000_000
 MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 SHIFTS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(1 << 32))
 
@@ -107,11 +108,11 @@ def fewest_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
 
 
 class Members:
-    """Documents of one block: ids, class sizes, signatures and sets."""
+    """Classes of one block: keys of their sets, documents in them, signatures and sets."""
 
     def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.assign(n=pdf["runs"].str.len() // 8).sort_values(["n", "doc_id"], ignore_index=True)
-        self.ids, self.copies, self.n = pdf["doc_id"].to_numpy(), pdf["copies"].to_numpy(), pdf["n"].to_numpy()
+        pdf = pdf.assign(n=pdf["runs"].str.len() // 8).sort_values(["n", "key"], ignore_index=True)
+        self.ids, self.copies, self.n = pdf["key"].to_numpy(), pdf["copies"].to_numpy(), pdf["n"].to_numpy()
         self.sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), HASHES)
         self.sets = [np.frombuffer(x, np.uint64) for x in pdf["runs"]]
 
@@ -184,12 +185,8 @@ def compare_blocks(pdf: pd.DataFrame, threshold: float, tolerance: float) -> pd.
             x, y = root(i), root(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    least: dict[int, int] = {}
-    roots = [root(x) for x in range(len(ids))]
-    for x, r in enumerate(roots):
-        least[r] = min(least.get(r, int(ids[x])), int(ids[x]))
-    got = pd.DataFrame({"doc_id": ids, "to": [least[r] for r in roots], "links": links})
-    return got[(got["links"] > 0) | (got["doc_id"] != got["to"])]
+    got = pd.DataFrame({"key": ids, "to": [ids[root(x)] for x in range(len(ids))], "links": links})
+    return got[got["links"] > 0]
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -217,25 +214,26 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def described(docs: DataFrame, ngram: int) -> DataFrame:
-    """(doc_id, key of the set, number of runs, band keys) of each document."""
+    """(doc_id, variant, key of the set, number of runs, band keys) of each document."""
 
     def run(batches):
         known = WordNumbers()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 keys, sizes, bands = [], [], []
-                for text in b.column(1)[at : at + 500]:
+                for text in b.column("text")[at : at + 500]:
                     s = shingles(text.as_py(), ngram, known)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     bands.append(band_keys(signature(s)).view(np.int64))
-                yield batch(doc_id=b.column(0)[at : at + 500], key=pa.array(keys, pa.binary()), n=pa.array(sizes, pa.int64()), bands=pa.array(bands, pa.list_(pa.int64())))
+                part = b.slice(at, 500)
+                yield batch(doc_id=part.column("doc_id"), variant=part.column("variant"), key=pa.array(keys, pa.binary()), n=pa.array(sizes, pa.int64()), bands=pa.array(bands, pa.list_(pa.int64())))
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, variant int, key binary, n long, bands array<long>")
 
 
 def with_sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """(doc_id, group, copies) with each document's signature and set, recomputed from its text."""
+    """(key, group, copies, blocks) with each class's signature and set, recomputed from its text."""
 
     def run(batches):
         known = WordNumbers()
@@ -243,48 +241,59 @@ def with_sets(docs: DataFrame, ngram: int) -> DataFrame:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = [shingles(t.as_py(), ngram, known) for t in part.column("text")]
-                yield batch(**{c: part.column(c) for c in ("doc_id", "group", "copies", "blocks")}, sig=pa.array([signature(s).tobytes() for s in sets], pa.binary()), runs=pa.array([s.tobytes() for s in sets], pa.binary()))
-
-    return docs.select("doc_id", "text", "group", "copies", "blocks").mapInArrow(run, "doc_id long, group long, copies long, blocks int, sig binary, runs binary")
+                yield batch(**{c: part.column(c) for c in ("key", "group", "copies", "blocks")}, sig=pa.array([signature(s).tobytes() for s in sets], pa.binary()), runs=pa.array([s.tobytes() for s in sets], pa.binary()))
 
+    return docs.select("key", "text", "group", "copies", "blocks").mapInArrow(run, "key binary, group binary, copies long, blocks int, sig binary, runs binary")
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, copy_of, class_id, n_links) of each document.
 
-    copy_of: the smallest document with the same set; class_id: the smallest document that
-    links lead to; n_links: how many other documents are within the threshold."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    own = texts(docs, id_col, text_col)
-    seen = scratch.keep(described(own, ngram), "seen")
+def classified(docs: DataFrame, scratch: Scratch, threshold: float, ngram: int, tolerance: float) -> DataFrame:
+    """(doc_id, variant, copy_of, class_id, n_links) of docs (doc_id, variant, text)."""
+    seen = scratch.keep(described(docs, ngram), "seen")
     filled = seen.where("n > 0")
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count_distinct("doc_id").alias("copies"))
-    classes = scratch.keep(classes, "classes")
-    heads = filled.join(classes, (filled["key"] == classes["key"]) & (filled["doc_id"] == classes["copy_of"]), "left_semi").dropDuplicates(["doc_id", "key"])
-    banded = heads.select("doc_id", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("band", "b")
-    edges = banded.join(stars, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    classes = filled.groupBy("key").agg(F.min(F.struct("doc_id", "variant")).alias("head"), F.count_distinct("doc_id").alias("copies"), F.min("n").alias("n"))
+    classes = scratch.keep(classes.select("key", "head.doc_id", "head.variant", "copies", "n"), "classes")
+    heads = filled.join(classes.select("key", "doc_id", "variant"), ["key", "doc_id", "variant"], "left_semi").dropDuplicates(["key"])
+    banded = heads.select("key", F.explode("bands").alias("band"))
+    stars = banded.groupBy("band").agg(F.min("key").alias("b"), F.max("key").alias("last")).where("b < last").select("band", "b")
+    edges = banded.join(stars, "band").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
     groups = components(scratch.keep(edges, "proposed"), scratch, "groups")
     groups = groups.unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = groups.join(sizes, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("group"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    members = scratch.keep(members.join(classes.select(F.col("copy_of").alias("doc_id"), "copies"), "doc_id"), "members")
-    held = scratch.keep(with_sets(own.join(members.hint("merge"), "doc_id"), ngram).dropDuplicates(["doc_id"]), "held")
-    dealt = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = classes.join(groups.withColumnRenamed("id", "key"), "key")
+    members = scratch.keep(members.withColumnRenamed("root", "group"), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_RUNS)).cast("int").alias("blocks")
+    members = members.join(members.groupBy("group").agg(blocks), "group").drop("n")
+    held = docs.join(members.hint("merge"), ["doc_id", "variant"]).dropDuplicates(["key"])
+    held = scratch.keep(with_sets(held, ngram), "held")
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other", "blocks")
-    got = dealt.groupBy("group", "first", "second").applyInPandas(lambda pdf: compare_blocks(pdf, threshold, tolerance), "doc_id long, to long, links long")
+    got = dealt.groupBy("group", "first", "second").applyInPandas(lambda pdf: compare_blocks(pdf, threshold, tolerance), "key binary, to binary, links long")
     got = scratch.keep(got, "links")
-    roots = components(got.select(F.col("doc_id").alias("a"), F.col("to").alias("b")), scratch, "roots")
-    counts = got.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    heads_out = classes.join(roots.withColumnRenamed("id", "copy_of"), "copy_of", "left").join(counts.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left")
-    heads_out = heads_out.select("key", "copy_of", F.coalesce("root", "copy_of").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = seen.select("doc_id", "key", "n").join(heads_out, "key", "left")
+    scratch.drop("proposed", "members", "held")
+    roots = components(got.select(F.col("key").alias("a"), F.col("to").alias("b")), scratch, "roots")
+    counts = got.groupBy("key").agg(F.sum("links").alias("links"))
+    linked_ = classes.select("key", F.col("doc_id").alias("copy_of"), "copies").join(roots.withColumnRenamed("id", "key"), "key", "left").join(counts, "key", "left")
+    linked_ = linked_.withColumn("root", F.coalesce("root", "key"))
+    least = linked_.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    heads_out = linked_.join(least, "root").select("key", "copy_of", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = seen.select("doc_id", "variant", "key", "n").join(heads_out, "key", "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")).distinct()
+    return out.select("doc_id", "variant", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(~alone, F.col("key")).alias("key"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, copy_of, class_id, n_links) of each document.
+
+    copy_of: the smallest document with the same set; class_id: the smallest document that
+    links lead to; n_links: how many other documents are within the threshold."""
+    own = texts(docs, id_col, text_col).withColumn("variant", variant(F.col("text")))
+    out = classified(own, Scratch(docs.sparkSession, "jaccard"), threshold, ngram, tolerance)
+    return out.select("doc_id", "copy_of", "class_id", "n_links", "key").distinct().drop("key")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest of their class, with all their columns; rows without an id stay."""
-    gone = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).where("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct().hint("merge")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    own = texts(docs, id_col, text_col).withColumn("variant", variant(F.col("text")))
+    found = classified(own, Scratch(docs.sparkSession, "jaccard"), threshold, ngram, tolerance)
+    gone = found.where("class_id < doc_id").select(F.col("doc_id").alias("__gone"), F.col("variant").alias("__variant")).distinct().hint("merge")
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("__gone")) & (variant(docs[text_col]) == F.col("__variant")), "left_anti")
