@@ -13,9 +13,11 @@ A retrieved item is a leak if enough of the n-grams of its question and of its a
 occur in the passage. The answer is the item's last sentence, or its last third where it
 has one sentence; n is ``ngram`` or, for shorter parts, all their words.
 
-Scale: one pass over the documents, no shuffle of text. The index of at most
-``items_at_once`` items is broadcast; a larger benchmark takes more passes, which share the
-word frequencies, lengths and passages of all items. Results are a
+Scale: one pass over the documents, no shuffle of text, for up to ``SHARDS`` times
+``items_at_once`` items and ``ITEM_BYTES`` of text, which are broadcast. An index holds
+``items_at_once`` of them; a document's words are numbered once and then looked up in each
+index. A larger benchmark takes more passes. All indexes share the word frequencies, lengths
+and passages of all items, so results do not depend on how items are dealt. Results are a
 few rows for each leak, combined by (document, item).
 
 Words are lower-cased runs of letters and digits. Null and empty texts match nothing, as
@@ -42,6 +44,8 @@ WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 K1, B = 1.2, 0.75
 BLOCK = 4
+SHARDS = 8
+ITEM_BYTES = 32_000_000
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -163,11 +167,9 @@ class Index:
             out[of[begin]] = np.add.reduceat(self.block_max[key % width], begin, axis=0).max(1)
         return out
 
-    def leaks(self, words: list[str], threshold: float) -> list[tuple[int, float, float, float]]:
-        """(item, score, question overlap, answer overlap) of all passages of a document."""
+    def leaks(self, words: list[str], ids: np.ndarray, threshold: float) -> list[tuple[int, float, float, float]]:
+        """(item, score, question overlap, answer overlap) of all passages of a document; ids: its words' numbers."""
         step = self.longest
-        get, last = self.number.get, len(self.number)
-        ids = np.fromiter((get(w, last) for w in words), np.int64, len(words))
         starts = np.arange(0, max(1, len(words) - step), step)
         best: dict[int, tuple[float, float, float]] = {}
         for base in range(0, len(starts), 256):  # bounded memory on long texts
@@ -190,28 +192,48 @@ class Index:
         return [(self.ids[k], *row) for k, row in best.items()]
 
 
+class Shards:
+    """Indexes of at most ``size`` items each, with one numbering of all their words."""
+
+    def __init__(self, items: list[tuple[int, str]], ngram: int, totals: Totals | None, size: int):
+        totals = totals or Totals(t for _, t in items)
+        own = [Index(items[at : at + size], ngram, totals) for at in range(0, len(items), size)]
+        self.number = {w: i for i, w in enumerate(sorted({w for x in own for w in x.number}))}
+        self.own = []
+        for x in own:
+            local = np.full(len(self.number) + 1, len(x.number))
+            local[[self.number[w] for w in x.number]] = list(x.number.values())
+            if x.ids:
+                self.own.append((x, local))
+
+    def leaks(self, words: list[str], threshold: float) -> list[tuple[int, float, float, float]]:
+        get, last = self.number.get, len(self.number)
+        ids = np.fromiter((get(w, last) for w in words), np.int64, len(words))
+        return [row for x, local in self.own for row in x.leaks(words, local[ids], threshold)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, ngram: int = 5, items_at_once: int = 1000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each leaked item in each document."""
     spark = docs.sparkSession
     own = texts(docs, id_col, text_col)
     items = texts(benchmark, item_col, item_text_col).where("text <> ''")
-    total = items.count()
-    passes = max(1, -(-total // items_at_once))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // (SHARDS * items_at_once)), -(-size["bytes"] // ITEM_BYTES))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out, all_ = None, Totals(r["text"] for r in items.select("text").toLocalIterator()) if passes > 1 else None
-    for k in range(passes):  # each pass holds about items_at_once items
+    for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(passes)) == k) if passes > 1 else items
         rows = sorted((r["doc_id"], r["text"]) for r in some.collect())
         held = spark.sparkContext.broadcast((rows, all_ and all_.of([t for _, t in rows])))
 
         def run(batches, held=held):
-            index = Index(held.value[0], ngram, held.value[1])
+            index = Shards(held.value[0], ngram, held.value[1], items_at_once)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
             for b in batches:
                 rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    found = index.leaks(WORD.findall(text.as_py().lower()), threshold) if index.ids else ()
+                    found = index.leaks(WORD.findall(text.as_py().lower()), threshold) if index.own else ()
                     rows += [(doc, *x) for x in found if min(x[2:]) >= overlap]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
