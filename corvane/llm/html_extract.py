@@ -1,7 +1,7 @@
 """Main-text extraction by minimum cut (operator 5).
 
-A page becomes its blocks of text in order. A linear classifier on each block's
-ancestors, link density, length and form gives the probability of content, and the
+A page becomes its blocks of text in order. A linear classifier on each block's length,
+link density, form and surrounding elements gives the probability of content, and the
 negative logarithms of it and of its complement become the capacities to the two
 terminals. Neighbouring blocks and blocks close to each other in the element tree are
 joined by smoothness edges. The minimum cut, found by maximum flow, separates content
@@ -9,11 +9,16 @@ from boilerplate: a short line inside an article stays with it, a long notice be
 menus goes with them. A block whose terminal outweighs all its edges has that label in
 any minimum cut, so such blocks are settled first; flow runs on the rest.
 
+What the surrounding elements say is one feature, bounded on both sides: the elements and
+names of navigation, adverts, comments and the like against, those of articles for. A name
+is that of an element's role only if the element is no wrapper of the page: one that holds
+the article says nothing, and where nearly all prose of a page lies in named boilerplate,
+the outermost element with most of it is taken as a wrapper, until some prose is outside.
 The classifier's weights are fixed, documented values below: the pages have no labels.
 
 Scale: one pass, no shuffle; memory is that of a page. Null html is empty and gives an
 empty text; truncated tags, comments and raw elements end with the page. Repeated rows
-are extracted each. Other columns are ignored.
+are extracted each. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,19 +38,38 @@ from .arrow import batch
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-BOILERPLATE_ELEMENTS = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset"}
+BOILERPLATE_ELEMENTS = {"nav": -4.0, "footer": -4.0, "aside": -4.0, "menu": -4.0, "dialog": -4.0, "search": -4.0, "form": -3.0, "fieldset": -3.0, "header": -3.0}
 CONTENT_ELEMENTS = {"article", "main"}
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert",
     "sidebar", "side", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "comment", "comments", "disqus", "respond", "reply", "replies", "discussion",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar", "toolbar", "subscribe", "subscription", "newsletter", "signup", "login", "popup", "modal", "overlay",
-    "copyright", "legal", "disclaimer", "pagination", "pager", "tags", "taglist", "search", "skip", "hidden", "outbrain", "taboola", "complementary", "contentinfo",
+    "copyright", "legal", "disclaimer", "pagination", "pager", "tags", "taglist", "search", "skip", "outbrain", "taboola", "complementary", "contentinfo",
 }
+#: Names of lists of other people's or other pages' texts: they may hold articles of their own.
+OTHERS_WORDS = {"comment", "comments", "disqus", "respond", "reply", "replies", "discussion", "related", "recommended"}
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "body", "main", "text", "articlebody"}
+#: A name with one of these says that something else is there, or is not.
+NEGATIONS = {"with", "has", "have", "no", "not", "non", "without", "none", "off", "offset", "below", "above"}
+#: Parts that say where or which, not what; the last other part of a name is what it is.
+PLACES = {"left", "right", "top", "bottom", "inner", "outer", "wrap", "wrapper", "container", "box", "area", "list", "item", "block", "section", "slot", "bar", "main", "primary", "secondary", "mobile", "desktop", "sm", "md", "lg"}
+
+# The classifier's weights, as log-odds of content.
+BIAS, LINKS, LENGTH, AVERAGE_LENGTH = -0.5, -4.0, 0.8, 3.3
+LENGTH_RANGE, SURROUNDINGS_RANGE = (-1.0, 2.0), (-5.0, 2.5)
+ROLE, MODIFIER, HIDDEN, ARTICLE, CONTENT_NAME = -4.0, -3.5, -5.0, 2.5, 1.5
+BLOCK_TAGS = {"h1": 2.0, "h2": 0.5, "h3": 0.5, "h4": 0.5, "h5": 0.5, "h6": 0.5, "figcaption": 0.5, "blockquote": 0.5, "pre": 0.5, "p": 0.5, "td": 0.5, "dd": 0.5}
+SENTENCE, NOTICE = 0.7, -4.0
+#: Smoothness: of page neighbours, by their distance in the tree, and of blocks under one parent.
+NEIGHBOURS, SIBLINGS = 3.0, 0.5
+#: Prose outside of named boilerplate that a page has at least, as a share; under it, names are those of wrappers.
+OUTSIDE = 0.1
+#: For comments and the like, which may be longer than their article, this many characters are enough.
+FEW = 100
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|</?\Z""", re.DOTALL)
-NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMING = {"class", "id", "role", "itemprop"}
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: What an open element is closed by, when its end tag is left out.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -53,36 +77,96 @@ HOLDS = {"ul", "ol", "dl", "menu", "table", "body", "html", "article", "main", "
 
 
 class Element:
-    __slots__ = ("depth", "parent", "score", "tag", "within")
+    """An element, what it alone says of its texts, and the prose in it."""
+
+    __slots__ = ("depth", "others", "own", "parent", "prose", "score", "tag", "within", "wraps")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.within = bool(parent and parent.within) or tag in CONTENT_ELEMENTS
-        self.score = (parent.score if parent else 0.0) + own_score(tag, attributes, bool(parent and parent.within))
+        self.within = bool(parent) and (parent.within or parent.tag in CONTENT_ELEMENTS)
+        self.own, self.others = own_score(tag, attributes, self.within) if parent else (0.0, False)
+        self.prose, self.score, self.wraps = 0, 0.0, False
 
 
-def own_score(tag: str, attributes: str, within: bool) -> float:
-    """What an element says of all that it holds."""
-    score = 0.0
-    if tag in BOILERPLATE_ELEMENTS or (tag == "header" and not within):
-        score -= 8
-    elif tag in CONTENT_ELEMENTS:
-        score += 0 if within else 3
+def names_score(names: str, within: bool) -> tuple[float, bool]:
+    """What the names of an element say, and whether they are of comments and the like."""
+    against, for_, others = 0.0, 0.0, False
+    for name in names.split():
+        parts = [w.lower() for w in PART.findall(name)]
+        if NEGATIONS.intersection(parts):
+            continue
+        what = [w for w in parts if w not in PLACES] or parts
+        if what and what[-1] == "header" and (within or CONTENT_WORDS.intersection(parts)):
+            continue  # an article's own head
+        if what and (what[-1] in BOILERPLATE_WORDS or OTHERS_WORDS.intersection(what)):
+            against = min(against, ROLE)
+        elif BOILERPLATE_WORDS.intersection(what):
+            against = min(against, MODIFIER)
+        elif CONTENT_WORDS.intersection(parts):
+            for_ = CONTENT_NAME
+        others |= bool(OTHERS_WORDS.intersection(what))
+    return against or for_, others
+
+
+def own_score(tag: str, attributes: str, within: bool) -> tuple[float, bool]:
+    """What an element's tag and attributes say, and whether it holds comments, other pages' texts or the like."""
+    score = 0.0 if tag == "header" and within else BOILERPLATE_ELEMENTS.get(tag, 0.0)
+    others = tag in ("nav", "aside", "footer")
     if attributes:
-        if HIDDEN.search(attributes):
-            score -= 8
-        words = {w.lower() for m in NAMES.finditer(attributes) for w in PART.findall(m[1] or m[2] or m[3] or "")}
-        if words & BOILERPLATE_WORDS and tag not in ("body", "html", "article", "main", "h1"):
-            score -= 2 if words & CONTENT_WORDS and not words & {"comment", "comments", "ad", "ads", "related", "sidebar"} else 8
-        elif words & CONTENT_WORDS:
-            score += 1.5
-    return score
+        names = []
+        for m in ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in NAMING:
+                names.append(value)
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "class" and "hidden" in value.lower().split()) or (key == "style" and "display:none" in value.lower().replace(" ", "")):
+                score = min(score, HIDDEN)
+        if tag not in ("body", "html", "h1"):
+            said, named_others = names_score(" ".join(names), within)
+            others |= named_others
+            score = min(score, said) if said < 0 or score < 0 else said
+    if tag in CONTENT_ELEMENTS and score >= 0:
+        score = ARTICLE
+    return score, others
+
+
+def settle(elements: list[Element]) -> None:
+    """The score of each element, with all around it; elements come after their parents.
+
+    An element that says boilerplate overrules what is around it; one that says content adds."""
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.prose += e.prose
+            main = e.wraps or (e.tag in CONTENT_ELEMENTS and e.own > 0)
+            e.parent.wraps |= main and not e.others
+    total = elements[0].prose
+    for e in elements:
+        if e.own < 0 and e.wraps and not e.others:
+            e.own = 0.0
+    low, high = SURROUNDINGS_RANGE
+    while True:
+        named, widest = 0, None
+        for e in elements:
+            above = e.parent.score if e.parent else 0.0
+            if e.own < 0:
+                e.score = min(above, max(low, e.own))
+            else:
+                e.score = min(high, above + e.own) if above >= 0 else above
+            if e.own < 0 <= above:
+                named += e.prose
+                if widest is None or e.prose > widest.prose:
+                    widest = e
+        if widest is None or widest.prose * 2 < total:
+            return
+        if total - named >= min(OUTSIDE * total, FEW if widest.others else total):
+            return
+        widest.own = 0.0
 
 
 def blocks(html: str) -> list[tuple[str, Element, float]]:
     """(text, innermost element, share of the text in links) of each block, in page order."""
     root = top = Element("html", None, "")
+    elements = [root]
     out: list[tuple[str, Element, float]] = []
     parts: list[str] = []
     linked = size = at = 0
@@ -94,6 +178,7 @@ def blocks(html: str) -> list[tuple[str, Element, float]]:
             text = " ".join("".join(parts).split())
             if text:
                 out.append((text, top, linked / max(1, size)))
+                top.prose += size - linked
         parts, linked, size = [], 0, 0
 
     def add(text: str) -> None:
@@ -142,27 +227,23 @@ def blocks(html: str) -> list[tuple[str, Element, float]]:
                         found = node
                     node = node.parent
                 top = Element(tag, found.parent if found else top, m[3] or m[6] or "")
+                elements.append(top)
     add(html[at:])
     close()
+    settle(elements)
     return out
 
 
-def content_probability(text: str, node: Element, links: float) -> float:
-    """The fixed linear classifier."""
-    score = node.score - 0.5
-    score -= 4 * links
-    score += min(1.5, max(-1.0, 0.6 * (math.log(len(text)) - 4)))
-    if node.tag == "h1":
-        score += 2
-    elif node.tag in ("h2", "h3", "h4", "h5", "h6", "figcaption", "blockquote", "pre"):
-        score += 0.5
-    elif node.tag in ("p", "td", "dd"):
-        score += 0.5
+def content_score(text: str, node: Element, links: float) -> float:
+    """The fixed linear classifier: log-odds of content."""
+    score = node.score + BIAS + LINKS * links
+    score += min(LENGTH_RANGE[1], max(LENGTH_RANGE[0], LENGTH * (math.log(len(text)) - AVERAGE_LENGTH)))
+    score += BLOCK_TAGS.get(node.tag, 0.0)
     if text[-1] in ".!?…:\"”»":
-        score += 0.5
+        score += SENTENCE
     if text[0] == "©" or text[:9].lower() == "copyright":
-        score -= 6
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
+        score += NOTICE
+    return score
 
 
 def tree_distance(a: Element, b: Element) -> int:
@@ -183,11 +264,11 @@ def smoothness(nodes: list[Element]) -> list[dict[int, float]]:
     for i, node in enumerate(nodes):
         near = {}
         if i:
-            near[i - 1] = 1 / (1 + tree_distance(node, nodes[i - 1]))
+            near[i - 1] = NEIGHBOURS / (1 + tree_distance(node, nodes[i - 1]))
         parent = id(node.parent)
         if parent in last:
             j = last[parent]
-            near[j] = near.get(j, 0) + 0.5
+            near[j] = near.get(j, 0) + SIBLINGS
         last[parent] = i
         for j, w in near.items():
             edges[i][j] = edges[j][i] = w
@@ -266,14 +347,18 @@ def content_side(rest: list[int], net: list[float], capacity: list[dict[int, flo
                         after[path[-1]].pop()
 
 
+def labels(found: list[tuple[str, Element, float]]) -> tuple[list[bool], list[bool]]:
+    """Which blocks are content: by the cut, and by the classifier alone."""
+    scores = [content_score(*b) for b in found]
+    # -log(1 - p) and -log(p) of the logistic function.
+    to_content, to_boilerplate = [math.log1p(math.exp(x)) for x in scores], [math.log1p(math.exp(-x)) for x in scores]
+    return minimum_cut(to_content, to_boilerplate, smoothness([node for _, node, _ in found])), [x > 0 for x in scores]
+
+
 def extract(html: str) -> str:
     """The main text: content blocks in page order, one line each."""
     found = blocks(html)
-    if not found:
-        return ""
-    p = [content_probability(*b) for b in found]
-    label = minimum_cut([-math.log(max(1e-13, 1 - x)) for x in p], [-math.log(max(1e-13, x)) for x in p], smoothness([node for _, node, _ in found]))
-    return "\n".join(text for (text, _, _), keep in zip(found, label, strict=True) if keep)
+    return "\n".join(text for (text, _, _), keep in zip(found, labels(found)[0], strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
