@@ -1,13 +1,14 @@
 """Language-model scores by subword lattices (operator 7).
 
-The pieces of an existing subword vocabulary, with their scores (ranks) turned into
-Zipf-Mandelbrot weights and refitted by expectation-maximisation to the training words,
-form a unigram model. A word's probability is the sum over all its segmentations: the
-forward recursion in log space over the lattice of pieces. A word seen in training has
-one segmentation more, the word as a whole, which weighs its frequency less an absolute
-discount; the discounted mass goes to the lattice, so that the pieces are fitted to what
-they stand for, each training word once. A text's probability is the product over its
-words and one end token.
+The pieces of an existing subword vocabulary form a unigram model. Its scores are ranks
+(0, -1, -2, ...), and a piece of score s weighs 1 / (2.7 - s), the Zipf-Mandelbrot law, so
+that all weights together are 1; this is the one map from scores to weights. A word's
+probability is the sum over all its segmentations: the forward recursion in log space over
+the lattice of pieces, weighed by these scores. A word seen in training has one
+segmentation more, the word as a whole, which weighs its frequency less an absolute
+discount; the discounted mass goes to the lattice. A text's probability is the product
+over its words and one end token. ``rounds`` refits the weights to the training words by
+expectation-maximisation; by default they stay as the vocabulary has them.
 
 All words of one length are taken at once in numpy; of a word over ``LONG_WORD`` bytes,
 all positions, so that numpy is called for each length of a piece and not for each edge.
@@ -54,7 +55,7 @@ def lowered(text: bytes) -> list[bytes]:
 
 
 def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces as bytes, a word's first with a space before, and weights from their ranks; every byte is a piece."""
+    """Pieces as bytes, a word's first with a space before, and weights from their scores; every byte is a piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -263,8 +264,10 @@ class Numbers(dict):
         return self.missing
 
 
-def score_texts(docs: DataFrame, training: Column | str = "true", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 2, frequent: int = 300_000) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text; learns from rows where ``training`` holds."""
+def score_texts(docs: DataFrame, training: Column | str = "true", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 0, frequent: int = 300_000) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, known_score) of every text; learns from rows where ``training`` holds.
+
+    known_score: the part of the score that is of tokens seen in training."""
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     scratch = Scratch(spark, "lattice")
     own = texts(docs, id_col, text_col).withColumn("train", F.coalesce(F.expr(training) if isinstance(training, str) else training, F.lit(False)))
@@ -301,38 +304,39 @@ def score_texts(docs: DataFrame, training: Column | str = "true", id_col: str =
             break
         least = at
     known = rated.where(level >= least).select("word", "known", "base", "score").collect()  # at most ``frequent`` rows
-    top = spark.sparkContext.broadcast(([bytes(r["word"]) for r in known], np.array([[r["known"], r["base"], r["score"]] for r in known], float).reshape(-1, 3)))
+    values_ = np.array([[r["known"], r["base"], r["score"], r["score"] * r["known"]] for r in known], float).reshape(-1, 4)
+    top = spark.sparkContext.broadcast(([bytes(r["word"]) for r in known], values_))
     del known
 
     def look_up(batches):
         names, values = top.value
         index = Numbers(zip(names, range(len(names)), strict=True))
-        values = np.vstack([values, np.zeros((1, 3))])
+        values = np.vstack([values, np.zeros((1, 4))])
         missing = index.missing = len(names)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
 
         def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "word", "n", "known", "base", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "word", "n", "known", "base", "score", "known_score"])
 
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = lowered(text.as_py())
                 at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
-                known_, base, score = values[at].sum(0).tolist()
-                rows.append((doc, None, len(own) + 1, int(known_) + (ends > 0), base + end_base, score + end / np.log(10)))
+                known_, base, score, known_score = values[at].sum(0).tolist()
+                rows.append((doc, None, len(own) + 1, int(known_) + (ends > 0), base + end_base, score + end / np.log(10), known_score + (ends > 0) * end / np.log(10)))
                 rare = np.flatnonzero(at == missing).tolist()
-                rows += [(doc, w, k, 0, 0.0, 0.0) for w, k in Counter([own[i] for i in rare]).items()]
+                rows += [(doc, w, k, 0, 0.0, 0.0, 0.0) for w, k in Counter([own[i] for i in rare]).items()]
                 if len(rows) > 100_000:
                     yield flush(rows)
                     rows = []
             if rows:
                 yield flush(rows)
 
-    found = scratch.keep(own.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(look_up, "doc_id long, word binary, n long, known long, base double, score double"), "found")
+    found = scratch.keep(own.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(look_up, "doc_id long, word binary, n long, known long, base double, score double, known_score double"), "found")
     rare = found.where("word is not null").select("doc_id", "word", F.col("n").alias("k"))
     rare = rare.join(rated.where(level < least).drop("n"), "word")
-    rare = rare.select("doc_id", F.lit(0).cast("long").alias("n"), (F.col("known") * F.col("k")).alias("known"), (F.col("base") * F.col("k")).alias("base"), (F.col("score") * F.col("k")).alias("score"))
+    rare = rare.select("doc_id", F.lit(0).cast("long").alias("n"), (F.col("known") * F.col("k")).alias("known"), (F.col("base") * F.col("k")).alias("base"), (F.col("score") * F.col("k")).alias("score"), (F.col("score") * F.col("known") * F.col("k")).alias("known_score"))
     both = found.where("word is null").drop("word").unionByName(rare)
-    out = both.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = both.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("known_score").alias("known_score"))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "known_score")

@@ -52,7 +52,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.expr("crc32(cast(doc_id as string)) % 10 = 0")
     found = score_texts(table(spark, sf_dir, "documents"), training=~held_out)
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "known_score")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
