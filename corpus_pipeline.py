@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, table
+from corvane.llm.common import Scratch, owned, table
 from corvane.llm.decontaminate import decontaminate
-from corvane.llm.language_id import identify
+from corvane.llm.language_id import explained
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.ngram_jaccard import keep_one
 from corvane.llm.packing import pack
@@ -17,8 +17,7 @@ LEAST_FIT = 0.5
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned languages selected for them explain for the most part, be it one or several; text without letters goes."""
-    found = identify(docs, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("fit") >= LEAST_FIT)).select(*docs.columns)
+    return explained(docs, LEAST_FIT)
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +39,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
-    return pack(docs)
+    """Pieces of documents, with their token ids, in sequences of 4096 tokens."""
+    return pack(docs, with_ids=True)
 
 
 STAGES = [
@@ -57,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with owned():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = (name,)
     return docs

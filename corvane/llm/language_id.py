@@ -12,7 +12,8 @@ learns from is bounded, what it labels is every row, from its whole text.
 
 Scale: two passes over the table, no shuffle but of the trigram counts, which are summed
 in each task first: at most languages x BUCKETS rows. The models are broadcast; their
-size does not depend on the corpus.
+size does not depend on the corpus. Over ``max_languages`` labels are an error: a column of
+that many is no language, and the models would not fit.
 
 Text that is null or has no letter gives ``und`` with score 0, as does everything where
 nothing was learned. Rows without an id teach nothing, and are labelled only where columns are
@@ -103,9 +104,11 @@ def infer(h: np.ndarray, models: np.ndarray) -> tuple[np.ndarray, float]:
     return np.where(kept > 0, share, 0) if (kept > 0).sum() == 1 else kept, fit
 
 
-def learn(labelled: DataFrame, sample_per_language: int) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, sample_per_language: int, max_languages: int) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities, BUCKETS x languages."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"over {max_languages} languages: set max_languages, or merge labels")
     languages = sorted(counts)
     if not languages:
         return [], np.empty((BUCKETS, 0))
@@ -128,19 +131,17 @@ def learn(labelled: DataFrame, sample_per_language: int) -> tuple[list[str], np.
     return languages, table / table.sum(0)
 
 
-def identify(docs: DataFrame, training: Column | str = "true", sample_per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, languages, fit) and the columns in ``keep``; learns from rows where ``training`` holds."""
+def inferred(docs: DataFrame, keep: list[str], training: Column | str, sample_per_language: int, id_col: str, text_col: str, lang_col: str, max_languages: int) -> DataFrame:
+    """(_0, _1, ... of the columns in keep, lang_pred, score, languages, fit) of every row."""
     spark = docs.sparkSession
-    own = docs if keep else docs.where(F.col(id_col).isNotNull())
     training = F.expr(training) if isinstance(training, str) else training
     labelled = docs.where(F.col(id_col).isNotNull() & training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    languages, models = learn(labelled, sample_per_language)
+    languages, models = learn(labelled, sample_per_language, max_languages)
     held = spark.sparkContext.broadcast(models.astype(np.float32) if len(languages) > 16 else models)
-    keep = keep or []
-    rows = own.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = [(f"_{i}", t) for i, t in enumerate(dict(docs.dtypes)[c] for c in keep)]
-    schema = ", ".join(f"{c} {t}" for c, t in kept + [("doc_id", "long"), ("lang_pred", "string"), ("score", "double"), ("languages", "array<struct<lang: string, share: double>>"), ("fit", "double")])
+    schema = ", ".join(f"{c} {t}" for c, t in [*kept, ("lang_pred", "string"), ("score", "double"), ("languages", "array<struct<lang: string, share: double>>"), ("fit", "double")])
     mixed = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches):
@@ -161,7 +162,19 @@ def identify(docs: DataFrame, training: Column | str = "true", sample_per_langua
                     score.append(0.0)
                     sets.append([])
                     fits.append(0.0)
-            yield batch(**{c: b.column(c) for c, _ in kept}, doc_id=b.column("doc_id"), lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()), languages=pa.array(sets, mixed), fit=pa.array(fits, pa.float64()))
+            yield batch(**{c: b.column(c) for c, _ in kept}, lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()), languages=pa.array(sets, mixed), fit=pa.array(fits, pa.float64()))
 
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep) if c != "doc_id"], "doc_id", "lang_pred", "score", "languages", "fit")
+    return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, training: Column | str = "true", sample_per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 1000) -> DataFrame:
+    """(doc_id, lang_pred, score, languages, fit) of each row with an id; learns from rows where ``training`` holds."""
+    out = inferred(docs.where(F.col(id_col).isNotNull()), [id_col], training, sample_per_language, id_col, text_col, lang_col, max_languages)
+    return out.select(F.col("_0").cast("long").alias("doc_id"), "lang_pred", "score", "languages", "fit")
+
+
+def explained(docs: DataFrame, least_fit: float = 0.5, training: Column | str = "true", sample_per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 1000) -> DataFrame:
+    """The rows, with all their columns, whose text has letters and is for ``least_fit`` or more in the languages selected for it."""
+    out = inferred(docs, docs.columns, training, sample_per_language, id_col, text_col, lang_col, max_languages)
+    out = out.where((F.col("lang_pred") != "und") & (F.col("fit") >= least_fit))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
