@@ -7,9 +7,11 @@ histogram; the counts are rounded down to what is there; what is left over is pa
 best fit decreasing, run by run. The plan says for each run of pieces of one length (by
 their number among the pieces of that length) which sequences and offset they take.
 
-Scale: token ids are made by partition and never shuffled. Pieces are numbered within
-their length by salted groups, whose counts give each group its first number, so a length
-that holds a third of all pieces is dealt over all tasks.
+Scale: token ids are made by partition; only where they are returned are they shuffled,
+once. Pieces are numbered within their length by salted groups, whose counts give each
+group its first number, so a length that holds a third of all pieces is dealt over all
+tasks. Groups and their counts are merge-joined, as they are dealt alike already; only the
+plan is broadcast. Its rows are patterns of lengths, which the capacity bounds.
 
 Null texts are empty: one piece with the end id alone. Rows without an id take no part;
 rows that repeat an id are packed as often as they occur. Other columns are ignored.
@@ -196,7 +198,7 @@ def pack(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col
     plan = make_plan(count, capacity).sort_values(["length", "first"], ignore_index=True)
     held = spark.sparkContext.broadcast({k: plan[k].to_numpy() for k in plan})
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    numbered = salted.withColumn("k", number).join(groups.select("length", "salt", "before"), ["length", "salt"])
+    numbered = salted.withColumn("k", number).join(groups.select("length", "salt", "before").hint("merge"), ["length", "salt"])
     numbered = numbered.select(*made.columns, (F.col("before") + F.col("k")).alias("k"))
 
     def run(batches):
