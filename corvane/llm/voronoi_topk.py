@@ -1,6 +1,7 @@
 """Exact top-k inner products by a Voronoi join (operator 10).
 
-Vectors belong to the cell of the nearest of a bounded number of pivots. Each cell's
+Vectors belong to the cell of the nearest of some pivots, about the square root of their
+number and at most ``MOST_PIVOTS``, taken by a hash of the vectors. Each cell's
 summary (how many vectors, the range of their distances from the pivot, and the smallest
 distances) is all that is known of it elsewhere. For a query q, a pivot p and a vector x
 of its cell, q.x = q.p + q.(x - p) lies within |q||x - p| of q.p. So the summaries give a
@@ -10,14 +11,15 @@ answer: a query is sent only to the others, and solved there against the cell's
 Scale: cells are split by salt into blocks of about ``block`` vectors, and the queries
 sent to a cell into blocks of about ``query_block``; a task holds one of each, so neither
 a hot cell, many copies of one vector nor many queries make a large task. Only k rows for
-each query and block leave it. Pivots and summaries are bounded
-by ``pivots``. High-dimensional vectors without structure give wide bounds; then most
+each query and block leave it. Pivots and summaries are bounded. High-dimensional vectors without structure give wide bounds; then most
 cells are needed, and the join is a scan in blocks.
 
 Components become floor(scale * x), x as double. Vectors that are null, hold null or
 non-finite components, or lack an id take no part. Vectors of each length are joined among
-themselves, as products of different lengths are not defined. An id that occurs twice stands for two candidates. Other columns
-are ignored. No vectors, no rows.
+themselves, as products of different lengths are not defined. Components so large that a
+product might leave the 64-bit integers are an error. An id that occurs twice stands for two
+candidates of the others; as a query, each of its different vectors has its own ranks, and
+no row of that id is a candidate. Other columns are ignored. No vectors, no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch
+
+FEWEST_PIVOTS, MOST_PIVOTS = 64, 1024
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -86,8 +90,8 @@ def best_of_block(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nda
         row, col, s = row[order], col[order], s[order]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
         keep = (nth < k) & (ids[col] != queries[at + row] if own_out else True)
-        out.append(pd.DataFrame({"query_id": queries[at + row[keep]], "vec_id": ids[col[keep]], "score": s[keep].astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+        out.append(pd.DataFrame({"row": at + row[keep], "query_id": queries[at + row[keep]], "vec_id": ids[col[keep]], "score": s[keep].astype(np.int64)}))
+    return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
 
 def blocks_of(counts: np.ndarray, size: int) -> Column:
@@ -96,23 +100,29 @@ def blocks_of(counts: np.ndarray, size: int) -> Column:
     return F.create_map(*[F.lit(x) for kv in enumerate(blocks) for x in kv])[F.col("cell")]
 
 
-def topk_join(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, pivots: int = 64, block: int = 4096, query_block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def topk_join(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = 5, scale: int = 256, pivots: int | None = None, block: int = 4096, query_block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with every other vector."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     all_ = quantised(vectors, id_col, vector_col, scale)
     out = None
-    for dim in sorted(r["dim"] for r in all_.select(F.size("v").alias("dim")).distinct().collect()):
-        found = topk_of_length(all_.where(F.size("v") == dim), dim, query_filter, k, pivots, block, query_block)
+    most = F.max(F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double")))
+    for r in sorted(all_.groupBy(F.size("v").alias("dim")).agg(most.alias("most"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["dim"]):
+        if r["dim"] and r["most"] ** 2 * r["dim"] >= 2**63:
+            raise ValueError(f"components of {r['most']:g} after scaling: products of {r['dim']} of them do not fit 64 bits")
+        few = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(r["n"] ** 0.5)))
+        found = topk_of_length(all_.where(F.size("v") == r["dim"]), r["dim"], r["n"], query_filter, k, few, block, query_block)
         out = found if out is None else out.unionByName(found)
     return empty if out is None else out
 
 
-def topk_of_length(all_: DataFrame, dim: int, query_filter: str, k: int, pivots: int, block: int, query_block: int) -> DataFrame:
+def topk_of_length(all_: DataFrame, dim: int, n: int, query_filter: str, k: int, pivots: int, block: int, query_block: int) -> DataFrame:
     """topk_join for quantised vectors of one length."""
     spark = all_.sparkSession
     scratch = Scratch(spark, "voronoi")
-    chosen = all_.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
+    one_in = max(1, n // (16 * pivots))
+    sampled = lambda m: all_.where(F.pmod(F.xxhash64("v"), F.lit(m)) == 0).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
+    chosen = sampled(one_in) or sampled(1)
     centres = np.array([r["v"] for r in chosen], np.float64)
     held = spark.sparkContext.broadcast(centres)
 
@@ -132,36 +142,40 @@ def topk_of_length(all_: DataFrame, dim: int, query_filter: str, k: int, pivots:
         near[r["cell"]] = np.repeat([x["distance"] for x in r["near"]], [min(x["n"], k + 1) for x in r["near"]])[: k + 1]
     bounds = spark.sparkContext.broadcast((count, far, near))
 
+    def needed(pdf: pd.DataFrame) -> np.ndarray:
+        q = matrix(pdf["v"], dim).astype(np.float64)
+        return np.concatenate([cells_needed(q[at : at + 512], held.value, *bounds.value, k) for at in range(0, len(q), 512)])
+
     def tally(batches):
         total = np.zeros(len(centres), np.int64)
-        for pdf in batches:
-            total += cells_needed(matrix(pdf["v"], dim).astype(np.float64), held.value, *bounds.value, k).sum(0)
+        for pdf in filter(len, batches):
+            total += needed(pdf).sum(0)
         yield pd.DataFrame({"cell": np.arange(len(total), dtype=np.int32), "n": total})
 
-    asked, wanted = all_.where(query_filter), np.zeros(len(centres), np.int64)
+    asked, wanted = all_.where(query_filter).dropDuplicates(["vec_id", "v"]), np.zeros(len(centres), np.int64)
     for r in asked.mapInPandas(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most ``pivots`` rows
         wanted[r["cell"]] = r["n"]
 
     def send(batches):
-        for pdf in batches:
-            need = cells_needed(matrix(pdf["v"], dim).astype(np.float64), held.value, *bounds.value, k)
-            row, cell = np.nonzero(need)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "query_id": pdf["vec_id"].to_numpy()[row], "q": pdf["v"].to_numpy()[row]})
+        for pdf in filter(len, batches):
+            row, cell = np.nonzero(needed(pdf))
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "query_id": pdf["vec_id"].to_numpy()[row], "which": pdf["which"].to_numpy()[row], "q": pdf["v"].to_numpy()[row]})
 
     # A block of vectors meets each block of its cell's queries once.
     salts, shares = blocks_of(count, block), blocks_of(wanted, query_block)
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     hashed = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     data = dealt.withColumn("salt", hashed("vec_id", salts)).withColumn("share", every(shares)).select("cell", "salt", "share", "vec_id", "v")
-    sent = asked.mapInPandas(send, "cell int, query_id long, q array<long>")
+    sent = asked.withColumn("which", F.xxhash64("v")).mapInPandas(send, "cell int, query_id long, which long, q array<long>")
     queries = sent.withColumn("share", hashed("query_id", shares)).withColumn("salt", every(salts))
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        return best_of_block(left["query_id"].to_numpy(), matrix(left["q"], dim), right["vec_id"].to_numpy(), matrix(right["v"], dim), k, True)
+            return pd.DataFrame({"query_id": [], "which": [], "vec_id": [], "score": []}, dtype=np.int64)
+        got = best_of_block(left["query_id"].to_numpy(), matrix(left["q"], dim), right["vec_id"].to_numpy(), matrix(right["v"], dim), k, True)
+        return got.assign(which=left["which"].to_numpy()[got["row"].to_numpy(np.int64)])[["query_id", "which", "vec_id", "score"]]
 
-    found = queries.groupBy("cell", "salt", "share").cogroup(data.groupBy("cell", "salt", "share")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy("cell", "salt", "share").cogroup(data.groupBy("cell", "salt", "share")).applyInPandas(solve, "query_id long, which long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
