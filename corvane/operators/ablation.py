@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.retrieval import Index as Terms
 from corvane.operators.retrieval import attach, bm25_topk, dense_topk, fuse, pack_context
 
 MODES = ("no_retrieval", "dense_visual", "sparse_bm25", "hybrid")
 
 
+class Retriever(Protocol):
+    """A caller's own way to retrieve: (query_id, rank, row_id, score) of the k best."""
+
+    def __call__(self, questions: DataFrame, index: Index, k: int) -> DataFrame: ...
+
+
+RETRIEVERS: dict[str, Retriever] = {}
+
+
+def register(mode: str, retriever: Retriever) -> None:
+    """A further mode for ``retrieve`` and ``compare``."""
+    if mode in MODES or mode in RETRIEVERS:
+        raise ValueError(f"there is a mode {mode!r} already")
+    RETRIEVERS[mode] = retriever
+
+
 def unchanged(rows: DataFrame) -> DataFrame:
     return rows
 
@@ -33,11 +51,12 @@ class Steps:
 
 @dataclass(frozen=True)
 class Index:
-    """corpus (row_id, report[, modality]); vectors (row_id, vec) of its texts and of its images, where there are any."""
+    """corpus (row_id, report[, modality]); vectors (row_id, vec) of its texts and of its images, and stored BM25 tables, where there are any."""
 
     corpus: DataFrame
     text_vectors: DataFrame | None = field(default=None)
     image_vectors: DataFrame | None = field(default=None)
+    terms: Terms | None = field(default=None)
 
 
 def joined_parts(parts: DataFrame) -> DataFrame:
@@ -57,21 +76,23 @@ def retrieve(mode: str, questions: DataFrame, index: Index, k: int, pool: int =
     """(query_id, rank, row_id, score) for questions (query_id, text[, text_vec, image_vec]); None for the mode without retrieval.
 
     Hybrid fuses text vectors, BM25 and image vectors, in that order for ties."""
-    if mode not in MODES:
-        raise ValueError(f"unknown mode {mode!r}; there are {', '.join(MODES)}")
+    if mode not in MODES and mode not in RETRIEVERS:
+        raise ValueError(f"unknown mode {mode!r}; there are {', '.join([*MODES, *RETRIEVERS])}")
     if mode == "no_retrieval":
         return None
     steps = steps or Steps()
     asked = steps.questions(questions)
+    if mode in RETRIEVERS:
+        return RETRIEVERS[mode](asked, index, k)
     if mode == "sparse_bm25":
-        return bm25_topk(index.corpus, asked, k)
+        return bm25_topk(index.corpus, asked, k, index.terms)
     seen = dense(index.image_vectors, asked, "image_vec", k if mode == "dense_visual" else pool)
     if mode == "dense_visual":
         if seen is None:
             raise ValueError("dense_visual needs image vectors of the index and of the questions")
         return seen
     weight = steps.weights(visual)
-    lists = [(dense(index.text_vectors, asked, "text_vec", pool), weight["text"]), (bm25_topk(index.corpus, asked, pool), weight["text"]), (seen, weight["visual"])]
+    lists = [(dense(index.text_vectors, asked, "text_vec", pool), weight["text"]), (bm25_topk(index.corpus, asked, pool, index.terms), weight["text"]), (seen, weight["visual"])]
     return steps.rerank(fuse([(df, w) for df, w in lists if df is not None], pool)).where(F.col("rank") <= k)
 
 

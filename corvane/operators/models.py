@@ -35,11 +35,36 @@ def embed(rows: DataFrame, load: Callable[[], Callable], text: str, output: str
     return by_batch(rows, load, [text], output, "array<double>").withColumn(output, unit(F.col(output)))
 
 
-def nli(rows: DataFrame, load: Callable[[], Callable], premise: str = "answer", hypothesis: str = "prediction") -> DataFrame:
-    """Adds nli: P(entailment) - P(contradiction) of the model's (entailment, contradiction) pairs; -1 for an empty prediction."""
-    scored = by_batch(rows, load, [premise, hypothesis], "__p", "array<double>")
+def embed_images(rows: DataFrame, load: Callable[[], Callable], image: str = "rgb", output: str = "vec") -> DataFrame:
+    """Unit vectors of images: the mean of the vectors that the model gives for an image's patches."""
+    from corvane.operators.retrieval import mean_pooled, unit
+
+    made = by_batch(rows, load, [image], "__patches", "array<array<double>>")
+    return made.withColumn(output, unit(mean_pooled(F.col("__patches")))).drop("__patches")
+
+
+def nli(rows: DataFrame, load: Callable[[], Callable], premise: str = "answer", hypothesis: str = "prediction", labels: tuple[str, str] = ("entailment", "contradiction"), max_chars: int | None = None) -> DataFrame:
+    """Adds nli: P(entailment) - P(contradiction); -1 for an empty prediction.
+
+    The model gives a pair of these, or a dict by label (in any letter case). Texts over
+    ``max_chars`` are cut for the model, which has a longest input."""
+
+    def named():
+        model = load()
+
+        def pair(p):
+            if isinstance(p, dict):
+                by = {k.lower(): v for k, v in p.items()}
+                return [float(by[label.lower()]) for label in labels]
+            return list(p)
+
+        return lambda *texts: [pair(p) for p in model(*texts)]
+
+    cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(max_chars)) if max_chars else F.col(c)
+    given = rows.withColumn("__premise", cut(premise)).withColumn("__hypothesis", cut(hypothesis))
+    scored = by_batch(given, named, ["__premise", "__hypothesis"], "__p", "array<double>")
     empty = F.trim(F.coalesce(F.col(hypothesis), F.lit(""))) == ""
-    return scored.withColumn("nli", F.when(empty, -1.0).otherwise(F.col("__p")[0] - F.col("__p")[1])).drop("__p")
+    return scored.withColumn("nli", F.when(empty, -1.0).otherwise(F.col("__p")[0] - F.col("__p")[1])).drop("__p", "__premise", "__hypothesis")
 
 
 def nli_summary(rows: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import zipfile
 from collections.abc import Callable
 
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import first_filled, first_present
+from corvane.operators.records import numbered
+from corvane.operators.retrieval import Index
 
 # Names of fields, log format, and the classes with their descriptions.
 PREDICTION_KEYS = ("prediction", "response", "output", "generated_text")
@@ -62,8 +66,13 @@ def json_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFr
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = PREDICTION, strict: bool = True) -> DataFrame:
-    """JSON lines; blank lines are skipped. A bad line fails the query, or is dropped if not strict."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """JSON lines; blank lines are skipped. A bad line is dropped; if strict, it fails the query, which names its file and text."""
+    if not strict:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    read = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    told = F.raise_error(F.concat(F.lit("bad JSON in "), F.col("_metadata.file_path"), F.lit(": "), F.left("_bad", F.lit(200))))
+    columns = [c for c in read.columns if c != "_bad"]
+    return read.select("*", F.when(F.col("_bad").isNotNull(), told).cast("string").alias("_told")).where(F.col("_told").isNull() | F.col(columns[0]).isNull()).select(*columns)
 
 
 def with_aliases(rows: DataFrame, blank_counts: bool = False) -> DataFrame:
@@ -84,8 +93,9 @@ def zipped_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", exclude
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in sorted(n for n in z.namelist() if n.endswith(suffix) and not n.startswith(exclude)):
                         with z.open(name) as f:
-                            lines = [(i, x) for i, x in enumerate(io.TextIOWrapper(f, "utf-8-sig").read().splitlines(), 1) if x.strip()]
-                        yield pd.DataFrame({"archive": archive, "member": name, "line_no": [i for i, _ in lines], "line": [x for _, x in lines]})
+                            lines = ((i, x.rstrip("\r\n")) for i, x in enumerate(io.TextIOWrapper(f, "utf-8-sig"), 1) if x.strip())
+                            while part := list(itertools.islice(lines, 10_000)):
+                                yield pd.DataFrame({"archive": archive, "member": name, "line_no": [i for i, _ in part], "line": [x for _, x in part]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "archive string, member string, line_no long, line string")
@@ -131,6 +141,18 @@ def pair_store(spark: SparkSession, index_dir: str) -> DataFrame:
         raise FileNotFoundError(f"no pair store in {index_dir}: build the index first") from e
 
 
+def bm25_index(spark: SparkSession, index_dir: str) -> Index:
+    """The stored BM25 tables."""
+    part = lambda name: spark.read.parquet(f"{index_dir}/{name}")
+    kept = part("numbers").first()
+    return Index(part("postings"), part("lengths"), part("counts"), kept["documents"], kept["terms"], kept["mean_idf"])
+
+
+def vectors(spark: SparkSession, index_dir: str, kind: str = "vectors") -> DataFrame:
+    """The stored text vectors, or the visual ones."""
+    return spark.read.parquet(f"{index_dir}/{kind}")
+
+
 def synthetic_corpus(spark: SparkSession, n: int = 10) -> DataFrame:
     report = F.element_at(F.array(*[F.lit(x) for x in FINDINGS]), (F.col("id") % len(FINDINGS) + 1).cast("int"))
     return spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("synthetic_"), F.col("id").cast("string")).alias("pair_id"), report.alias("report"))
@@ -143,8 +165,15 @@ def with_class_reports(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(dim), label, "left")
 
 
+def class_corpus(rows: DataFrame, position: str, label: str, split: str) -> DataFrame:
+    """(row_id, pair_id, report) of labelled images: numbered in source order, the text from the class."""
+    own = with_class_reports(numbered(rows, position, "row_id"), label)
+    return own.select("row_id", F.concat(F.lit(f"galaxy_{split}_"), F.col("row_id").cast("string")).alias("pair_id"), "report")
+
+
 def restricted(spark: SparkSession, **options) -> DataFrame:
-    raise PermissionError("this source needs credentials of its owner")
+    """A place for a source that needs its owner's credentials: it can be opened, and fails when it is read."""
+    return spark.range(1).select(F.raise_error(F.lit("this source needs credentials of its owner")).cast("string").alias("report"))
 
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {"synthetic": synthetic_corpus, "json": json_records, "jsonl": json_lines, "zip": zipped_lines, "log": training_log, "pairs": pair_store, "restricted": restricted}
@@ -157,7 +186,7 @@ def open_source(spark: SparkSession, name: str, *args, **options) -> DataFrame:
 
 
 def label_of(path: str, forced: str | None = None, embedded: str | None = None, known: tuple[str, ...] = ()) -> str:
-    """A result's label: as forced, as embedded, a known label in the path, the folder, or the file's stem."""
+    """A result's label: as forced, as embedded, a known label in the path, the folder, or the file's stem without what says its kind."""
     parts = [p for p in path.replace("\\", "/").split("/") if p]
-    stem = parts[-1].rsplit(".", 1)[0] if parts else "unknown"
+    stem = re.sub(r"(?:[._-](?:per_sample|predictions|scored))+$", "", parts[-1].rsplit(".", 1)[0]) if parts else "unknown"
     return forced or embedded or next((p for p in reversed(parts) if p in known), None) or (parts[-2] if len(parts) > 1 else stem)

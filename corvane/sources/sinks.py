@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.retrieval import postings
+from corvane.operators import retrieval as R
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -20,20 +22,27 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
-def append_new(df: DataFrame, done: DataFrame | None, key: str, path: str) -> None:
-    """Append rows whose key is not written yet; rows with an error count as written."""
+def append_new(df: DataFrame, done: DataFrame | None, key: str, path: str, resume: bool = True, overwrite: bool = False) -> None:
+    """Append rows whose key is not written yet; rows with an error count as written. To overwrite and to resume exclude each other."""
+    if overwrite and resume and done is not None:
+        raise ValueError("overwrite and resume exclude each other")
+    if overwrite:
+        write_json_lines(df, path, "overwrite")
+        return
     rows = df if done is None else df.join(done.select(key).distinct(), key, "left_anti")
     write_json_lines(rows, path, "append")
 
 
-def write_index(corpus: DataFrame, vectors: DataFrame | None, index_dir: str, mode: str = "errorifexists") -> None:
-    """Pairs, postings and vectors, all keyed by row_id."""
-    if not corpus.take(1):
+def write_index(corpus: DataFrame, vectors: DataFrame | None, index_dir: str, mode: str = "errorifexists", visual: DataFrame | None = None) -> None:
+    """Pairs, BM25 tables, and text and visual vectors, all keyed by row_id."""
+    if corpus.isEmpty():
         raise ValueError("the corpus is empty")
-    corpus.write.mode(mode).parquet(f"{index_dir}/pairs")
-    postings(corpus).write.mode(mode).parquet(f"{index_dir}/postings")
-    if vectors is not None:
-        vectors.write.mode(mode).parquet(f"{index_dir}/vectors")
+    spark = corpus.sparkSession
+    for name, table in (("pairs", corpus), ("postings", R.postings(corpus)), ("lengths", R.lengths(corpus)), ("counts", R.document_counts(corpus)), ("vectors", vectors), ("visual", visual)):
+        if table is not None:
+            table.write.mode(mode).parquet(f"{index_dir}/{name}")
+    kept = R.numbers(spark.read.parquet(f"{index_dir}/lengths"), spark.read.parquet(f"{index_dir}/counts"))
+    spark.createDataFrame([kept], "documents long, terms long, mean_idf double").write.mode(mode).parquet(f"{index_dir}/numbers")
 
 
 def markdown_table(df: DataFrame) -> str:
@@ -46,12 +55,39 @@ def markdown_table(df: DataFrame) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(list(r)) for r in rows]])
 
 
+def write_whole(df: DataFrame, path: str, data: bytes) -> None:
+    """One file, in the file system of its path, put in place when it is whole."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    part, whole = jvm.org.apache.hadoop.fs.Path(f"{path}.part"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = whole.getFileSystem(conf)
+    out = fs.create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    if fs.exists(whole):
+        fs.delete(whole, False)
+    if not fs.rename(part, whole):
+        raise OSError(f"{path} could not be put in place")
+
+
 def write_document(df: DataFrame, path: str) -> None:
-    """A small result as one pretty JSON file, put in place when it is whole."""
+    """A small result as one pretty JSON file."""
     rows = [json.loads(x) for x in df.toJSON().collect()]
-    with open(f"{path}.part", "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2)
-    os.replace(f"{path}.part", path)
+    write_whole(df, path, json.dumps(rows, ensure_ascii=False, indent=2).encode())
+
+
+def write_early(base: DataFrame, path: str, key: str, optional: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, str]:
+    """The base rows first, then each optional table of (key, values) beside them; one that fails is left out.
+
+    Returns what failed, and why; the base rows and the other tables stay."""
+    base.write.mode("overwrite").parquet(f"{path}/base")
+    rows, failed = base.sparkSession.read.parquet(f"{path}/base"), {}
+    for name, make in optional.items():
+        try:
+            make(rows).write.mode("overwrite").parquet(f"{path}/{name}")
+        except Exception as e:  # any failure of an optional metric is a warning
+            failed[name] = str(e).splitlines()[0] if str(e) else type(e).__name__
+            warnings.warn(f"{name} failed and is left out: {failed[name]}", stacklevel=2)
+    return failed
 
 
 def markdown_report(title: str, sections: list[tuple[str, DataFrame | str]]) -> str:

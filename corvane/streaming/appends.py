@@ -23,12 +23,17 @@ def there(spark: SparkSession, path: str) -> bool:
 def append_stream(rows: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
     """Append, as JSON lines, each key's first row only, over all runs; takes what is there and stops.
 
-    A batch that is run again after a failure finds its own rows written and adds the rest."""
+    The keys that are written when a run starts are read once, and kept beside its checkpoint;
+    keys of the run itself are the stream's state. A batch that is run again after a failure
+    finds its own rows among the former and adds the rest."""
+    spark = rows.sparkSession
+    done = None
+    if there(spark, path):
+        known = f"{checkpoint}/known"
+        spark.read.schema(f"`{key}` {dict(rows.dtypes)[key]}").json(path).distinct().write.mode("overwrite").parquet(known)
+        done = spark.read.parquet(known)
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        kind = dict(batch.dtypes)[key]
-        done = spark.read.schema(f"`{key}` {kind}").json(path) if there(spark, path) else None
-        append_new(batch.dropDuplicates([key]), done, key, path)
+        append_new(batch, done, key, path)
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
