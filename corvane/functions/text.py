@@ -78,15 +78,29 @@ def words_of(normalized: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    """Size of the multiset intersection of two arrays: both sorted into one, and each word's run counted once."""
+    tagged = lambda xs, left: F.transform(xs, lambda x: F.struct(x.alias("w"), F.lit(left).alias("left")))
+    every = F.sort_array(F.concat(tagged(a, 1), tagged(b, 0)))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        same, left = s["w"] == x["w"], x["left"]
+        count = lambda k, one: F.when(same, s[k]).otherwise(0) + one
+        done = s["n"] + F.when(same, 0).otherwise(F.least(s["a"], s["b"]))
+        return F.struct(x["w"].alias("w"), count("a", left).alias("a"), count("b", 1 - left).alias("b"), done.alias("n"))
+
+    return F.aggregate(every, start, step, lambda s: s["n"] + F.least(s["a"], s["b"]))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
-    p, g = words_of(normalize_words(prediction)), words_of(normalize_words(gold))
-    same = overlap(p, g).cast("double")
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(same == 0, 0.0).otherwise(2 * same / (F.size(p) + F.size(g)))
+    def score(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        same = overlap(p, g).cast("double")
+        return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(2 * same / (F.size(p) + F.size(g)))
+
+    # The words are computed once for each row, however often they are used.
+    words = F.struct(words_of(normalize_words(prediction)).alias("p"), words_of(normalize_words(gold)).alias("g"))
+    return F.transform(F.array(words), score)[0]
 
 
 def answer_type(answer: Column, normalized: bool) -> Column:

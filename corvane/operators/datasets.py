@@ -70,8 +70,8 @@ def group_split(rows: DataFrame, group: str, fraction: float, seed: int = 42) ->
 
 
 def exact_sample(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows, by hash; all, where n is not positive."""
-    return rows if n <= 0 else rows.orderBy(draw(F.col(id_col), seed), id_col).limit(n)
+    """Exactly n rows, by hash, in the order of their ids; all, where n is not positive."""
+    return rows if n <= 0 else rows.orderBy(draw(F.col(id_col), seed), id_col).limit(n).orderBy(id_col)
 
 
 def stratified_sample(rows: DataFrame, id_col: str, stratum: str, first: str, n: int, seed: int = 42) -> DataFrame:
@@ -100,9 +100,22 @@ def padded_batches(rows: DataFrame, batch: str, max_length: int, pad: int = 0) -
 
 def image_positions(ids: Column, token: int, positions: int = 256) -> Column:
     """The first image token becomes this many positions."""
+    return widened(ids, ids, token, positions, F.lit(token).cast("bigint"))
+
+
+def widened(values: Column, ids: Column, token: int, positions: int, fill: Column) -> Column:
+    """Values beside ids, with ``positions`` fills at the first image token's place."""
     at = F.array_position(ids, F.lit(token).cast("bigint")).cast("int")
-    wide = F.concat(F.slice(ids, F.lit(1), at - 1), F.array_repeat(F.lit(token).cast("bigint"), positions), F.slice(ids, at + 1, F.size(ids)))
-    return F.when(at > 0, wide).otherwise(ids)
+    wide = F.concat(F.slice(values, F.lit(1), at - 1), F.array_repeat(fill, positions), F.slice(values, at + 1, F.size(values)))
+    return F.when(at > 0, wide).otherwise(values)
+
+
+def expanded_images(rows: DataFrame, token: int, positions: int = 256) -> DataFrame:
+    """ids, labels and attention_mask with the image's positions; these are attended to and have no label."""
+    big = lambda x: F.lit(x).cast("bigint")
+    wide = lambda c, fill: widened(F.col(c), F.col("ids"), token, positions, big(fill)).alias(c)
+    rest = [c for c in rows.columns if c not in ("ids", "labels", "attention_mask")]
+    return rows.select(*rest, wide("ids", token), wide("labels", -100), wide("attention_mask", 1))
 
 
 def template_questions(rows: DataFrame, position: str, label: str, names: tuple[str, ...]) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corvane.functions import text as T
-
-DIRECTIONS = {"rougeL": "higher", "token_f1": "higher", "em_all": "higher", "sbert": "higher", "nli": "higher", "hallucination": "lower", "unsupported": "lower", "contradiction": "lower"}
+from corvane.operators.records import common_keys, metric_direction
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -39,17 +38,42 @@ def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """Adds token_f1, rougeL, em, answer_type and the specifics columns to rows (prediction, answer, ...);
-    rows without either side are left out."""
+    """Adds token_f1, rougeL (both to four places), em, answer_type and the specifics columns to rows
+    (prediction, answer, ...); rows without either side are left out."""
     both = (F.coalesce("prediction", F.lit("")) != "") & (F.coalesce("answer", F.lit("")) != "")
     p, a = F.col("prediction"), F.col("answer")
     extra = T.unsupported(p, a)
     return rows.where(both).select(
-        "*", T.token_f1(p, a).alias("token_f1"), rouge_l(p, a).alias("rougeL"), T.exact_match(p, a).alias("em"), T.answer_type(a, True).alias("answer_type"),
+        "*", F.round(T.token_f1(p, a), 4).alias("token_f1"), F.round(rouge_l(p, a), 4).alias("rougeL"), T.exact_match(p, a).alias("em"), T.answer_type(a, True).alias("answer_type"),
         T.specifics(p).alias("pred_specifics"), T.specifics(a).alias("answer_specifics"), extra.alias("unsupported_specifics"), F.size(extra).alias("unsupported_specific_count"), (F.size(extra) > 0).alias("has_specificity_hallucination"),
     )
 
 
+def scored_counts(rows: DataFrame) -> DataFrame:
+    """(num_rows, num_scored, num_skipped): rows with both sides, and the others."""
+    both = (F.coalesce("prediction", F.lit("")) != "") & (F.coalesce("answer", F.lit("")) != "")
+    return rows.agg(F.count(F.lit(1)).alias("num_rows"), F.count_if(both).alias("num_scored"), F.count_if(~both).alias("num_skipped"))
+
+
+def basic_summary(rows: DataFrame, split: str = "record_type") -> DataFrame:
+    """The means of scored rows to four places, overall and by split: lexical, exact match, specificity, and
+    the cosine where there is one (overall of its own values, by split of values to four places)."""
+    four = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
+    closed, open_ = F.col("answer_type") == "closed", F.col("answer_type") == "open"
+    cosine = F.col("sbert_cos") if "sbert_cos" in rows.columns else F.lit(None).cast("double")
+    named = rows.withColumn("__cos", cosine.cast("double")).withColumn("__split", F.col(split))
+    got = named.groupingSets([[], ["__split"]], "__split").agg(
+        F.grouping("__split").alias("whole"), F.count(F.lit(1)).alias("n"),
+        four(F.avg(F.round("rougeL", 4))).alias("rougeL_f1"), four(F.avg(F.round("token_f1", 4))).alias("token_f1"),
+        F.round(share(F.col("em")), 4).alias("em_all"), F.round(share(F.col("em"), closed), 4).alias("em_closed"), F.round(share(F.col("em"), open_), 4).alias("em_open"),
+        F.round(share(F.col("has_specificity_hallucination")), 4).alias("specificity_hallucination_rate"), four(F.avg("unsupported_specific_count")).alias("unsupported_specifics_per_record"),
+        F.count_if(F.size("pred_specifics") > 0).alias("records_with_pred_specifics"), F.avg("__cos").alias("cos"), F.avg(F.round("__cos", 4)).alias("cos4"),
+    )
+    label = F.when(F.col("whole") == 1, "overall").otherwise(F.col("__split"))
+    semantic = F.round(F.when(F.col("whole") == 1, F.col("cos")).otherwise(F.col("cos4")), 4).alias("sbert_cosine")
+    return got.where("whole = 1 or __split in ('caption', 'qa')").select(label.alias("split"), *[c for c in got.columns if c not in ("whole", "cos", "cos4", "__split")], semantic)
+
+
 def share(condition: Column, among: Column | None = None) -> Column:
     """Mean of a condition; 0 for no rows."""
     value = F.when(among, condition.cast("double")) if among is not None else condition.cast("double")
@@ -93,20 +117,21 @@ def by_split(pairs: DataFrame) -> DataFrame:
 
 
 def paired_delta(pairs: DataFrame) -> DataFrame:
-    direction = F.element_at(F.create_map(*[F.lit(x) for kv in DIRECTIONS.items() for x in kv]), F.col("metric"))
+    direction = metric_direction(F.col("metric"))
     got = by_split(pairs).groupBy("split", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("baseline").alias("baseline_mean"), F.avg("target").alias("target_mean"), F.avg(F.col("target") - F.col("baseline")).alias("diff"))
     better = F.when(direction == "higher", F.col("diff") > 0).when(direction == "lower", F.col("diff") < 0)
-    return got.select("*", F.coalesce(direction, F.lit("unknown")).alias("direction"), F.coalesce(better, F.lit(False)).alias("favors_target"))
+    return got.select("*", direction.alias("direction"), F.coalesce(better, F.lit(False)).alias("favors_target"))
 
 
 def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42, key: str = "unique_key", block_rows: int = 50_000, most_blocks: int = 4096) -> DataFrame:
     """Percentile intervals of the mean difference by paired resampling.
 
     A group (split and metric) is cut into blocks by hash. How many of a resample's draws
-    fall into each block is multinomial in the blocks' sizes; every task draws the same
-    counts from the group's seed, takes its own, and draws that often inside its block. So
-    a resample is one of the whole group, and a task holds one block's differences, about
-    ``block_rows`` or, over ``most_blocks`` blocks, that share of the group."""
+    fall into each block is multinomial in the blocks' sizes: halves of the blocks share
+    draws by binomials seeded by the half, down to the task's own block, so tasks agree
+    without a table and each makes only as many of these as the blocks' number has binary
+    digits. So a resample is one of the whole group, and a task holds one block's
+    differences, about ``block_rows`` or, over ``most_blocks`` blocks, that share of the group."""
     rows = by_split(pairs).select("split", "metric", key, (F.col("target") - F.col("baseline")).alias("diff"))
     means = rows.groupBy("split", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("diff"))
     wanted = F.least(F.ceil(F.col("n") / block_rows), F.lit(most_blocks))
@@ -123,20 +148,26 @@ def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95,
         own = held.value[split, metric]
         blocks = sorted(own)
         n, group = np.array([own[b] for b in blocks]), [seed, zlib.crc32(f"{split}\0{metric}".encode())]
-        shared, inside, at = np.random.default_rng(group), np.random.default_rng([*group, block + 1]), blocks.index(block)
-        draws = np.concatenate([shared.multinomial(n.sum(), n / n.sum(), min(64, resamples - i))[:, at] for i in range(0, resamples, 64)])
+        inside, at = np.random.default_rng([*group, block + 1]), blocks.index(block)
+        lo, hi, draws = 0, len(blocks), np.full(resamples, n.sum())
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = np.random.default_rng([*group, 0, lo, hi]).binomial(draws, n[lo:mid].sum() / n[lo:hi].sum())
+            lo, hi, draws = (lo, mid, left) if at < mid else (mid, hi, draws - left)
         step, sums = max(1, 4_000_000 // max(1, len(diffs))), np.zeros(resamples)
         for i in range(0, resamples, step):
             part = draws[i : i + step]
-            got = diffs[inside.integers(0, len(diffs), part.sum())]
-            sums[i : i + step] = np.bincount(np.repeat(np.arange(len(part)), part), got, len(part))
+            got = np.append(diffs[inside.integers(0, len(diffs), part.sum(), np.int32 if len(diffs) < 2**31 else np.int64)], 0.0)
+            ends = np.cumsum(part)
+            sums[i : i + step] = np.where(part > 0, np.add.reduceat(got, ends - part), 0.0)
         return pd.DataFrame({"split": split, "metric": metric, "resample": np.arange(resamples), "total": sums})
 
     made = dealt.groupBy("split", "metric", "block").applyInPandas(run, "split string, metric string, resample int, total double")
     drawn = made.groupBy("split", "metric", "resample").agg(F.sum("total").alias("total")).join(F.broadcast(means), ["split", "metric"])
     ends = [F.percentile(F.col("total") / F.col("n"), F.lit(x)).alias(name) for x, name in (((1 - level) / 2, "ci_low"), ((1 + level) / 2, "ci_high"))]
-    found = drawn.groupBy("split", "metric").agg(F.max("n").alias("n"), F.max("diff").alias("diff"), *ends)
-    return found.withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+    found = drawn.groupBy("split", "metric").agg(*ends)
+    out = paired_delta(pairs).join(F.broadcast(found), ["split", "metric"])  # a row for each split and metric
+    return out.withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
 def skipped(predictions: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -166,9 +197,7 @@ def mode_comparison(modes: dict[str, DataFrame]) -> DataFrame:
 
 def in_all(samples: DataFrame, systems: dict[str, DataFrame], key: str) -> DataFrame:
     """The samples that every system has; to be taken before a quota is drawn from them."""
-    for _, rows in sorted(systems.items()):
-        samples = samples.join(rows.select(key), key, "left_semi")
-    return samples
+    return samples.join(common_keys(systems, key), key, "left_semi")
 
 
 def judge_sheet(samples: DataFrame, systems: dict[str, DataFrame], key: str, order: Column) -> DataFrame:
