@@ -11,6 +11,7 @@ from corvane.functions import text as T
 from corvane.operators import datasets as D
 from corvane.operators import evaluation as E
 from corvane.operators import mining as M
+from corvane.operators import records as C
 from corvane.operators import retrieval as R
 from corvane.sources import images, readers
 
@@ -110,7 +111,7 @@ def bm25_topk(spark, sf_dir):
 @query(BM25_SQL + "SELECT term, df, round(idf, 9) AS idf FROM idf")
 def bm25_term_stats(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    return R.term_stats(R.postings(docs), docs.count()).withColumn("idf", F.round("idf", 9))
+    return R.term_stats(R.document_counts(docs), docs.count()).withColumn("idf", F.round("idf", 9))
 
 
 @query("WITH " + dense_sql("q.vec_id % 20 = 0") + "SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 6) AS score FROM dn WHERE rank <= 5")
@@ -174,9 +175,17 @@ def token_f1(spark, sf_dir):
     return answers(spark, sf_dir).select("qa_id", F.round(T.token_f1(F.col("prediction"), F.col("answer")), 9).alias("f1"))
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE q AS ({QA_SQL}),
+    w AS (SELECT qa_id, list_filter(regexp_split_to_array(lower(coalesce(question, '')), '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(coalesce(answer, '')), '\s+'), lambda x: x <> '') AS b FROM q),
+    r AS (SELECT qa_id, a, b, 0 AS i, [0 FOR x IN a] AS best FROM w
+          UNION ALL
+          SELECT qa_id, a, b, i + 1, [list_max([greatest(best[k], CASE WHEN a[k] = b[i + 1] THEN coalesce(best[k - 1], 0) + 1 ELSE 0 END) FOR k IN range(1, j + 1)]) FOR j IN range(1, len(a) + 1)]
+          FROM r WHERE i < len(b) AND len(a) > 0),
+    n AS (SELECT qa_id, len(a) AS na, len(b) AS nb, coalesce(best[len(a)], 0) AS n FROM r WHERE i = len(b) OR len(a) = 0)
+    SELECT qa_id, CASE WHEN n = 0 THEN 0.0 ELSE round(2.0 * n / (na + nb), 9) END AS rouge_l FROM n""")
 def rouge_l(spark, sf_dir):
-    return answers(spark, sf_dir).select("qa_id", E.rouge_l("prediction", "answer").alias("rouge_l"))
+    return answers(spark, sf_dir).select("qa_id", F.round(E.rouge_l("prediction", "answer"), 9).alias("rouge_l"))
 
 
 @query(f"SELECT conv_id, turn, CASE WHEN lower(trim(text)) IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS by_text, CASE WHEN {norm_sql('text')} IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS by_words FROM conversations")
@@ -193,7 +202,15 @@ def years(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_years"))
 
 
-@query()
+def specifics_sql(c: str) -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    every = [f"regexp_extract_all(upper({c}), {quoted(p)})" for p in T.CATALOG_PATTERNS] + [f"regexp_extract_all({c}, {quoted(p)})" for p in (T.MEASUREMENT_PATTERN, T.REDSHIFT_PATTERN, T.YEAR_PATTERN)]
+    every += [f"CASE WHEN regexp_matches(lower({c}), {quoted(chr(92) + 'b' + n + chr(92) + 'b')}) THEN [{quoted(n)}] ELSE [] END" for n in T.INSTRUMENTS]
+    normal = rf"regexp_replace(regexp_replace(regexp_replace(trim(lower(x)), '\bmessier\s+', 'm', 'g'), '\s+', ' ', 'g'), {quoted(T.SPECIFIC_PREFIX)}, '\1', 'g')"
+    return f"list_sort(list_distinct(list_transform(flatten([{', '.join(every)}]), lambda x: {normal})))"
+
+
+@query(f"SELECT doc_id, {specifics_sql('coalesce(text, chr(32))')} AS specifics FROM documents")
 def extract_specifics(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.specifics(F.col("text")).alias("specifics"))
 
@@ -202,10 +219,10 @@ def extract_specifics(spark, sf_dir):
     SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned,
            CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 80 THEN trim(regexp_replace(text, '\\s+', ' ', 'g'))
                 ELSE rtrim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 77)) || '...' END AS short,
-           coalesce(nullif(trim(regexp_replace(left(text, 60), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'unnamed') AS name FROM conversations""")
+           coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'unnamed') AS name FROM conversations""")
 def text_shaping(spark, sf_dir):
     t = F.col("text")
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_prompt(t).alias("cleaned"), T.shorten(t, 80).alias("short"), T.safe_name(F.left(t, F.lit(60)), "unnamed").alias("name"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_prompt(t).alias("cleaned"), T.shorten(t, 80).alias("short"), T.safe_name(t, "unnamed").alias("name"))
 
 
 @query(QA_SQL)
@@ -270,13 +287,13 @@ def key_occurrence(spark, sf_dir):
 
 PAIR_SQL = """
     SELECT CASE WHEN e.event_id % 3 = 0 THEN 'caption' ELSE 'qa' END AS kind, m.metric, e.value AS baseline, e.value * m.f AS target
-    FROM events e, (VALUES ('rougeL', 1.1), ('hallucination', 0.9)) m(metric, f) WHERE e.value IS NOT NULL
+    FROM events e, (VALUES ('rougeL', 1.1), ('specificity_halluc', 0.9)) m(metric, f) WHERE e.value IS NOT NULL
 """
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select(F.array(F.lit("id"), F.col("event_id").cast("string")).alias("unique_key"), F.when(F.col("event_id") % 3 == 0, "caption").otherwise("qa").alias("record_type"), "value")
-    base = events.withColumn("metric", F.explode(F.array(F.lit("rougeL"), F.lit("hallucination"))))
+    base = events.withColumn("metric", F.explode(F.array(F.lit("rougeL"), F.lit("specificity_halluc"))))
     other = base.withColumn("value", F.col("value") * F.when(F.col("metric") == "rougeL", 1.1).otherwise(0.9))
     return E.paired(base, other)
 
@@ -521,3 +538,133 @@ def class_conversations(spark, sf_dir):
 """)
 def caption_conversations(spark, sf_dir):
     return spoken(D.caption_conversations(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+
+
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows with numbers as texts, nulls, a cosine of 0, and rows without a contradiction of their own."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    k = lambda n: F.col("doc_id") % n
+    return docs.select(
+        "doc_id", F.when(k(3) == 0, F.lit(" ")).otherwise(F.col("lang")).alias("prediction"), F.col("lang").alias("response"), F.concat(F.lit("The "), F.coalesce("lang", F.lit("")), F.lit(".")).alias("answer"),
+        F.when(k(7) == 0, "no number").otherwise((k(10) / 10.0).cast("string")).alias("rougeL"), (k(9) / 9.0).alias("token_f1"), (k(4) == 1).alias("has_specificity_hallucination"), k(4).alias("unsupported_specific_count"),
+        F.when(k(5) == 0, F.array("source")).when(k(5) == 1, F.array().cast("array<string>")).alias("pred_specifics"), F.when(k(6) > 0, k(3) / 2.0).alias("sbert_cos"), F.when(k(2) == 0, k(8) / 4.0).alias("sbert"),
+        F.when(k(11) > 0, (k(11) - 5) / 5.0).alias("nli"), F.when(k(13) == 0, F.lit(True)).alias("contradiction"),
+    )
+
+
+@query(f"""
+    WITH r AS (
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END AS p, lang AS response, concat('The ', coalesce(lang, ''), '.') AS answer, source,
+               TRY_CAST(CASE WHEN doc_id % 7 = 0 THEN 'no number' ELSE CAST(doc_id % 10 / 10.0 AS VARCHAR) END AS DOUBLE) AS rouge, doc_id % 9 / 9.0 AS f1, doc_id % 4 AS u,
+               CASE WHEN doc_id % 6 > 0 THEN doc_id % 3 / 2.0 END AS c1, CASE WHEN doc_id % 2 = 0 THEN doc_id % 8 / 4.0 END AS c2,
+               CASE WHEN doc_id % 11 > 0 THEN (doc_id % 11 - 5) / 5.0 END AS nli, CASE WHEN doc_id % 13 = 0 THEN 1.0 END AS con FROM documents),
+    t AS (SELECT *, {unicode_sql("coalesce(CASE WHEN trim(p) <> '' THEN p END, CASE WHEN trim(response) <> '' THEN response END, '')")} AS pn, {unicode_sql("answer")} AS an FROM r),
+    v AS (SELECT doc_id, unnest([
+        {{'metric': 'rougeL', 'value': rouge}}, {{'metric': 'token_f1', 'value': f1}}, {{'metric': 'em_all', 'value': CAST({em_sql("pn", "an")} AS DOUBLE)}},
+        {{'metric': 'specificity_halluc', 'value': CAST(u = 1 AS DOUBLE)}}, {{'metric': 'unsupported_specifics', 'value': CAST(u AS DOUBLE)}}, {{'metric': 'records_with_pred_specifics', 'value': CAST(doc_id % 5 = 0 AS DOUBLE)}},
+        {{'metric': 'sbert', 'value': coalesce(nullif(c1, 0), c2)}}, {{'metric': 'nli', 'value': nli}}, {{'metric': 'contradiction', 'value': coalesce(con, CAST(nli < 0 AS DOUBLE))}}]) AS m FROM t)
+    SELECT doc_id, m.metric AS metric, round(m.value, 9) AS value,
+           CASE WHEN m.metric IN {C.HIGHER} THEN 'higher' WHEN m.metric IN {C.LOWER} THEN 'lower' ELSE 'unknown' END AS direction FROM v""")
+def metric_values(spark, sf_dir):
+    return C.metric_values(metric_rows(spark, sf_dir), ["doc_id"]).withColumn("value", F.round("value", 9))
+
+
+SUMMARY_SQL = f"""
+    WITH q AS ({QA_SQL}), t AS (
+        SELECT CASE WHEN conv_id % 2 = 0 THEN 'caption' ELSE 'qa' END AS split, round(length(answer) / 7.0, 4) AS rouge, round(length(question) / 3.0, 4) AS f1, conv_id % 3 = 0 AS em,
+               CASE WHEN turn % 4 = 1 THEN 'closed' ELSE 'open' END AS kind, turn % 3 AS u, conv_id % 5 = 0 AS has, length(answer) / 9.0 AS cos FROM q)
+"""
+
+
+@query(SUMMARY_SQL + """
+    SELECT CASE WHEN grouping(split) = 1 THEN 'overall' ELSE split END AS split, count(*) AS n, round(avg(rouge), 4) AS rougeL_f1, round(avg(f1), 4) AS token_f1,
+           round(avg(CAST(em AS INT)), 4) AS em_all, round(coalesce(avg(CAST(em AS INT)) FILTER (WHERE kind = 'closed'), 0), 4) AS em_closed, round(coalesce(avg(CAST(em AS INT)) FILTER (WHERE kind = 'open'), 0), 4) AS em_open,
+           round(avg(CAST(u > 0 AS INT)), 4) AS specificity_hallucination_rate, round(avg(u), 4) AS unsupported_specifics_per_record, count(*) FILTER (WHERE has) AS records_with_pred_specifics,
+           round(CASE WHEN grouping(split) = 1 THEN avg(cos) ELSE avg(round(cos, 4)) END, 4) AS sbert_cosine
+    FROM t GROUP BY GROUPING SETS ((), (split))""")
+def basic_summary(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    rows = answers(spark, sf_dir).select(
+        F.when(c % 2 == 0, "caption").otherwise("qa").alias("record_type"), (F.length("answer") / 7.0).alias("rougeL"), (F.length("prediction") / 3.0).alias("token_f1"), (c % 3 == 0).alias("em"),
+        F.when(t % 4 == 1, "closed").otherwise("open").alias("answer_type"), (t % 3 > 0).alias("has_specificity_hallucination"), (t % 3).alias("unsupported_specific_count"),
+        F.when(c % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("pred_specifics"), (F.length("answer") / 9.0).alias("sbert_cos"),
+    )
+    return E.basic_summary(rows)
+
+
+def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records, some without an image."""
+    c = D.conversations(load(spark, sf_dir, "conversations"))
+    image = F.when(F.col("conv_id") % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit("im"), F.col("conv_id").cast("string")))
+    id_ = F.when(F.col("conv_id") % 2 == 0, F.concat(F.col("conv_id").cast("string"), F.lit("_qa")))
+    return c.select(F.col("conv_id").alias("position"), id_.alias("id"), image.alias("image"), "conversations")
+
+
+CLEAN_SQL = r"trim(regexp_replace(replace({0}, '<image>', ' '), '\s+', ' ', 'g'))"
+RECORDS_SQL = """
+    WITH t AS (SELECT conv_id, turn, CASE WHEN role IN ('human', 'user') THEN 'human' ELSE 'gpt' END AS who, text FROM conversations),
+    c AS (SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN '' ELSE concat('im', conv_id) END AS image, CASE WHEN conv_id % 2 = 0 THEN concat(conv_id, '_qa') END AS id,
+                 coalesce(arg_max_null(text, turn) FILTER (WHERE who = 'human'), '') AS h, trim(coalesce(arg_max_null(text, turn) FILTER (WHERE who = 'gpt'), '')) AS g, list(coalesce(text, '') ORDER BY turn) AS v FROM t GROUP BY conv_id)
+"""
+
+
+@query(RECORDS_SQL + f"SELECT conv_id AS index, coalesce(id, concat('record_', conv_id)) AS id, image, CASE WHEN id IS NULL THEN 'caption' ELSE 'qa' END AS record_type, {CLEAN_SQL.format('h')} AS prompt, g AS reference FROM c WHERE image <> '' AND h <> '' AND g <> ''")
+def single_turns(spark, sf_dir):
+    return C.single_turns(records_of(spark, sf_dir))
+
+
+@query(RECORDS_SQL + f"SELECT id, image, {CLEAN_SQL.format('v[1]')} AS prompt, trim(v[2]) AS answer, CASE WHEN id IS NULL THEN 'caption' ELSE 'qa' END AS record_type FROM c WHERE len(v) >= 2 AND image <> '' AND trim(v[2]) <> ''")
+def reference_rows(spark, sf_dir):
+    return C.reference_rows(records_of(spark, sf_dir))
+
+
+@query("""
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, text FROM conversations WHERE turn % 5 <> 3 AND coalesce(text, '') <> ''),
+    h AS (SELECT conv_id, bool_or(contains(text, '<image>')) AS has FROM t GROUP BY conv_id)
+    SELECT conv_id, CAST(count(*) AS INTEGER) AS turns, string_agg(CASE WHEN i = 1 AND NOT has THEN concat('<image>', chr(10), text) ELSE text END, '|' ORDER BY i) AS said FROM t JOIN h USING (conv_id) GROUP BY conv_id""")
+def plain_conversations(spark, sf_dir):
+    """From JSON text, with turns that have no role."""
+    turns = load(spark, sf_dir, "conversations").withColumn("role", F.when(F.col("turn") % 5 == 3, " ").otherwise(F.col("role")))
+    one = F.struct("turn", F.struct(F.col("role").alias("from"), F.col("text").alias("value")).alias("t"))
+    said = turns.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"])).alias("conversations"))
+    good, _ = C.quarantined(said, "conversations", as_json=True)
+    return good.select("conv_id", F.size("conversations").alias("turns"), F.array_join(F.transform("conversations", lambda x: x["value"]), "|").alias("said"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, concat('docs_', row_number() OVER (ORDER BY doc_id) - 1) AS pair_id, text AS report FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= 300")
+def capped_pairs(spark, sf_dir):
+    return C.capped_pairs(load(spark, sf_dir, "documents"), "doc_id", "docs", "text", 300)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS index FROM events")
+def row_index(spark, sf_dir):
+    return C.numbered(load(spark, sf_dir, "events").select("event_id"), "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IS NOT NULL INTERSECT SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents WHERE n_chars > 500")
+def common_keys(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return C.common_keys({"a": docs.where("lang is not null"), "b": load(spark, sf_dir, "labels"), "c": docs.where("n_chars > 500")}, "doc_id")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, concat('galaxy_test_', row_number() OVER (ORDER BY vec_id) - 1) AS pair_id, CASE label {' '.join(f'WHEN {i} THEN {chr(39)}Morphology: {n}. {d}{chr(39)}' for i, (n, d) in enumerate(readers.CLASSES))} END AS report FROM embeddings")
+def class_corpus(spark, sf_dir):
+    return readers.class_corpus(load(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label", "test")
+
+
+@query("WITH g AS (SELECT label, unnest(range(1, 65)) AS i FROM (SELECT DISTINCT label FROM embeddings)) SELECT g.label, list(round(m, 6) ORDER BY i) AS v FROM (SELECT g.label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings e JOIN g ON e.label = g.label GROUP BY ALL) g GROUP BY g.label")
+def mean_pooled(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("all"))
+    return vectors.select("label", F.transform(R.mean_pooled(F.col("all")), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("""
+    WITH r AS (SELECT vec_id, range(vec_id % 13 + 1) AS ids FROM embeddings), p AS (SELECT vec_id, ids, list_position(ids, 5) AS k FROM r)
+    SELECT vec_id, CASE WHEN k IS NULL THEN ids ELSE list_concat(ids[1:k - 1], [5 FOR x IN range(4)], ids[k + 1:]) END AS ids,
+           CASE WHEN k IS NULL THEN ids ELSE list_concat(ids[1:k - 1], [-100 FOR x IN range(4)], ids[k + 1:]) END AS labels,
+           CASE WHEN k IS NULL THEN [1 FOR x IN ids] ELSE [1 FOR x IN range(len(ids) + 3)] END AS attention_mask FROM p""")
+def expand_images(spark, sf_dir):
+    ids = F.sequence(F.lit(0).cast("bigint"), F.col("vec_id") % 13)
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"), ids.alias("labels"), F.transform(ids, lambda x: F.lit(1).cast("bigint")).alias("attention_mask"))
+    out = D.expanded_images(rows, 5, 4)
+    return out.withColumn("attention_mask", F.col("attention_mask").cast("array<int>"))
