@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import ablation as A
 from corvane.operators import datasets as D
 from corvane.operators import evaluation as E
 from corvane.operators import mining as M
@@ -668,3 +669,25 @@ def expand_images(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"), ids.alias("labels"), F.transform(ids, lambda x: F.lit(1).cast("bigint")).alias("attention_mask"))
     out = D.expanded_images(rows, 5, 4)
     return out.withColumn("attention_mask", F.col("attention_mask").cast("array<int>"))
+
+
+@query(
+    BM25_SQL.rstrip() + """,
+    ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qv AS (SELECT item_id AS query_id, v FROM benchmark JOIN ve ON vec_id = item_id),
+    dn AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank
+           FROM (SELECT query_id, vec_id AS row_id, list_inner_product(qv.v, ve.v) AS score FROM qv, ve)),
+    vi AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank
+           FROM (SELECT query_id, vec_id AS row_id, list_inner_product(qv.v[1:16], ve.v[1:16]) AS score FROM qv, ve)),
+    li AS (SELECT query_id, row_id, rank, 0 AS list_no, 0.7 AS w FROM dn WHERE rank <= 20 UNION ALL SELECT query_id, row_id, rank, 1, 0.7 FROM bm WHERE rank <= 20
+           UNION ALL SELECT query_id, row_id, rank, 2, 0.3 FROM vi WHERE rank <= 20),
+    fu AS (SELECT query_id, row_id, sum(w / (60 + rank)) AS score, min(list_no * 1000 + rank) AS first FROM li GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first) AS rank FROM fu)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 9) AS score FROM rk WHERE rank <= 10"""
+)
+def hybrid_retrieval(spark, sf_dir):
+    """Text vectors, BM25 and a second kind of vectors (the first 16 components) in the hybrid mode."""
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    seen = vectors.select("row_id", F.slice("vec", 1, 16).alias("vec"))
+    asked = items(spark, sf_dir).join(vectors.select(F.col("row_id").alias("query_id"), F.col("vec").alias("text_vec")), "query_id", "left").withColumn("image_vec", F.slice("text_vec", 1, 16))
+    index = A.Index(corpus(spark, sf_dir), text_vectors=vectors, image_vectors=seen)
+    return A.retrieve("hybrid", asked, index, 10, pool=20, visual=0.3).withColumn("score", F.round("score", 9))

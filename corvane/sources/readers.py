@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import first_filled, first_present
-from corvane.operators.records import numbered
+from corvane.operators.datasets import template_questions
+from corvane.operators.records import first_rows, numbered
 from corvane.operators.retrieval import Index
 
 # Names of fields, log format, and the classes with their descriptions.
@@ -185,6 +186,32 @@ def open_source(spark: SparkSession, name: str, *args, **options) -> DataFrame:
     return SOURCES[name](spark, *args, **options)
 
 
+BENCHMARKS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_benchmark(name: str, load: Callable[..., DataFrame]) -> None:
+    """A set of questions under a name: load(spark, ...) gives (position, question, answer, answer_type)."""
+    if name in BENCHMARKS:
+        raise ValueError(f"there is a benchmark {name!r} already")
+    BENCHMARKS[name] = load
+
+
+def open_benchmark(spark: SparkSession, name: str, *args, num_samples: int | None = None, **options) -> DataFrame:
+    """A benchmark's questions, the first ``num_samples`` in source order."""
+    if name not in BENCHMARKS:
+        raise ValueError(f"unknown benchmark {name!r}; there are {', '.join(sorted(BENCHMARKS))}")
+    return first_rows(BENCHMARKS[name](spark, *args, **options), "position", num_samples)
+
+
+def class_questions(spark: SparkSession, path: str, position: str = "position", label: str = "label") -> DataFrame:
+    """Questions on labelled images, by templates."""
+    rows = spark.read.parquet(path).select(F.col(position).alias("position"), F.col(label).alias("label"))
+    return template_questions(rows, "position", "label", tuple(n for n, _ in CLASSES)).drop("label")
+
+
+register_benchmark("class_questions", class_questions)
+
+
 def label_of(path: str, forced: str | None = None, embedded: str | None = None, known: tuple[str, ...] = ()) -> str:
     """A result's label: as forced, as embedded, a known label in the path, the folder, or the file's stem without what says its kind."""
     parts = [p for p in path.replace("\\", "/").split("/") if p]

@@ -195,3 +195,13 @@ def test_images_beside_masks(spark):
     rows = spark.createDataFrame([(1, [5, 9, 6], [-100, 9, 6], [1, 1, 1]), (2, [5, 6], [5, 6], [1, 1])], "k int, ids array<bigint>, labels array<bigint>, attention_mask array<bigint>")
     got = {r["k"]: (r["ids"], r["labels"], r["attention_mask"]) for r in D.expanded_images(rows, 9, 3).collect()}
     assert got == {1: ([5, 9, 9, 9, 6], [-100, -100, -100, -100, 6], [1] * 5), 2: ([5, 6], [5, 6], [1, 1])}
+
+
+def test_benchmarks(spark, tmp_path):
+    spark.range(6).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label")).write.parquet(str(tmp_path / "e"))
+    got = readers.open_benchmark(spark, "class_questions", str(tmp_path / "e"), num_samples=3, position="vec_id").orderBy("position").collect()
+    assert [(r["position"], r["answer"]) for r in got] == [(0, "Disturbed Galaxies"), (1, "yes"), (2, "Round Smooth Galaxies")]
+    with pytest.raises(ValueError, match="class_questions"):
+        readers.open_benchmark(spark, "other")
+    with pytest.raises(ValueError, match="already"):
+        readers.register_benchmark("class_questions", readers.class_questions)
