@@ -31,7 +31,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(table(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"))
+    found = line_dedup(table(spark, sf_dir, "documents"), min_lines=1, counts=("n_lines", "n_removed"))
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
@@ -88,13 +88,7 @@ LINES_SQL = """
 """
 
 LATER_SQL = """
-    SELECT doc_id, pos FROM (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM {lines} WHERE pos IS NOT NULL)
-    WHERE nth > 1 AND length(line) >= 200
-    UNION
-    SELECT doc_id, unnest([pos, pos + 1]) FROM (
-        SELECT doc_id, pos, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) AS nth
-        FROM (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM {lines} WHERE pos IS NOT NULL)
-        WHERE following IS NOT NULL)
+    SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM {lines} WHERE pos IS NOT NULL)
     WHERE nth > 1
 """
 
