@@ -43,6 +43,7 @@ class Scratch:
         """Delete tables that later steps do not read, and let go of finished shuffles."""
         for name in names:
             self._delete(f"{self.root}/{name}")
+        self.spark.range(1).count()  # the session holds the plan that ran last, and with it its shuffles
         gc.collect()
         self.spark._jvm.System.gc()
 

@@ -36,14 +36,17 @@ FILLED = "filter(split({0}, '\\n', -1), x -> trim(both ' \\t\\r' from x) <> '')"
 PLACE = ["doc_id", "variant", "pos"]
 
 
-def dealt_ranks(keys: DataFrame, columns: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """Number distinct keys from 0 in their order, without one task seeing them all."""
-    ranged = scratch.keep(keys.repartitionByRange(parts(keys.sparkSession), *columns).withColumn("part", F.spark_partition_id()), f"{name}_ranged")
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+def dealt_ranks(keys: DataFrame, columns: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """Number distinct keys from 0 in their order, without one task seeing them all; and how many rows (n) they have."""
+    ranged = scratch.keep(keys.repartitionByRange(parts(keys.sparkSession), *columns).withColumn("part", F.spark_partition_id()), name)
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).collect()  # a row for each partition
+    before, total = [], 0
+    for r in sorted(sizes):
+        before += [F.lit(r["part"]), F.lit(total)]
+        total += r["keys"]
     local = F.row_number().over(Window.partitionBy("part").orderBy(*columns)) - 1
-    numbered = ranged.withColumn("local", local).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("local"))
-    return scratch.keep(numbered.drop("part", "before", "local"), name)
+    first = F.create_map(*before)[F.col("part")] if before else F.lit(0)
+    return ranged.withColumn("rank", (first + local).cast("long")).drop("part"), sum(r["n"] for r in sizes)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -55,24 +58,23 @@ def later_runs(docs: DataFrame, min_lines: int, long_line: int, scratch: Scratch
     """(doc_id, variant, pos, depth): of each suffix, the most lines, by doubling, for which it is a later copy."""
     lines = scratch.keep(line_rows(docs), "lines")
     counted = [F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")]
-    ids = dealt_ranks(lines.groupBy("line_key").agg(*counted).where("n > 1"), ["line_key"], scratch, "ids")
-    now = scratch.keep(dealt_join(lines, ids, ["line_key"], "n", ["doc_id", "pos"]).select(*PLACE, "rank", "first", "chars").dropDuplicates(PLACE), "depth1")
-    scratch.drop("lines", "ids", "ids_ranged")
+    ids, tied = dealt_ranks(lines.groupBy("line_key").agg(*counted).where("n > 1"), ["line_key"], scratch, "ids")
+    now = scratch.keep(dealt_join(lines, ids, ["line_key"], "n", ["doc_id", "pos"], tied).select(*PLACE, "rank", "first", "chars").dropDuplicates(PLACE), "depth1")
+    scratch.drop("lines", "ids")
     later, depth = F.struct(*PLACE) > F.col("first"), 1
     out = now.where(later if min_lines == 1 else later & (F.col("chars") >= long_line)).select(*PLACE, F.lit(1).alias("depth"))
-    while True:
+    while tied:
         step = min(depth, min_lines - depth) if depth < min_lines else depth
         ahead = now.select("doc_id", "variant", (F.col("pos") - step).alias("pos"), F.col("rank").alias("rank2"))
         pairs = scratch.keep(now.select(*PLACE, F.col("rank").alias("rank1")).join(ahead.hint("merge"), PLACE), f"pairs{depth}")
-        ranks = dealt_ranks(pairs.groupBy("rank1", "rank2").agg(*counted).where("n > 1"), ["rank1", "rank2"], scratch, f"ranks{depth}")
-        tied = ranks.agg(F.sum("n")).first()[0]
+        ranks, tied = dealt_ranks(pairs.groupBy("rank1", "rank2").agg(*counted).where("n > 1"), ["rank1", "rank2"], scratch, f"ranks{depth}")
         if not tied:
             break
         depth += step
         now = scratch.keep(dealt_join(pairs, ranks, ["rank1", "rank2"], "n", ["doc_id", "pos"], tied).select(*PLACE, "rank", "first"), f"depth{depth}")
         if depth >= min_lines:
             out = out.unionByName(now.where(later).select(*PLACE, F.lit(depth).alias("depth")))
-        scratch.drop(f"pairs{depth - step}", f"ranks{depth - step}", f"ranks{depth - step}_ranged")
+        scratch.drop(f"pairs{depth - step}", f"ranks{depth - step}")
     return out.groupBy(*PLACE).agg(F.max("depth").alias("depth"))
 
 
