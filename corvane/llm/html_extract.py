@@ -23,6 +23,7 @@ are extracted each. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -61,7 +62,7 @@ ROLE, MODIFIER, HIDDEN, ARTICLE, CONTENT_NAME = -4.0, -3.5, -5.0, 2.5, 1.5
 BLOCK_TAGS = {"h1": 2.0, "h2": 0.5, "h3": 0.5, "h4": 0.5, "h5": 0.5, "h6": 0.5, "figcaption": 0.5, "blockquote": 0.5, "pre": 0.5, "p": 0.5, "td": 0.5, "dd": 0.5}
 SENTENCE, NOTICE = 0.7, -4.0
 #: Smoothness: of page neighbours, by their distance in the tree, and of blocks under one parent.
-NEIGHBOURS, SIBLINGS = 3.0, 0.5
+NEIGHBOURS, SIBLINGS, FAR = 3.0, 0.5, 64
 #: Prose outside of named boilerplate that a page has at least, as a share; under it, names are those of wrappers.
 OUTSIDE = 0.1
 #: For comments and the like, which may be longer than their article, this many characters are enough.
@@ -130,37 +131,52 @@ def own_score(tag: str, attributes: str, within: bool) -> tuple[float, bool]:
     return score, others
 
 
+def outermost(top: Element, children: dict[int, list[Element]]) -> list[Element]:
+    """The elements below ``top`` that say boilerplate, with none around them that does."""
+    found, todo = [], list(children.get(id(top), ()))
+    while todo:
+        e = todo.pop()
+        if e.own < 0:
+            found.append(e)
+        else:
+            todo += children.get(id(e), ())
+    return found
+
+
 def settle(elements: list[Element]) -> None:
     """The score of each element, with all around it; elements come after their parents.
 
     An element that says boilerplate overrules what is around it; one that says content adds."""
+    children: dict[int, list[Element]] = {}
     for e in reversed(elements):
         if e.parent:
+            children.setdefault(id(e.parent), []).append(e)
             e.parent.prose += e.prose
             main = e.wraps or (e.tag in CONTENT_ELEMENTS and e.own > 0)
             e.parent.wraps |= main and not e.others
-    total = elements[0].prose
     for e in elements:
         if e.own < 0 and e.wraps and not e.others:
             e.own = 0.0
+    total, found = elements[0].prose, outermost(elements[0], children)
+    named, widest = sum(e.prose for e in found), [(-e.prose, i, e) for i, e in enumerate(found)]
+    heapq.heapify(widest)
+    while widest:
+        _, _, e = widest[0]
+        if e.prose * 2 < total or total - named >= min(OUTSIDE * total, FEW if e.others else total):
+            break
+        heapq.heappop(widest)
+        e.own = 0.0
+        inner = outermost(e, children)
+        named += sum(x.prose for x in inner) - e.prose
+        for x in inner:
+            heapq.heappush(widest, (-x.prose, id(x), x))
     low, high = SURROUNDINGS_RANGE
-    while True:
-        named, widest = 0, None
-        for e in elements:
-            above = e.parent.score if e.parent else 0.0
-            if e.own < 0:
-                e.score = min(above, max(low, e.own))
-            else:
-                e.score = min(high, above + e.own) if above >= 0 else above
-            if e.own < 0 <= above:
-                named += e.prose
-                if widest is None or e.prose > widest.prose:
-                    widest = e
-        if widest is None or widest.prose * 2 < total:
-            return
-        if total - named >= min(OUTSIDE * total, FEW if widest.others else total):
-            return
-        widest.own = 0.0
+    for e in elements:
+        above = e.parent.score if e.parent else 0.0
+        if e.own < 0:
+            e.score = min(above, max(low, e.own))
+        else:
+            e.score = min(high, above + e.own) if above >= 0 else above
 
 
 def blocks(html: str) -> list[tuple[str, Element, float]]:
@@ -247,8 +263,9 @@ def content_score(text: str, node: Element, links: float) -> float:
 
 
 def tree_distance(a: Element, b: Element) -> int:
+    """Steps from one to the other, FAR at most: beyond that blocks hardly hold together."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:

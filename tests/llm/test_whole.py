@@ -354,6 +354,7 @@ def test_the_cut_decides():
 def test_pages_of_all_kinds(spark):
     long = MENU + "<article>" + "<p>One more paragraph of the long page, as there are many.</p>" * 20_000 + "</article>" + FOOT
     deep = "<div>" * 3000 + "<p>Text at the very bottom of it all, and a sentence too.</p>"
+    assert hx.extract("<form>a b" * 20_000 + f"<article>{ARTICLE}</article>").endswith("\n".join([TITLE, *PARTS]))
     rows = [(1, "u", long, "t", 5, "x"), (2, "u", deep, None, None, None), (2, "u", deep, None, None, None), (3, None, "<<>&#x; <p", "t", 1, "x"), (None, "u", None, "t", 1, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, _0 string")
     got = Counter((r["page_id"], r["n_chars"]) for r in hx.extract_pages(pages).collect())
