@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import warnings
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import retrieval as R
@@ -55,9 +56,9 @@ def markdown_table(df: DataFrame) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(list(r)) for r in rows]])
 
 
-def write_whole(df: DataFrame, path: str, data: bytes) -> None:
+def write_whole(spark: SparkSession, path: str, data: bytes) -> None:
     """One file, in the file system of its path, put in place when it is whole."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     part, whole = jvm.org.apache.hadoop.fs.Path(f"{path}.part"), jvm.org.apache.hadoop.fs.Path(path)
     fs = whole.getFileSystem(conf)
     out = fs.create(part, True)
@@ -72,7 +73,7 @@ def write_whole(df: DataFrame, path: str, data: bytes) -> None:
 def write_document(df: DataFrame, path: str) -> None:
     """A small result as one pretty JSON file."""
     rows = [json.loads(x) for x in df.toJSON().collect()]
-    write_whole(df, path, json.dumps(rows, ensure_ascii=False, indent=2).encode())
+    write_whole(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=2).encode())
 
 
 def write_early(base: DataFrame, path: str, key: str, optional: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, str]:
@@ -98,11 +99,19 @@ def markdown_report(title: str, sections: list[tuple[str, DataFrame | str]]) ->
     return "\n\n".join(parts) + "\n"
 
 
-def write_package(path: str, members: dict[str, str], note: str = "") -> None:
-    """A ZIP archive of files under member names, with a note on how to make them again; put in place when it is whole."""
-    with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_DEFLATED) as z:
+def write_package(path: str, members: dict[str, str], note: str = "", spark: SparkSession | None = None) -> None:
+    """A ZIP archive of the driver's files under member names, with a note on how to make them again.
+
+    Put in place when it is whole; in the file system of its path, where a session is given."""
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         for name in sorted(members):
             z.write(members[name], name)
         if note:
             z.writestr("REPRODUCE.md", note)
+    if spark is not None:
+        write_whole(spark, path, made.getvalue())
+        return
+    with open(f"{path}.part", "wb") as f:
+        f.write(made.getvalue())
     os.replace(f"{path}.part", path)

@@ -187,5 +187,7 @@ def test_reports_and_packages(spark, tmp_path):
     assert report == "# R\n\n## A\n\ntext\n\n## B\n\n_No rows._\n"
     (tmp_path / "x").write_text("1")
     sinks.write_package(str(tmp_path / "p.zip"), {"m/x.json": str(tmp_path / "x")}, "how")
+    sinks.write_package(str(tmp_path / "q.zip"), {"m/x.json": str(tmp_path / "x")}, "how", spark)
+    assert zipfile.ZipFile(tmp_path / "q.zip").namelist() == ["m/x.json", "REPRODUCE.md"]
     with zipfile.ZipFile(tmp_path / "p.zip") as z:
         assert z.namelist() == ["m/x.json", "REPRODUCE.md"] and z.read("REPRODUCE.md") == b"how"
