@@ -39,7 +39,7 @@ from .arrow import batch
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-BOILERPLATE_ELEMENTS = {"nav": -4.0, "footer": -4.0, "aside": -4.0, "menu": -4.0, "dialog": -4.0, "search": -4.0, "form": -3.0, "fieldset": -3.0, "header": -3.0}
+BOILERPLATE_ELEMENTS = {"nav": -4.0, "footer": -4.0, "aside": -4.0, "menu": -4.0, "dialog": -4.0, "search": -4.0, "form": -3.0, "fieldset": -3.0, "header": -3.0, "address": -2.0}
 CONTENT_ELEMENTS = {"article", "main"}
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert",
@@ -57,12 +57,12 @@ PLACES = {"left", "right", "top", "bottom", "inner", "outer", "wrap", "wrapper",
 
 # The classifier's weights, as log-odds of content.
 BIAS, LINKS, LENGTH, AVERAGE_LENGTH = -0.5, -4.0, 0.8, 3.3
-LENGTH_RANGE, SURROUNDINGS_RANGE = (-1.0, 2.0), (-5.0, 2.5)
+LENGTH_RANGE, SURROUNDINGS_RANGE = (-0.8, 2.0), (-5.0, 2.5)
 ROLE, MODIFIER, HIDDEN, ARTICLE, CONTENT_NAME = -4.0, -3.5, -5.0, 2.5, 1.5
-BLOCK_TAGS = {"h1": 2.0, "h2": 0.5, "h3": 0.5, "h4": 0.5, "h5": 0.5, "h6": 0.5, "figcaption": 0.5, "blockquote": 0.5, "pre": 0.5, "p": 0.5, "td": 0.5, "dd": 0.5}
+BLOCK_TAGS = {"h1": 3.0, "li": 1.2, "h2": 0.5, "h3": 0.5, "h4": 0.5, "h5": 0.5, "h6": 0.5, "figcaption": 0.5, "blockquote": 0.5, "pre": 0.5, "p": 0.5, "td": 0.5, "dd": 0.5}
 SENTENCE, NOTICE = 0.7, -4.0
-#: Smoothness: of page neighbours, by their distance in the tree, and of blocks under one parent.
-NEIGHBOURS, SIBLINGS, FAR = 3.0, 0.5, 64
+#: Smoothness: of page neighbours, by their distance in the tree, and of blocks under one parent; the share that is left across the edge of named boilerplate.
+NEIGHBOURS, SIBLINGS, ACROSS, FAR = 4.0, 0.5, 0.4, 64
 #: Prose outside of named boilerplate that a page has at least, as a share; under it, names are those of wrappers.
 OUTSIDE = 0.1
 #: For comments and the like, which may be longer than their article, this many characters are enough.
@@ -288,7 +288,7 @@ def smoothness(nodes: list[Element]) -> list[dict[int, float]]:
             near[j] = near.get(j, 0) + SIBLINGS
         last[parent] = i
         for j, w in near.items():
-            edges[i][j] = edges[j][i] = w
+            edges[i][j] = edges[j][i] = w * (ACROSS if (node.score < 0) != (nodes[j].score < 0) else 1)
     return edges
 
 

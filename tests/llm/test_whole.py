@@ -434,3 +434,26 @@ def test_pipeline_edges(spark, tmp_path):
     whole = Tokenizer.from_file(pk.default_vocabulary())
     tokens = {r["doc_id"]: r["ids"] for r in cp.run(spark, f"{tmp_path}/some").collect()}
     assert all(np.frombuffer(tokens[r[0]], "<u4")[:-1].tolist() == whole.encode(r[1], add_special_tokens=False).ids for r in rows)
+
+
+BRIDGE = [
+    "The council met on Tuesday to discuss the new bridge, which has been planned for over ten years.",
+    "Some members asked for more time. Others said that the work had to begin at once, since the old bridge is no longer safe for lorries.",
+    "It will be built by 2030.",
+]
+BRIDGE_HTML = f"<p>{BRIDGE[0]}</p><p>{BRIDGE[1]}</p><h2>What comes next</h2><p>{BRIDGE[2]}</p><ul><li>A first study</li><li>A call for offers</li></ul>"
+TEMPLATES = {
+    "wordpress": """<body class="home blog logged-in"><div id="page" class="site"><a class="skip-link screen-reader-text" href="#content">Skip to content</a><header id="masthead" class="site-header"><div class="site-branding"><p class="site-title"><a href="/">My Blog</a></p><p class="site-description">Just another site, as they say.</p></div><nav id="site-navigation" class="main-navigation"><ul><li><a href="/">Home</a></li></ul></nav></header><div id="content" class="site-content"><div id="primary" class="content-area"><main id="main" class="site-main"><article id="post-1" class="post type-post"><header class="entry-header"><h1 class="entry-title">New bridge</h1></header><div class="entry-content">%s</div><footer class="entry-footer"><span class="cat-links">Posted in <a href="/c">News</a></span></footer></article><nav class="navigation post-navigation"><a href="/prev">Previous</a></nav><div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts on this</h2><ol class="comment-list"><li class="comment"><article class="comment-body"><p>I do not agree with the council at all, and I said so in the meeting that I went to last week.</p></article></li></ol><div id="respond"><form><p>Your email address will not be published.</p><textarea></textarea></form></div></div></main></div><aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><p>This blog is written by two people who live in the town and like it.</p></section></aside></div><footer class="site-footer"><div class="site-info">Proudly powered by software of some kind.</div></footer></div></body>""",
+    "bootstrap": """<body><div class="navbar navbar-default"><div class="container"><a class="navbar-brand" href="/">Town News</a></div></div><div class="container"><div class="row"><div class="col-md-8"><h1>New bridge</h1>%s</div><div class="col-md-4 sidebar"><div class="panel"><h3>About</h3><p>We are a small paper with a long history, and we write about all that goes on here.</p></div></div></div></div><div class="footer"><p>Copyright 2020 Town News, all rights reserved.</p></div></body>""",
+    "news": """<body><div class="cookie-consent" role="dialog"><p>This site uses cookies. By going on you agree to their use as described in our policy.</p></div><header><div class="topbar"><a href="/login">Log in</a></div></header><div class="breadcrumbs"><a href="/">Home</a> / <a href="/n">News</a></div><div class="story"><h1>New bridge</h1><div class="share-buttons"><a href="#">Share</a></div><div class="story-body">%s</div><div class="advert">Advertisement<p>Get the best price for your car today, it only takes one minute of your time.</p></div></div><div class="recommended"><h3>More stories</h3><p>The mayor speaks about the budget for the coming year and what it holds.</p></div><footer><p>Terms of use and other things that nobody reads but that are here.</p></footer></body>""",
+    "plain": """<html><body><h1>New bridge</h1>%s<hr><address>Webmaster</address></body></html>""",
+    "table": """<body><table width=100%><tr><td colspan=2><a href="/">Home</a> | <a href="/a">Archive</a> | <a href="/c">Contact</a></td></tr><tr><td class="menu"><a href="/1">One</a><br><a href="/2">Two</a></td><td><h1>New bridge</h1>%s</td></tr><tr><td colspan=2>&copy; 2001 The Town</td></tr></table></body>""",
+    "aspnet": """<body><form id="aspnetForm" method="post"><input type="hidden" name="x"><div id="header"><a href="/">Home</a></div><div id="main"><h1>New bridge</h1>%s</div><div id="footer">All rights reserved by the town council.</div></form></body>""",
+    "notice": """<body><div class="alert alert-info">We have changed our opening hours. Please read about it on the page of the town hall.</div><main><h1>New bridge</h1>%s</main></body>""",
+    "newsletter form": """<body><article><h1>New bridge</h1>%s<form class="newsletter"><p>Get our best stories by mail each morning, for free and without any advert.</p><input></form></article></body>""",
+}
+
+
+@pytest.mark.parametrize("kind", TEMPLATES)
+def test_templates(kind):
+    assert hx.extract(TEMPLATES[kind].replace("%s", BRIDGE_HTML)) == "\n".join(["New bridge", *BRIDGE[:2], "What comes next", BRIDGE[2], "A first study", "A call for offers"])
