@@ -211,7 +211,11 @@ def specifics_sql(c: str) -> str:
     return f"list_sort(list_distinct(list_transform(flatten([{', '.join(every)}]), lambda x: {normal})))"
 
 
-@query(f"SELECT doc_id, {specifics_sql('coalesce(text, chr(32))')} AS specifics FROM documents")
+#: Letters outside of ASCII are word characters to Spark's patterns, but not to DuckDB's.
+WORD_TEXT = r"regexp_replace(coalesce(text, ''), '[\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02AF}\x{0370}-\x{1FFF}]', '_', 'g')"
+
+
+@query(f"SELECT doc_id, {specifics_sql(WORD_TEXT)} AS specifics FROM documents")
 def extract_specifics(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.specifics(F.col("text")).alias("specifics"))
 
@@ -691,3 +695,44 @@ def hybrid_retrieval(spark, sf_dir):
     asked = items(spark, sf_dir).join(vectors.select(F.col("row_id").alias("query_id"), F.col("vec").alias("text_vec")), "query_id", "left").withColumn("image_vec", F.slice("text_vec", 1, 16))
     index = A.Index(corpus(spark, sf_dir), text_vectors=vectors, image_vectors=seen)
     return A.retrieve("hybrid", asked, index, 10, pool=20, visual=0.3).withColumn("score", F.round("score", 9))
+
+
+def real_sql(score: str, keep: str) -> str:
+    """Two systems' scored rows as the miners see them: the question, and its first 40 characters, as predictions."""
+    words = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda x: x <> '')"
+    plain = lambda c: f"list_filter(string_split({norm_sql(c)}, ' '), lambda w: w <> '')"
+    return rf"""
+    WITH RECURSIVE q AS ({QA_SQL}),
+    s AS (SELECT qa_id, 'a' AS side, question AS p, answer AS g FROM q UNION ALL SELECT qa_id, 'b', left(question, 40), answer FROM q),
+    w AS (SELECT qa_id, side, {words("p")} AS a, {words("g")} AS b FROM s WHERE coalesce(p, '') <> '' AND coalesce(g, '') <> ''),
+    r AS (SELECT qa_id, side, a, b, 0 AS i, [0 FOR x IN a] AS best FROM w
+          UNION ALL
+          SELECT qa_id, side, a, b, i + 1, [list_max([greatest(best[k], CASE WHEN a[k] = b[i + 1] THEN coalesce(best[k - 1], 0) + 1 ELSE 0 END) FOR k IN range(1, j + 1)]) FOR j IN range(1, len(a) + 1)]
+          FROM r WHERE i < len(b) AND len(a) > 0),
+    ro AS (SELECT qa_id, side, round(CASE WHEN coalesce(best[len(a)], 0) = 0 THEN 0 ELSE 2.0 * best[len(a)] / (len(a) + len(b)) END, 4) AS rouge FROM r WHERE i = len(b) OR len(a) = 0),
+    t AS (SELECT qa_id, side, {plain("p")} AS p, {plain("g")} AS g, {specifics_sql("p")} AS sp, {specifics_sql("g")} AS sg FROM s WHERE coalesce(p, '') <> '' AND coalesce(g, '') <> ''),
+    o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) AS same,
+                 len(list_filter(sp, lambda x: NOT list_contains(sg, x))) AS u, len(list_filter(sp, lambda x: list_contains(sg, x))) AS k FROM t),
+    m AS (SELECT o.qa_id, o.side, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) ELSE 2.0 * same / (len(p) + len(g)) END, 4) AS f, rouge AS r, u, CAST(u > 0 AS INT) AS h, k, len(sg) > 0 AS has
+          FROM o JOIN ro ON ro.qa_id = o.qa_id AND ro.side = o.side),
+    b AS (SELECT x.qa_id AS qa_id, x.f AS f_a, y.f AS f_b, x.r AS r_a, y.r AS r_b, x.u AS u_a, y.u AS u_b, x.h AS h_a, y.h AS h_b, x.k AS k_a, y.k AS k_b, x.has AS has
+          FROM m x JOIN m y ON x.qa_id = y.qa_id AND x.side = 'a' AND y.side = 'b')
+    SELECT qa_id, round({score}, 6) AS mine_score FROM b WHERE {keep} ORDER BY round({score}, 9) DESC, qa_id LIMIT 25"""
+
+
+def real_systems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = answers(spark, sf_dir).select("qa_id", "prediction", "answer")
+    sides = (rows, rows.withColumn("prediction", F.left("prediction", F.lit(40))))
+    return tuple(E.scored(r).withColumn("sbert", F.lit(0.0)).withColumn("contradiction", F.lit(0.0)) for r in sides)
+
+
+@query(real_sql("f_a - f_b + r_a - r_b + 0.25 * (h_b - h_a) + 0.05 * (u_b - u_a)", "f_a > f_b OR r_a > r_b OR h_b > h_a"))
+def mine_scored_improvements(spark, sf_dir):
+    a, b = real_systems(spark, sf_dir)
+    return M.improvements(a, b, 25, "qa_id").select("qa_id", F.round("mine_score", 6).alias("mine_score"))
+
+
+@query(real_sql("f_b - f_a + 0.1 * u_a", "f_b - f_a + 0.1 * u_a > 0"))
+def mine_scored_failures(spark, sf_dir):
+    a, b = real_systems(spark, sf_dir)
+    return M.baseline_failures(b, a, 25, "qa_id").select("qa_id", F.round("mine_score", 6).alias("mine_score"))
