@@ -33,10 +33,10 @@ class Scratch:
         self.spark, self.root = spark, f"{root.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
         _live.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def keep(self, df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
+        """Write ``df`` and return the written table; a task holds ``row_group`` bytes of it."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", row_group).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -18,7 +18,7 @@ import types
 import numpy as np
 
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 300_000
 LONG_WORD = 100
 
 

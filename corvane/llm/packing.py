@@ -33,6 +33,7 @@ from .fast_bpe import encoder
 
 END_ID = 1
 SWEEPS = 20
+ROW_GROUP = 32 << 20
 
 
 def default_vocabulary() -> str:
@@ -66,7 +67,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, with_ids: bool = Fal
                 ids.append(doc)
                 held.append(text.as_py())
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush(ids, held)
                     ids, held, size = [], [], 0
             if ids:
@@ -186,7 +187,7 @@ def pack(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col
     """One row for each piece, with its sequence and its place there, gapless from 0."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    made = scratch.keep(pieces(texts(docs, id_col, text_col), capacity, vocabulary or default_vocabulary(), with_ids), "pieces")
+    made = scratch.keep(pieces(texts(docs, id_col, text_col), capacity, vocabulary or default_vocabulary(), with_ids), "pieces", ROW_GROUP)
     salt = F.expr(f"pmod(xxhash64(doc_id, piece), {parts(spark)})")
     salted = made.withColumn("salt", salt)
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
