@@ -106,3 +106,9 @@ def dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spre
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__share", F.coalesce(F.pmod(F.hash(*spread), F.col("__shares")), F.lit(0))).drop("__shares")
     copies = keys.withColumn("__share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
     return dealt.join(copies.hint("merge"), [*on, "__share"]).drop("__share")
+
+
+def word_count(text: Column) -> Column:
+    """How many runs of bytes other than space and \\t to \\r; null has none. No array of words is built."""
+    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.when(spaced == "", F.lit(0)).otherwise(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
