@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +19,7 @@ from corvane.operators import evaluation as E
 from corvane.operators import mining as M
 from corvane.operators import records as C
 from corvane.operators import retrieval as R
-from corvane.sources import images, readers
+from corvane.sources import images, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +49,29 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("report"))
 
 
+#: Indexes that this program has written, by session and input files.
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> A.Index:
+    """The documents' index, written to the folder that the cluster shares when it is first asked for, and read from there."""
+    file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = load(spark, sf_dir, "documents").agg(F.sort_array(F.collect_set(file)).cast("string").alias("f")).first()["f"]  # a row for each file
+    key = spark.sparkContext.applicationId, hashlib.md5(files.encode()).hexdigest()
+    if key not in INDEXES:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        sinks.write_index(corpus(spark, sf_dir), None, path := f"{root.rstrip('/')}/corvane/index-{'-'.join(key)}", "overwrite")
+        INDEXES[key] = path
+        atexit.register(dropped, spark, path)
+    return A.Index(readers.pair_store(spark, INDEXES[key]), terms=readers.bm25_index(spark, INDEXES[key]))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Py4JError, OSError, AttributeError, TypeError):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -106,7 +134,7 @@ def dense_sql(asked: str) -> str:
 
 @query(BM25_SQL + "SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 6) AS score FROM bm WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return R.bm25_topk(corpus(spark, sf_dir), items(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
+    return R.bm25_topk(None, items(spark, sf_dir), 5, stored_index(spark, sf_dir).terms).withColumn("score", F.round("score", 6))
 
 
 @query(BM25_SQL + "SELECT term, df, round(idf, 9) AS idf FROM idf")
@@ -132,7 +160,7 @@ def dense_topk(spark, sf_dir):
 )
 def rrf_hybrid(spark, sf_dir):
     asked = items(spark, sf_dir)
-    sparse = R.bm25_topk(corpus(spark, sf_dir), asked, 20)
+    sparse = R.bm25_topk(None, asked, 20, stored_index(spark, sf_dir).terms)
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
     wanted = vectors.join(asked.select(F.col("query_id").alias("row_id")), "row_id", "left_semi")
     dense = R.dense_topk(vectors, wanted.select(F.col("row_id").alias("query_id"), "vec"), 20, exclude_self=True)
@@ -150,8 +178,8 @@ def rrf_hybrid(spark, sf_dir):
     FROM ft GROUP BY query_id"""
 )
 def context_pack(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    top = R.attach(R.bm25_topk(docs, items(spark, sf_dir), 5), docs)
+    index = stored_index(spark, sf_dir)
+    top = R.attach(R.bm25_topk(None, items(spark, sf_dir), 5, index.terms), index.corpus)
     flat = F.trim(F.regexp_replace("report", r"(?U)\s+", " "))
     entries = top.select("query_id", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (text) "), flat).alias("entry"))
     return R.pack_context(entries, HEADER, FOOTER, BUDGET)
@@ -693,7 +721,7 @@ def hybrid_retrieval(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vec"))
     seen = vectors.select("row_id", F.slice("vec", 1, 16).alias("vec"))
     asked = items(spark, sf_dir).join(vectors.select(F.col("row_id").alias("query_id"), F.col("vec").alias("text_vec")), "query_id", "left").withColumn("image_vec", F.slice("text_vec", 1, 16))
-    index = A.Index(corpus(spark, sf_dir), text_vectors=vectors, image_vectors=seen)
+    index = replace(stored_index(spark, sf_dir), text_vectors=vectors, image_vectors=seen)
     return A.retrieve("hybrid", asked, index, 10, pool=20, visual=0.3).withColumn("score", F.round("score", 9))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import itertools
 import re
@@ -142,11 +143,20 @@ def pair_store(spark: SparkSession, index_dir: str) -> DataFrame:
         raise FileNotFoundError(f"no pair store in {index_dir}: build the index first") from e
 
 
+def bucketed(spark: SparkSession, path: str, by: list[str], buckets: int) -> DataFrame:
+    """Files of ``sinks.write_bucketed`` as the bucketed table that they are, so that joins by its keys don't shuffle it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    name, keys = f"corvane_{hashlib.md5(f'{path} {buckets} {columns}'.encode()).hexdigest()}", ", ".join(f"`{k}`" for k in by)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def bm25_index(spark: SparkSession, index_dir: str) -> Index:
     """The stored BM25 tables."""
-    part = lambda name: spark.read.parquet(f"{index_dir}/{name}")
-    kept = part("numbers").first()
-    return Index(part("postings"), part("lengths"), part("counts"), kept["documents"], kept["terms"], kept["mean_idf"])
+    kept = spark.read.parquet(f"{index_dir}/numbers").first()
+    part = lambda name, *by: bucketed(spark, f"{index_dir}/{name}", list(by), kept["buckets"])
+    return Index(part("postings", "term", "shard"), part("counts", "term"), part("lengths", "row_id"), kept["documents"], kept["terms"], kept["mean_idf"], kept["shards"])
 
 
 def vectors(spark: SparkSession, index_dir: str, kind: str = "vectors") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import uuid
 import warnings
 import zipfile
 from collections.abc import Callable
@@ -34,16 +35,37 @@ def append_new(df: DataFrame, done: DataFrame | None, key: str, path: str, resum
     write_json_lines(rows, path, "append")
 
 
-def write_index(corpus: DataFrame, vectors: DataFrame | None, index_dir: str, mode: str = "errorifexists", visual: DataFrame | None = None) -> None:
-    """Pairs, BM25 tables, and text and visual vectors, all keyed by row_id."""
+def write_bucketed(df: DataFrame, path: str, by: list[str], buckets: int, mode: str = "errorifexists") -> None:
+    """A table in files of one bucket each, sorted by its keys; ``readers.bucketed`` reads it as such."""
+    name = f"corvane_{uuid.uuid4().hex}"
+    df.repartition(buckets, *by).write.mode(mode).bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
+
+
+def write_index(corpus: DataFrame, vectors: DataFrame | None, index_dir: str, mode: str = "errorifexists", visual: DataFrame | None = None, buckets: int | None = None) -> None:
+    """Pairs, BM25 tables, and text and visual vectors.
+
+    Postings and document counts are bucketed by term, pairs and lengths by row_id, so that
+    joins with them shuffle the other side only. The numbers are written last: an index
+    without them is not whole."""
     if corpus.isEmpty():
         raise ValueError("the corpus is empty")
     spark = corpus.sparkSession
-    for name, table in (("pairs", corpus), ("postings", R.postings(corpus)), ("lengths", R.lengths(corpus)), ("counts", R.document_counts(corpus)), ("vectors", vectors), ("visual", visual)):
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = lambda name: f"{index_dir}/{name}"
+    read = lambda name: spark.read.parquet(place(name))
+    write_bucketed(corpus, place("pairs"), ["row_id"], buckets, mode)
+    counted = R.term_counts(corpus)
+    write_bucketed(R.lengths(read("pairs")), place("lengths"), ["row_id"], buckets, mode)
+    size = read("lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
+    shards, mean = -(-size["n"] // R.SHARD_ROWS), size["terms"] / size["n"] or 1.0
+    write_bucketed(R.blocks(counted, mean, shards), place("postings"), ["term", "shard"], buckets, mode)
+    write_bucketed(read("postings").groupBy("term").agg(F.sum(F.size("rows")).alias("df")), place("counts"), ["term"], buckets, mode)
+    for name, table in (("vectors", vectors), ("visual", visual)):
         if table is not None:
-            table.write.mode(mode).parquet(f"{index_dir}/{name}")
-    kept = R.numbers(spark.read.parquet(f"{index_dir}/lengths"), spark.read.parquet(f"{index_dir}/counts"))
-    spark.createDataFrame([kept], "documents long, terms long, mean_idf double").write.mode(mode).parquet(f"{index_dir}/numbers")
+            table.write.mode(mode).parquet(place(name))
+    kept = R.numbers(read("lengths"), read("counts"))
+    spark.createDataFrame([(*kept, shards, buckets)], "documents long, terms long, mean_idf double, shards int, buckets int").write.mode(mode).parquet(place("numbers"))
 
 
 def markdown_table(df: DataFrame) -> str:

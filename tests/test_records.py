@@ -1,5 +1,6 @@
 """Records, labels, metrics, stored indexes and early persistence."""
 
+import dataclasses
 import json
 import math
 import random
@@ -119,8 +120,7 @@ def test_negative_idf(spark):
     some = {"b": raw["b"], "a": raw["a"]}
     assert sum(some.values()) < 0
     top = R.bm25_topk(corpus, spark.createDataFrame([(1, "a")], "query_id long, text string"), 3)
-    index = R.CorpusIndex(corpus)
-    negative = R.Index(index.postings, index.lengths, index.counts, index.documents, index.terms, -1.0)
+    negative = dataclasses.replace(R.corpus_index(corpus), mean_idf=-1.0)
     top = R.bm25_topk(corpus, spark.createDataFrame([(1, "a")], "query_id long, text string"), 3, negative)
     assert [(r["row_id"], r["score"]) for r in top.orderBy("rank").collect()] == [(40, 0.0), (41, 0.0), (42, 0.0)]
 
