@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -138,14 +139,28 @@ def normalize_specific(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), SPECIFIC_PREFIX, "$1")
 
 
+#: Catalogue numbers that never overlap, as one alternation: a name, then digits at once or behind white space and a hyphen.
+NUMBERED = "|".join(CATALOG_PATTERNS[:3])
+#: All instruments as one alternation; none begins where another ends. The class of first letters saves most tries.
+NAMED = rf"\b(?=[{''.join(sorted({n[0] for n in INSTRUMENTS}))}])(?:{'|'.join(re.escape(n) for n in INSTRUMENTS)})\b"
+
+
 def specifics(text: Column) -> Column:
-    """Sorted distinct catalogue numbers, measurements, redshifts, years and instruments in a text."""
-    text = F.coalesce(text, F.lit(""))
+    """Sorted distinct catalogue numbers, measurements, redshifts, years and instruments in a text.
+
+    A text is put in upper and lower case once, and read by six patterns at most; all but
+    those of names need a digit, and are tried only where there is one."""
     every = lambda where, pattern: F.regexp_extract_all(where, F.lit(pattern), F.lit(0))
-    found = [every(F.upper(text), p) for p in CATALOG_PATTERNS] + [every(text, p) for p in (MEASUREMENT_PATTERN, REDSHIFT_PATTERN, YEAR_PATTERN)]
-    named = [F.when(F.lower(text).rlike(rf"\b{name}\b"), name) for name in INSTRUMENTS]
-    found.append(F.filter(F.array(*named), lambda x: x.isNotNull()))
-    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*found)), normalize_specific)))
+    none = F.array().cast("array<string>")
+
+    def found(x: Column) -> Column:
+        numbers = F.concat(every(x["upper"], NUMBERED), *[every(x["text"], p) for p in (MEASUREMENT_PATTERN, REDSHIFT_PATTERN, YEAR_PATTERN)])
+        # Marks like superscripts are digits to neither the patterns nor this test.
+        return F.concat(F.when(x["text"].rlike("[0-9]"), numbers).otherwise(none), every(x["upper"], CATALOG_PATTERNS[3]), F.array_distinct(every(x["lower"], NAMED)))
+
+    text = F.coalesce(text, F.lit(""))
+    cases = F.array(F.struct(text.alias("text"), F.upper(text).alias("upper"), F.lower(text).alias("lower")))
+    return F.array_sort(F.array_distinct(F.transform(F.transform(cases, found)[0], normalize_specific)))
 
 
 def unsupported(prediction: Column, answer: Column) -> Column:

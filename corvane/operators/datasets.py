@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,20 +71,57 @@ def group_split(rows: DataFrame, group: str, fraction: float, seed: int = 42) ->
     return rows.withColumn("split", F.when(bucket(F.col(group), seed) < fraction, "test").otherwise("train"))
 
 
+FEW, DIGITS = 10_000, 3
+
+
+def smallest(rows: DataFrame, draws: Column, wanted: dict[str, int], stratum: Column | None = None, tie: str | None = None) -> DataFrame:
+    """Of each stratum, the ``wanted`` rows of smallest draws (hexadecimal texts), ties by ``tie``.
+
+    A threshold is found first: rows are counted by the next DIGITS digits of their draws, the
+    digits that hold the last wanted row are kept, and rows that begin with these are counted
+    by the digits after, until about FEW are left. Rows below the threshold are taken as they
+    are, without a sort or a shuffle; only those at it are sorted. The driver sees counts, 16 **
+    DIGITS for each stratum at most."""
+    rows = rows.withColumn("__draw", draws).withColumn("__of", stratum if stratum is not None else F.lit(""))
+    at = {s: ("", n, None) for s, n in wanted.items() if n > 0}  # digits of the threshold, rows wanted at it, how many there are
+    within = lambda s, prefix: (F.col("__of") == s) & F.col("__draw").startswith(prefix)
+    open_ = dict(at)
+    while open_:
+        length = len(next(iter(open_.values()))[0])
+        some = rows.where(reduce(lambda a, b: a | b, [within(s, x[0]) for s, x in open_.items()]))
+        counts: dict[str, list[tuple[str, int]]] = {}
+        for r in some.groupBy("__of", F.substring("__draw", length + 1, DIGITS).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["__of"], []).append((r["d"], r["n"]))
+        for s, (prefix, n, _) in list(open_.items()):
+            for d, m in sorted(counts.get(s, [])):
+                if m >= n:
+                    at[s] = open_[s] = (prefix + d, n, m)
+                    break
+                n -= m
+            else:  # no more rows than wanted
+                at[s] = (prefix + "g", 0, 0)
+            if at[s][2] <= FEW or not d:
+                del open_[s]
+    if not at:
+        return rows.limit(0).drop("__draw", "__of")
+    taken = rows.where(reduce(lambda a, b: a | b, [(F.col("__of") == s) & (F.col("__draw") < prefix) for s, (prefix, _, _) in at.items()]))
+    for s, (prefix, n, _) in at.items():
+        if n:
+            taken = taken.unionByName(rows.where(within(s, prefix)).orderBy("__draw", *([tie] if tie else [])).limit(n))
+    return taken.drop("__draw", "__of")
+
+
 def exact_sample(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows, by hash, in the order of their ids; all, where n is not positive."""
-    return rows if n <= 0 else rows.orderBy(draw(F.col(id_col), seed), id_col).limit(n).orderBy(id_col)
+    return rows if n <= 0 else smallest(rows, draw(F.col(id_col), seed), {"": n}, tie=id_col).orderBy(id_col)
 
 
 def stratified_sample(rows: DataFrame, id_col: str, stratum: str, first: str, n: int, seed: int = 42) -> DataFrame:
     """Half of n from the stratum ``first``, the rest from the others; what one side lacks the other gives."""
-    side = F.col(stratum) == first
-    counts = rows.agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    a = F.least(F.col("a"), F.lit(n // 2))
-    b = F.least(F.col("b"), F.lit(n) - a)
-    quota = counts.select(F.least(F.col("a"), F.lit(n) - b).alias("qa"), b.alias("qb"))
-    nth = F.row_number().over(Window.partitionBy(side).orderBy(draw(F.col(id_col), seed), id_col))
-    return rows.withColumn("nth", nth).crossJoin(F.broadcast(quota)).where(F.col("nth") <= F.when(side, F.col("qa")).otherwise(F.col("qb"))).drop("nth", "qa", "qb")
+    side = F.when(F.col(stratum) == first, "a").when(F.col(stratum) != first, "b")
+    have = {r["s"]: r["n"] for r in rows.groupBy(side.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    b = min(have.get("b", 0), n - min(have.get("a", 0), n // 2))
+    return smallest(rows, draw(F.col(id_col), seed), {"a": min(have.get("a", 0), n - b), "b": b}, side, id_col)
 
 
 def masked_labels(ids: Column, prompt_len: Column, max_length: int) -> Column:

@@ -42,11 +42,15 @@ def scored(rows: DataFrame) -> DataFrame:
     (prediction, answer, ...); rows without either side are left out."""
     both = (F.coalesce("prediction", F.lit("")) != "") & (F.coalesce("answer", F.lit("")) != "")
     p, a = F.col("prediction"), F.col("answer")
-    extra = T.unsupported(p, a)
-    return rows.where(both).select(
-        "*", F.round(T.token_f1(p, a), 4).alias("token_f1"), F.round(rouge_l(p, a), 4).alias("rougeL"), T.exact_match(p, a).alias("em"), T.answer_type(a, True).alias("answer_type"),
-        T.specifics(p).alias("pred_specifics"), T.specifics(a).alias("answer_specifics"), extra.alias("unsupported_specifics"), F.size(extra).alias("unsupported_specific_count"), (F.size(extra) > 0).alias("has_specificity_hallucination"),
-    )
+
+    def compared(x: Column) -> Column:
+        extra = F.array_sort(F.array_except(x["p"], x["a"]))
+        return F.struct(x["p"].alias("pred_specifics"), x["a"].alias("answer_specifics"), extra.alias("unsupported_specifics"))
+
+    # Each text's specifics are computed once for each row, however often they are used.
+    told = F.transform(F.array(F.struct(T.specifics(p).alias("p"), T.specifics(a).alias("a"))), compared)
+    new = [F.round(T.token_f1(p, a), 4).alias("token_f1"), F.round(rouge_l(p, a), 4).alias("rougeL"), T.exact_match(p, a).alias("em"), T.answer_type(a, True).alias("answer_type")]
+    return rows.where(both).select("*", *new, F.inline(told)).select("*", F.size("unsupported_specifics").alias("unsupported_specific_count"), (F.size("unsupported_specifics") > 0).alias("has_specificity_hallucination"))
 
 
 def scored_counts(rows: DataFrame) -> DataFrame:
