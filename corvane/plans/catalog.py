@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -231,6 +231,10 @@ def years(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_years"))
 
 
+def list_sql(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 def specifics_sql(c: str) -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     every = [f"regexp_extract_all(upper({c}), {quoted(p)})" for p in T.CATALOG_PATTERNS] + [f"regexp_extract_all({c}, {quoted(p)})" for p in (T.MEASUREMENT_PATTERN, T.REDSHIFT_PATTERN, T.YEAR_PATTERN)]
@@ -243,9 +247,28 @@ def specifics_sql(c: str) -> str:
 WORD_TEXT = r"regexp_replace(coalesce(text, ''), '[\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02AF}\x{0370}-\x{1FFF}]', '_', 'g')"
 
 
-@query(f"SELECT doc_id, {specifics_sql(WORD_TEXT)} AS specifics FROM documents")
+def told_sql(n: str) -> str:
+    """A sentence of specifics from a number, as ``told`` makes it."""
+    return (
+        f"concat(' NGC ', {n}, ' and Messier-', {n} % 110, ', M ', {n} % 111, ' in ', 1590 + {n} % 450, ', ', {n} % 977, '.5 million light-years off, z=', {n} % 7, '.', {n} % 10, "
+        f"'; GAIA DR', {n} % 4, '.', {n}, ' by ', {list_sql(T.INSTRUMENTS)}[CAST({n} % {len(T.INSTRUMENTS)} AS INTEGER) + 1], ' UGC-', {n}, 'A')"
+    )
+
+
+def told(n: Column) -> Column:
+    part = lambda k: (n % k).cast("string")
+    text = n.cast("string")
+    return F.concat(
+        F.lit(" NGC "), text, F.lit(" and Messier-"), part(110), F.lit(", M "), part(111), F.lit(" in "), (1590 + n % 450).cast("string"), F.lit(", "), part(977), F.lit(".5 million light-years off, z="), part(7), F.lit("."), part(10),
+        F.lit("; GAIA DR"), part(4), F.lit("."), text, F.lit(" by "), T.choose(n, list(T.INSTRUMENTS)), F.lit(" UGC-"), text, F.lit("A"),
+    )
+
+
+@query(f"SELECT doc_id, {specifics_sql(f'concat({WORD_TEXT}, {told_sql("n_chars")})')} AS specifics FROM documents WHERE n_chars IS NOT NULL")
 def extract_specifics(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.specifics(F.col("text")).alias("specifics"))
+    """Of whole texts, each with a sentence behind it that holds catalogue numbers, years, distances and names."""
+    docs = load(spark, sf_dir, "documents").where("n_chars is not null")
+    return docs.select("doc_id", T.specifics(F.concat(F.coalesce("text", F.lit("")), told(F.col("n_chars")))).alias("specifics"))
 
 
 @query("""
@@ -391,9 +414,14 @@ def pad_batch(spark, sf_dir):
     return out.select("vec_id", F.col("input_ids"), as_int("padded_labels").cast("array<bigint>").alias("labels"), as_int("attention_mask").alias("attention_mask"))
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.001 * greatest(0.1, 0.5 * (1 + cos(pi() * least((step - 100) / 900.0, 1.0)))) END, 9) AS lr FROM range(1200) t(step)")
+@query("""
+    WITH t AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) // 10 AS w FROM events), s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS step FROM events)
+    SELECT event_id, step, round(CASE WHEN step < w THEN 0.001 * step / w ELSE 0.001 * greatest(0.1, 0.5 * (1 + cos(pi() * least((step - w) / (0.8 * n - w), 1.0)))) END, 9) AS lr FROM s, t""")
 def lr_schedule(spark, sf_dir):
-    return spark.range(1200).select(F.col("id").alias("step"), F.round(T.warm_up_cosine(F.col("id"), 100, 1000, 0.001), 9).alias("lr"))
+    """The events as a run's steps: a tenth of them warms up, the last fifth stays at the least rate."""
+    steps = C.numbered(load(spark, sf_dir, "events").select("event_id"), "event_id", "step")
+    n = steps.count()
+    return steps.withColumn("lr", F.round(T.warm_up_cosine(F.col("step"), n // 10, 0.8 * n, 0.001), 9))
 
 
 @query("""
@@ -419,7 +447,7 @@ def class_reports(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, CAST(count_if(n_chars > 1000) AS BIGINT) AS long FROM documents GROUP BY lang")
 def split_counts(spark, sf_dir):
-    return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.count_if(F.col("n_chars") > 1000).alias("long"))
+    return C.group_counts(load(spark, sf_dir, "documents"), ["lang"], distinct={"sources": "source"}, where={"long": F.col("n_chars") > 1000})
 
 
 SYSTEMS_SQL = """
@@ -536,10 +564,6 @@ def first_seen(spark, sf_dir):
     return images.first_seen(load(spark, sf_dir, "documents"), "source", "doc_id", "lang", "lang is not null")
 
 
-def list_sql(values: tuple[str, ...]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
 def bucket_sql(id_: str, seed: int) -> str:
     return f"CAST('0x' || substr(md5('{seed}:' || {id_}), 1, 8) AS BIGINT) / 4294967296.0"
 
@@ -708,8 +732,9 @@ def expand_images(spark, sf_dir):
     ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qv AS (SELECT item_id AS query_id, v FROM benchmark JOIN ve ON vec_id = item_id),
     dn AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank
            FROM (SELECT query_id, vec_id AS row_id, list_inner_product(qv.v, ve.v) AS score FROM qv, ve)),
+    mn AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, i) GROUP BY label),
     vi AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank
-           FROM (SELECT query_id, vec_id AS row_id, list_inner_product(qv.v[1:16], ve.v[1:16]) AS score FROM qv, ve)),
+           FROM (SELECT query_id, e.vec_id AS row_id, list_inner_product(qv.v, m) AS score FROM qv, embeddings e JOIN mn USING (label))),
     li AS (SELECT query_id, row_id, rank, 0 AS list_no, 0.7 AS w FROM dn WHERE rank <= 20 UNION ALL SELECT query_id, row_id, rank, 1, 0.7 FROM bm WHERE rank <= 20
            UNION ALL SELECT query_id, row_id, rank, 2, 0.3 FROM vi WHERE rank <= 20),
     fu AS (SELECT query_id, row_id, sum(w / (60 + rank)) AS score, min(list_no * 1000 + rank) AS first FROM li GROUP BY ALL),
@@ -717,21 +742,25 @@ def expand_images(spark, sf_dir):
     SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 9) AS score FROM rk WHERE rank <= 10"""
 )
 def hybrid_retrieval(spark, sf_dir):
-    """Text vectors, BM25 and a second kind of vectors (the first 16 components) in the hybrid mode."""
-    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    seen = vectors.select("row_id", F.slice("vec", 1, 16).alias("vec"))
-    asked = items(spark, sf_dir).join(vectors.select(F.col("row_id").alias("query_id"), F.col("vec").alias("text_vec")), "query_id", "left").withColumn("image_vec", F.slice("text_vec", 1, 16))
+    """Text vectors, BM25 and a second kind of vectors (the mean of each row's label) in the hybrid mode."""
+    own = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+    vectors = own.select("row_id", "vec")
+    means = own.groupBy("label").agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(64)]).alias("vec"))
+    seen = own.select("row_id", "label").join(means, "label").select("row_id", "vec")
+    asked = items(spark, sf_dir).join(vectors.select(F.col("row_id").alias("query_id"), F.col("vec").alias("text_vec")), "query_id", "left").withColumn("image_vec", F.col("text_vec"))
     index = replace(stored_index(spark, sf_dir), text_vectors=vectors, image_vectors=seen)
     return A.retrieve("hybrid", asked, index, 10, pool=20, visual=0.3).withColumn("score", F.round("score", 9))
 
 
 def real_sql(score: str, keep: str) -> str:
-    """Two systems' scored rows as the miners see them: the question, and its first 40 characters, as predictions."""
+    """Two systems' scored rows as the miners see them: the question and the answer before it as predictions, and a sentence of specifics behind each text."""
     words = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda x: x <> '')"
     plain = lambda c: f"list_filter(string_split({norm_sql(c)}, ' '), lambda w: w <> '')"
     return rf"""
     WITH RECURSIVE q AS ({QA_SQL}),
-    s AS (SELECT qa_id, 'a' AS side, question AS p, answer AS g FROM q UNION ALL SELECT qa_id, 'b', left(question, 40), answer FROM q),
+    z AS (SELECT qa_id, question, answer, lag(answer) OVER (PARTITION BY conv_id ORDER BY turn) AS before, turn, conv_id FROM q),
+    s AS (SELECT qa_id, 'a' AS side, concat(question, {told_sql("(conv_id + turn)")}) AS p, concat(answer, {told_sql("conv_id")}) AS g FROM z WHERE before IS NOT NULL
+          UNION ALL SELECT qa_id, 'b', concat(before, {told_sql("(conv_id + turn % 3)")}), concat(answer, {told_sql("conv_id")}) FROM z WHERE before IS NOT NULL),
     w AS (SELECT qa_id, side, {words("p")} AS a, {words("g")} AS b FROM s WHERE coalesce(p, '') <> '' AND coalesce(g, '') <> ''),
     r AS (SELECT qa_id, side, a, b, 0 AS i, [0 FOR x IN a] AS best FROM w
           UNION ALL
@@ -749,8 +778,10 @@ def real_sql(score: str, keep: str) -> str:
 
 
 def real_systems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = answers(spark, sf_dir).select("qa_id", "prediction", "answer")
-    sides = (rows, rows.withColumn("prediction", F.left("prediction", F.lit(40))))
+    c, t = F.col("conv_id"), F.col("turn")
+    rows = answers(spark, sf_dir).withColumn("before", F.lag("answer").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    side = lambda text, n: rows.select("qa_id", F.concat(F.col(text), told(n)).alias("prediction"), F.concat("answer", told(c)).alias("answer"))
+    sides = side("prediction", c + t), side("before", c + t % 3)
     return tuple(E.scored(r).withColumn("sbert", F.lit(0.0)).withColumn("contradiction", F.lit(0.0)) for r in sides)
 
 
