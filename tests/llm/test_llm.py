@@ -147,18 +147,17 @@ def test_decontamination(spark):
 def test_wand_finds_all():
     rnd = random.Random(6)
     voc = [f"v{i}" for i in range(80)]
-    index = dc.Index([(i, " ".join(rnd.choice(voc) for _ in range(rnd.randrange(4, 20)))) for i in range(60)], 5)
+    items = [(i, " ".join(rnd.choice(voc) for _ in range(rnd.randrange(4, 20)))) for i in range(60)]
+    index = dc.Index(items, 5, dc.Totals.of(t for _, t in items), 64)
     for _ in range(200):
-        words = set(rnd.sample(voc, 30))
+        words = {index.number[w] for w in rnd.sample(voc, 30) if w in index.number}
         score = Counter()
         for w in words:
-            for k, x in index.postings.get(w, ()):
+            for k, x in zip(*index.postings(w)[:2], strict=True):
                 score[k] += x
         want = {k for k, x in score.items() if x >= 0.4}
         assert {k for k, _ in index.retrieve(words, 0.4)} == want
-        ids = np.array([index.number.get(w, len(index.number)) for w in words])
-        index.longest = 100
-        assert not want or index.bounds(ids, 1)[0] >= 0.4 - 1e-4
+        assert not want or index.bounds(np.array([*words, len(index.number)]), 1)[0] >= 0.4 - 1e-4
 
 
 def test_minimum_cut():

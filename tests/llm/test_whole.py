@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -43,9 +44,9 @@ def test_three_languages_in_even_parts(spark):
     assert {r["doc_id"] for r in got.collect()} == {r[0] for r in rows} - {1001, 1002} and got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-@pytest.mark.parametrize("shards", [8, 1])
-def test_scores_do_not_depend_on_passes(spark, monkeypatch, shards):
-    monkeypatch.setattr(dc, "SHARDS", shards)
+@pytest.mark.parametrize("held", [16_000_000, 700])
+def test_scores_do_not_depend_on_passes(spark, monkeypatch, held):
+    monkeypatch.setattr(dc, "ITEM_BYTES", held)
     rnd = random.Random(2)
     voc = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rnd.choice(voc[: 5 + i]) for _ in range(rnd.randrange(10, 40)))) for i in range(30)]
@@ -217,6 +218,47 @@ def bm25_shares(items, passage):
     return out
 
 
+def leaks_by_brute_force(docs, items):
+    """Every passage against every item, each group of items by itself."""
+    groups, want = {}, set()
+    for k, text in items:
+        if words := dc.WORD.findall((text or "").lower()):
+            groups.setdefault(max(64, 2 ** int(np.ceil(np.log2(len(words))))), []).append((k, text))
+    for step, own in groups.items():
+        for i, t in docs:
+            words = dc.WORD.findall((t or "").lower())
+            for s in range(0, max(1, len(words) - step), step):
+                passage = words[s : s + 2 * step]
+                shares = bm25_shares(own, set(passage))
+                for k, text in own:
+                    if shares[k] >= 0.5:
+                        overlaps = [len(g & dc.grams(passage, min(5, len(x)))) / len(g) for x in dc.split_item(text) for g in [dc.grams(x, 5)]]
+                        want |= {(i, k)} if min(overlaps) >= 0.5 else set()
+    return want
+
+
+def test_a_long_item_changes_nothing_for_others(spark):
+    rnd = random.Random(11)
+    voc = [f"w{i}" for i in range(3000)]
+    draw = lambda n: " ".join(rnd.choices(voc, k=n))
+    items = [(i, f"{draw(20)}. {draw(8)}") for i in range(60)]
+    long_ = (99, f"{draw(19_980)}. {draw(20)}")
+    q, a = items[0][1].split(". ")
+    docs = [(0, f"{q} {draw(5000)} {a}"), (1, f"{draw(300)} {items[1][1]} {draw(300)}"), (2, draw(2000)), (3, f"{draw(900)} {long_[1]}"), (4, long_[1][: len(long_[1]) // 3])]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [{tuple(r)[:2]: tuple(r)[2:] for r in dc.find_leaks(table, spark.createDataFrame(own, "item_id long, text string")).collect()} for own in (items, [*items, long_])]
+    assert set(got[0]) == {(1, 1)} and {k: v for k, v in got[1].items() if k[1] != 99} == got[0] and {k for k in got[1] if k[1] == 99} == {(3, 99)}
+    assert set(got[1]) == leaks_by_brute_force(docs, [*items, long_])
+    words, spent = draw(200_000).split(), []
+    for own in (items, [*items, long_]):
+        groups = [(i, t, dc.length_group(len(t.split()))) for i, t in own]
+        index = dc.Shards(groups, 5, {g: dc.Totals.of(t for _, t, h in groups if h == g) for g in {g for _, _, g in groups}}, 1000)
+        start = time.process_time()
+        index.leaks(words, 0.5)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 4 * spent[0] + 0.5
+
+
 @pytest.mark.parametrize("at_once", [1, 7, 1000])
 def test_leaks_by_brute_force(spark, at_once):
     rnd = random.Random(7)
@@ -231,17 +273,7 @@ def test_leaks_by_brute_force(spark, at_once):
             words[at:at] = own[: rnd.randrange(len(own) * 4 // 5, len(own) + 1)]
         docs.append((i, " ".join(words)))
     docs += [(100, " ".join(rnd.choice(voc) for _ in range(30_000)) + " " + items[5][1]), (101, None), (101, ""), (0, docs[0][1])]
-    step = max(len(dc.WORD.findall(t)) for _, t in items)
-    want = set()
-    for i, t in docs:
-        words = dc.WORD.findall((t or "").lower())
-        for s in range(0, max(1, len(words) - step), step):
-            passage = words[s : s + 2 * step]
-            shares = bm25_shares(items, set(passage))
-            for k, text in items:
-                overlaps = [len(g & dc.grams(passage, min(5, len(x)))) / len(g) for x in dc.split_item(text) for g in [dc.grams(x, 5)]]
-                if shares[k] >= 0.5 and min(overlaps) >= 0.5:
-                    want.add((i, k))
+    want = leaks_by_brute_force(docs, items)
     schema = "doc_id long, text string, score int, item_id int, leaked int"
     table = spark.createDataFrame([(*r, 1, 2, 3) for r in docs], schema)
     got = dc.find_leaks(table, spark.createDataFrame(items, "item_id long, text string"), items_at_once=at_once)
