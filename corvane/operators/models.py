@@ -43,22 +43,45 @@ def embed_images(rows: DataFrame, load: Callable[[], Callable], image: str = "rg
     return made.withColumn(output, unit(mean_pooled(F.col("__patches")))).drop("__patches")
 
 
-def nli(rows: DataFrame, load: Callable[[], Callable], premise: str = "answer", hypothesis: str = "prediction", labels: tuple[str, str] = ("entailment", "contradiction"), max_chars: int | None = None) -> DataFrame:
+def pair_cut(a: list, b: list, most: int) -> tuple[list, list]:
+    """Both without what is over ``most`` together: the longer one is cut first, of equals the second."""
+    over = max(0, len(a) + len(b) - most)
+    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
+    first = min(over, longer - shorter)
+    rest = over - first
+    cut_a, cut_b = (first, 0) if len(a) > len(b) else (0, first)
+    return a[: max(0, len(a) - cut_a - rest // 2)], b[: max(0, len(b) - cut_b - (rest + 1) // 2)]
+
+
+def nli(rows: DataFrame, load: Callable[[], Callable], premise: str = "answer", hypothesis: str = "prediction", labels: tuple[str, str] = ("entail", "contradict"), max_chars: int | None = None, tokenizer: Callable[[], Callable] | None = None, max_tokens: int = 512) -> DataFrame:
     """Adds nli: P(entailment) - P(contradiction); -1 for an empty prediction.
 
-    The model gives a pair of these, or a dict by label (in any letter case). Texts over
-    ``max_chars`` are cut for the model, which has a longest input."""
+    The model gives a pair of these, a dict by label, or a list of dicts with label and score;
+    a label counts if it holds the given text, in any letter case, and what is missing is 0.
+    A model has a longest input: texts over ``max_chars`` are cut, and pairs over
+    ``max_tokens`` of a ``tokenizer``, which is loaded in the task and has encode and decode."""
 
     def named():
-        model = load()
+        model, words = load(), tokenizer() if tokenizer else None
 
         def pair(p):
+            if isinstance(p, list) and p and isinstance(p[0], dict):
+                p = {x["label"]: x["score"] for x in p}
             if isinstance(p, dict):
-                by = {k.lower(): v for k, v in p.items()}
-                return [float(by[label.lower()]) for label in labels]
+                return [next((float(v) for k, v in p.items() if label in k.lower()), 0.0) for label in labels]
             return list(p)
 
-        return lambda *texts: [pair(p) for p in model(*texts)]
+        def fitted(a, b):
+            x, y = words.encode(a or ""), words.encode(b or "")
+            u, v = pair_cut(x, y, max_tokens)
+            return (a if len(u) == len(x) else words.decode(u)), (b if len(v) == len(y) else words.decode(v))
+
+        def run(premises, hypotheses):
+            if words is not None:
+                premises, hypotheses = map(list, zip(*map(fitted, premises, hypotheses), strict=True))
+            return [pair(p) for p in model(premises, hypotheses)]
+
+        return run
 
     cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(max_chars)) if max_chars else F.col(c)
     given = rows.withColumn("__premise", cut(premise)).withColumn("__hypothesis", cut(hypothesis))
@@ -68,8 +91,9 @@ def nli(rows: DataFrame, load: Callable[[], Callable], premise: str = "answer",
 
 
 def nli_summary(rows: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Mean consistency, and the share of rows that contradict; 0 for no rows."""
-    return rows.groupBy(*by).agg(F.coalesce(F.avg("nli"), F.lit(0.0)).alias("nli_consistency"), F.coalesce(F.avg((F.col("nli") < 0).cast("double")), F.lit(0.0)).alias("contradiction_rate"))
+    """Mean consistency, and the share of rows that contradict, to four places; 0 for no rows."""
+    four = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    return rows.groupBy(*by).agg(four("nli").alias("nli_consistency"), four((F.col("nli") < 0).cast("double")).alias("contradiction_rate"))
 
 
 def rerank(candidates: DataFrame, load: Callable[[], Callable], k: int, query: str = "text", passage: str = "report") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 import io
 import itertools
-import re
 import zipfile
 from collections.abc import Callable
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import first_filled, first_present
@@ -18,9 +18,11 @@ from corvane.operators.datasets import template_questions
 from corvane.operators.records import first_rows, numbered
 from corvane.operators.retrieval import Index
 
-# Names of fields, log format, and the classes with their descriptions.
+# Names of fields and folders, log format, the classes with their descriptions, and FINDINGS.
 PREDICTION_KEYS = ("prediction", "response", "output", "generated_text")
 ANSWER_KEYS = ("answer", "reference", "gold", "ground_truth")
+SHARED_FOLDERS = ("comparison", "full_heldout", "eval_runs")
+KIND_PARTS = (".per_sample", "metrics_full_heldout", "predictions_full_heldout")
 LOG_LINE = r"Step\s+(\d+)\s*/\s*(\d+)\s*\|\s*Loss:\s*([0-9.]+)\s*\|\s*LR:\s*([0-9.eE+\-]+)\s*\|\s*Samples/s:\s*([0-9.]+)"
 CLASSES = (
     ("Disturbed Galaxies", "An irregular galaxy with a distorted, asymmetric shape, often from gravitational interaction."),
@@ -67,14 +69,53 @@ def json_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFr
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: str = PREDICTION, strict: bool = True) -> DataFrame:
-    """JSON lines; blank lines are skipped. A bad line is dropped; if strict, it fails the query, which names its file and text."""
-    if not strict:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line_no, line) of text files, blank lines counted; large files are read in ranges of bytes by several tasks.
+
+    Lines are counted by range first; sums of these counts say at which line of its file a range
+    begins. Within a range, rows come in the order of the file, which the row's number in its
+    task keeps."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    ranges = raw.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    begun = ranges.select("path", "start", (F.col("first") - F.coalesce(before, F.lit(0)) - 1).alias("less"))  # a row for each range
+    line = F.when(F.col("line_no") == 1, F.regexp_replace("value", "^\\uFEFF", "")).otherwise(F.col("value"))
+    return raw.join(begun, ["path", "start"]).select("path", (F.col("at") - F.col("less")).alias("line_no"), "value").select("path", "line_no", line.alias("line"))
+
+
+def first_files(spark: SparkSession, path: str | list[str], lines: int) -> list[str]:
+    """The first files, by path, that together have so many lines that are not blank; later files are not opened."""
+    names, used, have = sorted(spark.read.text(path).inputFiles()), 0, 0
+    while have < lines and used < len(names):
+        more = names[used : 2 * used + 1]
+        have += spark.read.text(more).where(F.trim("value") != "").limit(lines - have).count()
+        used += len(more)
+    return names[:used]
+
+
+def json_lines(spark: SparkSession, path: str | list[str], schema: str = PREDICTION, strict: bool = True, limit: int | None = None) -> DataFrame:
+    """JSON lines; blank lines are skipped. A bad line is dropped; if strict, it fails the query, which names it as path:line.
+
+    With a limit, the first rows by path and line, from as few files as hold them."""
+    if limit is not None:
+        path = first_files(spark, path, limit)
+        if limit <= 0 or not path:
+            return spark.createDataFrame([], schema)
+    if not strict and limit is None:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    read = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    told = F.raise_error(F.concat(F.lit("bad JSON in "), F.col("_metadata.file_path"), F.lit(": "), F.left("_bad", F.lit(200))))
-    columns = [c for c in read.columns if c != "_bad"]
-    return read.select("*", F.when(F.col("_bad").isNotNull(), told).cast("string").alias("_told")).where(F.col("_told").isNull() | F.col(columns[0]).isNull()).select(*columns)
+    lines = numbered_lines(spark, path).where(F.trim("line", F.lit(" \t\r")) != "")
+    if strict and limit is not None:  # a line behind the last wanted one may be bad
+        lines = lines.orderBy("path", "line_no").limit(limit)
+    parsed = F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    read = lines.withColumn("row", parsed).withColumn("bad", F.col("row._bad").isNotNull() | ~F.ltrim("line").startswith("{"))
+    if strict:
+        told = F.raise_error(F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": bad JSON: "), F.left("line", F.lit(200))))
+        read = read.where(F.when(F.col("bad"), told.cast("boolean")).otherwise(F.lit(True)))
+    else:
+        read = read.where(~F.col("bad"))
+    if not strict and limit is not None:
+        read = read.orderBy("path", "line_no").limit(limit)
+    return read.select("row.*").drop("_bad")
 
 
 def with_aliases(rows: DataFrame, blank_counts: bool = False) -> DataFrame:
@@ -187,7 +228,20 @@ def restricted(spark: SparkSession, **options) -> DataFrame:
     return spark.range(1).select(F.raise_error(F.lit("this source needs credentials of its owner")).cast("string").alias("report"))
 
 
-SOURCES: dict[str, Callable[..., DataFrame]] = {"synthetic": synthetic_corpus, "json": json_records, "jsonl": json_lines, "zip": zipped_lines, "log": training_log, "pairs": pair_store, "restricted": restricted}
+class Loader(Protocol):
+    """A caller's own corpus: a DataFrame of at least ``pair_id`` and ``report``; image_path and meta are added where they are missing."""
+
+    def __call__(self, spark: SparkSession, *args, **options) -> DataFrame: ...
+
+
+SOURCES: dict[str, Callable[..., DataFrame]] = {"synthetic": synthetic_corpus, "json": json_records, "jsonl": json_lines, "lines": numbered_lines, "zip": zipped_lines, "log": training_log, "pairs": pair_store, "restricted": restricted}
+
+
+def register_source(name: str, load: Loader) -> None:
+    """A further source for ``open_source`` and ``load_corpus``."""
+    if name in SOURCES:
+        raise ValueError(f"there is a source {name!r} already")
+    SOURCES[name] = load
 
 
 def open_source(spark: SparkSession, name: str, *args, **options) -> DataFrame:
@@ -196,6 +250,19 @@ def open_source(spark: SparkSession, name: str, *args, **options) -> DataFrame:
     return SOURCES[name](spark, *args, **options)
 
 
+def load_corpus(spark: SparkSession, name: str, *args, **options) -> DataFrame:
+    """(row_id, pair_id, image_path, report, meta) of a source, as ``sinks.write_index`` takes it; pair ids are unique; row_id is the source's, or follows its position or else a hash."""
+    rows = open_source(spark, name, *args, **options)
+    if lacking := {"pair_id", "report"} - set(rows.columns):
+        raise ValueError(f"source {name!r} gives no {', '.join(sorted(lacking))}")
+    if "row_id" not in rows.columns:
+        order = F.col("position") if "position" in rows.columns else F.xxhash64("pair_id")
+        rows = rows.join(numbered(rows.select("pair_id", order.alias("__order")), "__order", "row_id").drop("__order"), "pair_id")
+    place = F.col("image_path") if "image_path" in rows.columns else F.lit(None).cast("string")
+    meta = F.col("meta") if "meta" in rows.columns else F.create_map().cast("map<string,string>")
+    return rows.select("row_id", "pair_id", place.alias("image_path"), "report", meta.alias("meta"))
+
+
 BENCHMARKS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -223,7 +290,13 @@ register_benchmark("class_questions", class_questions)
 
 
 def label_of(path: str, forced: str | None = None, embedded: str | None = None, known: tuple[str, ...] = ()) -> str:
-    """A result's label: as forced, as embedded, a known label in the path, the folder, or the file's stem without what says its kind."""
+    """A result's label: as forced, as embedded, a known label in the path, the folder (unless it is one of all results), or the file's stem without what says its kind."""
     parts = [p for p in path.replace("\\", "/").split("/") if p]
-    stem = re.sub(r"(?:[._-](?:per_sample|predictions|scored))+$", "", parts[-1].rsplit(".", 1)[0]) if parts else "unknown"
-    return forced or embedded or next((p for p in reversed(parts) if p in known), None) or (parts[-2] if len(parts) > 1 else stem)
+    if label := forced or embedded or next((p for p in reversed(parts) if p in known), None):
+        return label
+    if len(parts) > 1 and parts[-2] not in SHARED_FOLDERS:
+        return parts[-2]
+    stem = parts[-1].rsplit(".", 1)[0] if parts else ""
+    for kind in KIND_PARTS:
+        stem = stem.replace(kind, "")
+    return stem.strip("_-.") or "artifact"

@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import io
-import json
-import os
 import uuid
 import warnings
-import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators import retrieval as R
+from corvane.sources.whole_files import write_csv, write_json_array, write_package
+
+__all__ = ["append_new", "markdown_report", "markdown_table", "write_bucketed", "write_csv", "write_document", "write_early", "write_index", "write_json_array", "write_json_lines", "write_package"]
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
-
-
 def append_new(df: DataFrame, done: DataFrame | None, key: str, path: str, resume: bool = True, overwrite: bool = False) -> None:
     """Append rows whose key is not written yet; rows with an error count as written. To overwrite and to resume exclude each other."""
     if overwrite and resume and done is not None:
@@ -68,34 +63,22 @@ def write_index(corpus: DataFrame, vectors: DataFrame | None, index_dir: str, mo
     spark.createDataFrame([(*kept, shards, buckets)], "documents long, terms long, mean_idf double, shards int, buckets int").write.mode(mode).parquet(place("numbers"))
 
 
-def markdown_table(df: DataFrame) -> str:
-    """A small result as a table: null is a dash, doubles have four places."""
-    cells = [F.coalesce(F.format_string("%.4f", F.col(c)) if t == "double" else F.col(c).cast("string"), F.lit("-")).alias(c) for c, t in df.dtypes]
-    rows = df.select(*cells).collect()
+def markdown_table(df: DataFrame, most: int = 10_000) -> str:
+    """A small result as a table: null is a dash, doubles have four places. More than ``most`` rows are an error: no page holds them."""
+    text = lambda c, t: F.format_string("%.4f", F.col(f"`{c}`")) if t == "double" else F.col(f"`{c}`").cast("string")
+    flat = lambda x: F.replace(F.regexp_replace(x, r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
+    rows = df.select(*[F.coalesce(flat(text(c, t)), F.lit("-")).alias(c) for c, t in df.dtypes]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no page: write them with write_csv")
     if not rows:
         return "_No rows._"
     line = lambda xs: f"| {' | '.join(xs)} |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(list(r)) for r in rows]])
 
 
-def write_whole(spark: SparkSession, path: str, data: bytes) -> None:
-    """One file, in the file system of its path, put in place when it is whole."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    part, whole = jvm.org.apache.hadoop.fs.Path(f"{path}.part"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = whole.getFileSystem(conf)
-    out = fs.create(part, True)
-    out.write(bytearray(data))
-    out.close()
-    if fs.exists(whole):
-        fs.delete(whole, False)
-    if not fs.rename(part, whole):
-        raise OSError(f"{path} could not be put in place")
-
-
 def write_document(df: DataFrame, path: str) -> None:
-    """A small result as one pretty JSON file."""
-    rows = [json.loads(x) for x in df.toJSON().collect()]
-    write_whole(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=2).encode())
+    """Rows as one indented JSON file, whatever their number."""
+    write_json_array(df, path, pretty=True)
 
 
 def write_early(base: DataFrame, path: str, key: str, optional: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, str]:
@@ -119,21 +102,3 @@ def markdown_report(title: str, sections: list[tuple[str, DataFrame | str]]) ->
     for heading, body in sections:
         parts += [f"## {heading}", body if isinstance(body, str) else markdown_table(body)]
     return "\n\n".join(parts) + "\n"
-
-
-def write_package(path: str, members: dict[str, str], note: str = "", spark: SparkSession | None = None) -> None:
-    """A ZIP archive of the driver's files under member names, with a note on how to make them again.
-
-    Put in place when it is whole; in the file system of its path, where a session is given."""
-    made = io.BytesIO()
-    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
-        for name in sorted(members):
-            z.write(members[name], name)
-        if note:
-            z.writestr("REPRODUCE.md", note)
-    if spark is not None:
-        write_whole(spark, path, made.getvalue())
-        return
-    with open(f"{path}.part", "wb") as f:
-        f.write(made.getvalue())
-    os.replace(f"{path}.part", path)

@@ -17,6 +17,7 @@ from corvane.operators import evaluation as E
 from corvane.operators import mining as M
 from corvane.operators import models as X
 from corvane.operators import records as C
+from corvane.operators import reports as P
 from corvane.operators import retrieval as R
 from corvane.sources import readers, sinks
 
@@ -76,7 +77,7 @@ def test_labels(spark):
     assert list(C.by_label([("a", df), ("b", df)])) == ["a", "b"]
     with pytest.raises(ValueError, match="'a'"):
         C.by_label([("a", df), ("b", df), ("a", df)])
-    assert [C.parse_spec(s) for s in ("x=p/q.jsonl", "p/q=1.jsonl", "p.jsonl")] == [("x", "p/q.jsonl"), (None, "p/q=1.jsonl"), (None, "p.jsonl")]
+    assert [C.parse_spec(s) for s in ("x=p/q.jsonl", "p/q=1.jsonl", "p.jsonl")] == [("x", "p/q.jsonl"), ("p/q", "1.jsonl"), (None, "p.jsonl")]
     assert C.parse_comparisons(["a:b", "c,d"], [], []) == [("a", "b"), ("c", "d")] and C.parse_comparisons(None, ["a", "b"], [("a", "b"), ("a", "c")]) == [("a", "b")]
     with pytest.raises(ValueError, match="TARGET:BASELINE"):
         C.parse_comparisons(["a"], [], [])
@@ -87,10 +88,11 @@ def test_labels(spark):
 
 def test_reports(spark):
     rows = spark.createDataFrame([(1, "i", "qa", "im", "generation_error", "a|b"), (2, "j", "qa", None, "missing_prediction", None)], "`index` int, id string, record_type string, image string, reason string, error string")
-    page = C.skip_report("m", 5, 3, E.reason_counts(rows), rows)
-    assert "- Skipped rows: 2" in page and "| generation_error | 1 |" in page and "a\\|b" in page
+    page = P.skip_report("m", 5, 3, E.reason_counts(rows), rows)
+    assert "2 of 5 rows have no score." in page and "| generation_error | 1 |" in page and "a\\|b" in page
     sheet = spark.createDataFrame([("judge_0001", "a"), ("judge_0001", "b")], "sample_id string, model_label string")
-    assert "Records sampled: 1" in C.rubric(sheet, {"x": "y"}) and "- `x`: y" in C.rubric(sheet, {"x": "y"}) and "a, b" in C.rubric(sheet, {})
+    told = P.rubric(sheet, {"x": "y"})
+    assert "1 records, each answered by 2 systems: a, b." in told and "| x | y |" in told and "None." in P.rubric(sheet, {})
 
 
 def test_stored_index(spark, tmp_path):
