@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.retrieval import Index as Terms
-from corvane.operators.retrieval import attach, bm25_topk, dense_topk, fuse, pack_context
+from corvane.operators.retrieval import RRF, attach, bm25_topk, dense_topk, fuse, pack_context, ranked
 
 MODES = ("no_retrieval", "dense_visual", "sparse_bm25", "hybrid")
 
@@ -59,6 +60,27 @@ class Index:
     terms: Terms | None = field(default=None)
 
 
+@F.udtf(returnType="part int, text string", useArrow=False)
+class Clauses:
+    """The parts of a question between marks that end a sentence or a clause, in order; blank ones don't count."""
+
+    def eval(self, text: str):
+        yield from enumerate(x for x in re.split(r"[.!?,;]+", text or "") if x.strip(" \t\r\n"))
+
+
+def decomposed(questions: DataFrame, parts: type = Clauses) -> DataFrame:
+    """(query_id, part, text) of questions (query_id, text), by a table function of the text: ``Clauses`` or a caller's own."""
+    return questions.select("query_id", "text").lateralJoin(parts(F.col("text").outer()).alias("p")).select("query_id", F.col("p.part").alias("part"), F.col("p.text").alias("text"))
+
+
+def retrieve_parts(questions: DataFrame, index: Index, k: int, pool: int = 20, parts: type = Clauses) -> DataFrame:
+    """(query_id, rank, row_id, score): each part retrieves by BM25, and a question's lists are fused, equal scores by row_id."""
+    asked = decomposed(questions, parts).withColumn("of", F.struct("query_id", "part"))
+    top = bm25_topk(index.corpus, asked.select(F.col("of").alias("query_id"), "text"), pool, index.terms)
+    fused = top.groupBy(F.col("query_id.query_id").alias("query_id"), "row_id").agg(F.sum(1 / (RRF + F.col("rank"))).alias("score"))
+    return ranked(fused, k)
+
+
 def joined_parts(parts: DataFrame) -> DataFrame:
     """One question (query_id, text) from its parts (query_id, part, text), in order, with a space between."""
     ordered = F.array_sort(F.collect_list(F.struct("part", "text")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,17 +98,39 @@ def split_summary(rows: DataFrame, metrics: dict[str, Column], split: str = "rec
     return got.where("whole = 1 or split in ('caption', 'qa')").select(label.alias("split"), "n", *metrics)
 
 
-def occurrence_keys(rows: DataFrame, key: str = "row_key", position: str = "pos") -> DataFrame:
-    """The n-th row of a key gets ("dup", n) behind it, from the second on."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(position))
-    return rows.withColumn("nth", n).withColumn("unique_key", F.when(F.col("nth") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.array(F.lit("dup"), F.col("nth").cast("string")))))
+def key_digest(key: Column) -> Column:
+    """128 bits of a key of texts, each with its length before it, so that no two keys of different texts are written alike; null for null."""
+    part = lambda x: F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+    return F.unhex(F.md5(F.array_join(F.transform(key, part), "")))
+
+
+def occurrence_keys(rows: DataFrame, key: str = "row_key", position: str = "pos", ranges: int = 64) -> DataFrame:
+    """The n-th row of a key gets ("dup", n) behind it, from the second on; nth counts in the order of a numeric position.
+
+    Rows are numbered by two levels: within a key's rows of one range of positions, behind its
+    rows in the ranges before. So the rows of a hot key are dealt over ``ranges`` tasks, and
+    keys are shuffled as digests; their texts stay with their rows. A null key is one key.
+    Rows of one position are numbered in any order."""
+    at = F.col(position).cast("double")
+    cuts = rows.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)]).alias("c")).first()["c"] or []
+    where = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < at)) if cuts else F.lit(0)
+    placed = rows.withColumn("__key", key_digest(F.col(key))).withColumn("__range", F.coalesce(where, F.lit(-1)))
+    sizes = placed.groupBy("__key", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    more = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).where("__before > 0").select(F.col("__key").alias("__k"), F.col("__range").alias("__r"), "__before")
+    within = F.row_number().over(Window.partitionBy("__key", "__range").orderBy(position))
+    own = placed.withColumn("__within", within)
+    joined = own.join(more, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__r")), "left")
+    numbered = joined.withColumn("nth", (F.col("__within") + F.coalesce("__before", F.lit(0))).cast("int")).drop("__key", "__range", "__within", "__k", "__r", "__before")
+    return numbered.withColumn("unique_key", F.when(F.col("nth") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.array(F.lit("dup"), F.col("nth").cast("string")))))
 
 
 def paired(a: DataFrame, b: DataFrame, key: str = "unique_key") -> DataFrame:
-    """Inner join of two systems' long metric rows (key, record_type, metric, value)."""
-    left = a.select(key, "metric", F.col("record_type").alias("type_a"), F.col("value").alias("baseline"))
-    right = b.select(key, "metric", F.col("record_type").alias("type_b"), F.col("value").alias("target"))
-    return left.join(right, [key, "metric"]).where("baseline is not null and target is not null")
+    """Inner join of two systems' long metric rows (key, record_type, metric, value), by the keys' digests."""
+    join_key = key_digest(F.col(key)) if dict(a.dtypes)[key].startswith("array") else F.unhex(F.md5(F.col(key).cast("string")))
+    left = a.where("value is not null").select(join_key.alias("key_digest"), "metric", F.col("record_type").alias("type_a"), F.col("value").alias("baseline"))
+    right = b.where("value is not null").select(join_key.alias("key_digest"), "metric", F.col("record_type").alias("type_b"), F.col("value").alias("target"))
+    return left.join(right, ["key_digest", "metric"])
 
 
 def by_split(pairs: DataFrame) -> DataFrame:
@@ -127,49 +146,46 @@ def paired_delta(pairs: DataFrame) -> DataFrame:
     return got.select("*", direction.alias("direction"), F.coalesce(better, F.lit(False)).alias("favors_target"))
 
 
-def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42, key: str = "unique_key", block_rows: int = 50_000, most_blocks: int = 4096) -> DataFrame:
-    """Percentile intervals of the mean difference by paired resampling.
-
-    A group (split and metric) is cut into blocks by hash. How many of a resample's draws
-    fall into each block is multinomial in the blocks' sizes: halves of the blocks share
-    draws by binomials seeded by the half, down to the task's own block, so tasks agree
-    without a table and each makes only as many of these as the blocks' number has binary
-    digits. So a resample is one of the whole group, and a task holds one block's
-    differences, about ``block_rows`` or, over ``most_blocks`` blocks, that share of the group."""
-    rows = by_split(pairs).select("split", "metric", key, (F.col("target") - F.col("baseline")).alias("diff"))
-    means = rows.groupBy("split", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("diff"))
-    wanted = F.least(F.ceil(F.col("n") / block_rows), F.lit(most_blocks))
-    dealt = rows.join(F.broadcast(means.select("split", "metric", wanted.alias("blocks"))), ["split", "metric"])  # a row for each split and metric
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
-    sizes: dict[tuple[str, str], dict[int, int]] = {}
-    for r in dealt.groupBy("split", "metric", "block").agg(F.count(F.lit(1)).alias("n")).collect():  # at most most_blocks for each split and metric
-        sizes.setdefault((r["split"], r["metric"]), {})[r["block"]] = r["n"]
-    held = pairs.sparkSession.sparkContext.broadcast(sizes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        split, metric, block = pdf["split"].iloc[0], pdf["metric"].iloc[0], int(pdf["block"].iloc[0])
-        diffs = pdf.assign(k=pdf[key].map(tuple)).sort_values("k")["diff"].to_numpy()
-        own = held.value[split, metric]
-        blocks = sorted(own)
-        n, group = np.array([own[b] for b in blocks]), [seed, zlib.crc32(f"{split}\0{metric}".encode())]
-        inside, at = np.random.default_rng([*group, block + 1]), blocks.index(block)
-        lo, hi, draws = 0, len(blocks), np.full(resamples, n.sum())
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            left = np.random.default_rng([*group, 0, lo, hi]).binomial(draws, n[lo:mid].sum() / n[lo:hi].sum())
-            lo, hi, draws = (lo, mid, left) if at < mid else (mid, hi, draws - left)
-        step, sums = max(1, 4_000_000 // max(1, len(diffs))), np.zeros(resamples)
-        for i in range(0, resamples, step):
-            part = draws[i : i + step]
-            got = np.append(diffs[inside.integers(0, len(diffs), part.sum(), np.int32 if len(diffs) < 2**31 else np.int64)], 0.0)
-            ends = np.cumsum(part)
-            sums[i : i + step] = np.where(part > 0, np.add.reduceat(got, ends - part), 0.0)
-        return pd.DataFrame({"split": split, "metric": metric, "resample": np.arange(resamples), "total": sums})
-
-    made = dealt.groupBy("split", "metric", "block").applyInPandas(run, "split string, metric string, resample int, total double")
-    drawn = made.groupBy("split", "metric", "resample").agg(F.sum("total").alias("total")).join(F.broadcast(means), ["split", "metric"])
-    ends = [F.percentile(F.col("total") / F.col("n"), F.lit(x)).alias(name) for x, name in (((1 - level) / 2, "ci_low"), ((1 + level) / 2, "ci_high"))]
-    found = drawn.groupBy("split", "metric").agg(*ends)
+#: P(X <= n) of X Poisson with mean 1, for n = 0, 1, ..., 7; what is above is 8.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
+#: Factors of the draws, one for each round of mixing.
+FACTORS = (48_271, 1_583_458_089, 784_588_716)
+PRIME = 2**31 - 1
+
+
+def with_draws(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds w to rows (block, resample): how often the resample takes the block, Poisson with mean 1.
+
+    A draw is a counter's value, in integers that any engine can repeat: block and resample are
+    mixed by multiplications modulo the prime 2 ** 31 - 1, with shifts between them."""
+    made = rows.withColumn("__m", (F.col("block") * 1_103_515_245 + F.col("resample") * 1_664_525 + F.lit(seed * 69_069 + 12_345).cast("long")) % PRIME)
+    for factor in FACTORS:
+        made = made.withColumn("__m", F.col("__m").bitwiseXOR(F.shiftright("__m", 15)) % PRIME * factor % PRIME)
+    out = F.lit(8)
+    for n, p in reversed(list(enumerate(POISSON))):
+        out = F.when(F.col("__m") < int(p * PRIME), n).otherwise(out)
+    return made.withColumn("w", out).drop("__m")
+
+
+def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42, blocks: int = 500, key: str = "key_digest") -> DataFrame:
+    """Percentile intervals of the mean difference by paired resampling, in blocks of rows.
+
+    Rows are dealt to ``blocks`` blocks by the digest of their key, whatever the size of a
+    group (split and metric), and summed there, before any shuffle. A resample takes each block
+    a Poisson number of times and is the mean of what it took; with few rows nearly every row
+    is a block of its own, with many the variance of the blocks' sums stands for that of the
+    rows. Draws are hashes of block and resample: no generator, no state, the same on any
+    number of tasks. A task holds some resamples of a group, and the groups' sums are at most
+    ``blocks`` rows each."""
+    rows = by_split(pairs).select("split", "metric", F.pmod(F.conv(F.hex(F.substring(F.col(key), 1, 4)), 16, 10).cast("long"), F.lit(blocks)).alias("block"), (F.col("target") - F.col("baseline")).alias("diff"))
+    sums = rows.groupBy("split", "metric", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("diff").alias("total"))
+    each = sums.repartition("split", "metric", "block").withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    taken = with_draws(each, seed).where("w > 0")
+    means = taken.groupBy("split", "metric", "resample").agg((F.sum(F.col("w") * F.col("total")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    ends = [F.percentile("mean", F.lit(x)).alias(name) for x, name in (((1 - level) / 2, "ci_low"), ((1 + level) / 2, "ci_high"))]
+    found = means.groupBy("split", "metric").agg(*ends)
     out = paired_delta(pairs).join(F.broadcast(found), ["split", "metric"])  # a row for each split and metric
     return out.withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 

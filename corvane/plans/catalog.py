@@ -365,9 +365,27 @@ def paired_delta(spark, sf_dir):
     return got.withColumns({c: F.round(c, 6) for c in ("baseline_mean", "target_mean", "diff")})
 
 
-@query()
+def mixed_sql(rounds: int = 3) -> str:
+    """The draws of ``evaluation.with_draws``, round by round, over rows (block, resample)."""
+    out = f"(block * 1103515245 + resample * 1664525 + {42 * 69_069 + 12_345}) % {E.PRIME}"
+    steps = [f"m0 AS (SELECT *, {out} AS m FROM r)"] + [f"m{i + 1} AS (SELECT * REPLACE (xor(m, m >> 15) % {E.PRIME} * {f} % {E.PRIME} AS m) FROM m{i})" for i, f in enumerate(E.FACTORS)]
+    return ", ".join(steps) + f", d AS (SELECT *, CASE {' '.join(f'WHEN m < {int(p * E.PRIME)} THEN {n}' for n, p in enumerate(E.POISSON))} ELSE 8 END AS w FROM m{len(E.FACTORS)})"
+
+
+@query(f"""
+    WITH p AS ({PAIR_SQL.replace("SELECT CASE", "SELECT e.event_id, CASE")}), s AS (SELECT unnest(['overall', kind]) AS split, * FROM p),
+    b AS (SELECT split, metric, CAST('0x' || left(md5('2:id' || length(CAST(event_id AS VARCHAR)) || ':' || event_id), 8) AS BIGINT) % 500 AS block, count(*) AS n, sum(target - baseline) AS total FROM s GROUP BY ALL),
+    r AS (SELECT b.*, resample FROM b, range(10000) t(resample)), {mixed_sql()},
+    t AS (SELECT split, metric, resample, sum(w * total) / sum(w * n) AS mean FROM d WHERE w > 0 GROUP BY ALL),
+    c AS (SELECT split, metric, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM t GROUP BY ALL)
+    SELECT split, metric, count(*) AS n, round(avg(baseline), 6) AS baseline_mean, round(avg(target), 6) AS target_mean, round(avg(target - baseline), 6) AS diff,
+           CASE metric WHEN 'rougeL' THEN 'higher' ELSE 'lower' END AS direction,
+           CASE metric WHEN 'rougeL' THEN avg(target - baseline) > 0 ELSE avg(target - baseline) < 0 END AS favors_target,
+           round(any_value(ci_low), 6) AS ci_low, round(any_value(ci_high), 6) AS ci_high, any_value(ci_low) > 0 OR any_value(ci_high) < 0 AS ci_excludes_zero
+    FROM s JOIN c USING (split, metric) GROUP BY split, metric""")
 def bootstrap_ci(spark, sf_dir):
-    return E.bootstrap_ci(pairs(spark, sf_dir))
+    got = E.bootstrap_ci(pairs(spark, sf_dir))
+    return got.withColumns({c: F.round(c, 6) for c in ("baseline_mean", "target_mean", "diff", "ci_low", "ci_high")})
 
 
 @query("""
@@ -795,3 +813,24 @@ def mine_scored_improvements(spark, sf_dir):
 def mine_scored_failures(spark, sf_dir):
     a, b = real_systems(spark, sf_dir)
     return M.baseline_failures(b, a, 25, "qa_id").select("qa_id", F.round("mine_score", 6).alias("mine_score"))
+
+
+PARTS_SQL = r"""
+    parts AS (SELECT item_id * 1000 + nth - 1 AS item_id, part AS text FROM (SELECT item_id, unnest(a) AS part, generate_subscripts(a, 1) AS nth FROM (
+        SELECT item_id, list_filter(regexp_split_to_array(text, '[.!?,;]+'), lambda x: trim(x, concat(' ', chr(9), chr(10), chr(13))) <> '') AS a FROM benchmark))),
+"""
+
+
+@query(f"WITH {PARTS_SQL.strip().rstrip(',')} SELECT item_id // 1000 AS query_id, CAST(item_id % 1000 AS INTEGER) AS part, text FROM parts")
+def question_parts(spark, sf_dir):
+    return A.decomposed(items(spark, sf_dir))
+
+
+@query(
+    BM25_SQL.replace("benchmark", "parts").replace("WITH tok", f"WITH {PARTS_SQL} tok").rstrip() + """,
+    fu AS (SELECT query_id // 1000 AS query_id, row_id, sum(1.0 / (60 + rank)) AS score FROM bm WHERE rank <= 20 GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM fu)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, round(score, 9) AS score FROM rk WHERE rank <= 10"""
+)
+def decomposed_retrieval(spark, sf_dir):
+    return A.retrieve_parts(items(spark, sf_dir), stored_index(spark, sf_dir), 10).withColumn("score", F.round("score", 9))

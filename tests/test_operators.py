@@ -144,14 +144,14 @@ def test_bootstrap_in_blocks(spark):
     rows = [(["id", str(i)], "qa", "rougeL", float(i % 7)) for i in range(400)]
     base = spark.createDataFrame(rows, "unique_key array<string>, record_type string, metric string, value double")
     pairs = E.paired(base, base.withColumn("value", F.col("value") * 1.5))
-    one_, many = ({r["split"]: r for r in E.bootstrap_ci(pairs, 2000, block_rows=b).collect()} for b in (50_000, 30))
+    one_, many = ({r["split"]: r for r in E.bootstrap_ci(pairs, 2000, blocks=b).collect()} for b in (100_000, 150))
     diffs = [0.5 * (i % 7) for i in range(400)]
     mean = sum(diffs) / 400
     half = 1.96 * (sum((d - mean) ** 2 for d in diffs) / 400) ** 0.5 / 20
     for got in (one_["overall"], many["overall"], many["qa"]):
         assert (got["n"], got["ci_excludes_zero"]) == (400, True) and got["diff"] == pytest.approx(mean)
-        assert got["ci_low"] == pytest.approx(mean - half, abs=0.02) and got["ci_high"] == pytest.approx(mean + half, abs=0.02)
-    assert many == {r["split"]: r for r in E.bootstrap_ci(pairs, 2000, block_rows=30).collect()}
+        assert got["ci_low"] == pytest.approx(mean - half, abs=half / 4) and got["ci_high"] == pytest.approx(mean + half, abs=half / 4)
+    assert many == {r["split"]: r for r in E.bootstrap_ci(pairs.repartition(7), 2000, blocks=150).collect()}
     assert E.bootstrap_ci(pairs.limit(0), 10).count() == 0
 
 
