@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import io
-import itertools
-import zipfile
 from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +13,7 @@ from corvane.functions.text import first_filled, first_present
 from corvane.operators.datasets import template_questions
 from corvane.operators.records import first_rows, numbered
 from corvane.operators.retrieval import Index
+from corvane.sources.archives import zipped_lines
 
 # Names of fields and folders, log format, the classes with their descriptions, and FINDINGS.
 PREDICTION_KEYS = ("prediction", "response", "output", "generated_text")
@@ -127,23 +124,6 @@ def with_aliases(rows: DataFrame, blank_counts: bool = False) -> DataFrame:
     return rows.select(*keep, *[have(v).alias(k) for k, v in named.items()])
 
 
-def zipped_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", exclude: str = "comparison/") -> DataFrame:
-    """(archive, member, line_no, line) of the text members of ZIP archives, by member name."""
-
-    def run(batches):
-        for pdf in batches:
-            for archive, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if n.endswith(suffix) and not n.startswith(exclude)):
-                        with z.open(name) as f:
-                            lines = ((i, x.rstrip("\r\n")) for i, x in enumerate(io.TextIOWrapper(f, "utf-8-sig"), 1) if x.strip())
-                            while part := list(itertools.islice(lines, 10_000)):
-                                yield pd.DataFrame({"archive": archive, "member": name, "line_no": [i for i, _ in part], "line": [x for _, x in part]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, member string, line_no long, line string")
-
-
 def files_by_suffix(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(path, length) of all files below a folder, in order; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
