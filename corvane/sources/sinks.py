@@ -30,10 +30,11 @@ def append_new(df: DataFrame, done: DataFrame | None, key: str, path: str, resum
     write_json_lines(rows, path, "append")
 
 
-def write_bucketed(df: DataFrame, path: str, by: list[str], buckets: int, mode: str = "errorifexists") -> None:
-    """A table in files of one bucket each, sorted by its keys; ``readers.bucketed`` reads it as such."""
+def write_bucketed(df: DataFrame, path: str, by: list[str], buckets: int, mode: str = "errorifexists", dealt: bool = False) -> None:
+    """A table in files of one bucket each, sorted by its keys; ``readers.bucketed`` reads it as such. ``dealt``: the rows are in these buckets already."""
     name = f"corvane_{uuid.uuid4().hex}"
-    df.repartition(buckets, *by).write.mode(mode).bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    rows = df if dealt else df.repartition(buckets, *by)
+    rows.write.mode(mode).bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
 
 
@@ -50,11 +51,10 @@ def write_index(corpus: DataFrame, vectors: DataFrame | None, index_dir: str, mo
     place = lambda name: f"{index_dir}/{name}"
     read = lambda name: spark.read.parquet(place(name))
     write_bucketed(corpus, place("pairs"), ["row_id"], buckets, mode)
-    counted = R.term_counts(corpus)
     write_bucketed(R.lengths(read("pairs")), place("lengths"), ["row_id"], buckets, mode)
     size = read("lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
     shards, mean = -(-size["n"] // R.SHARD_ROWS), size["terms"] / size["n"] or 1.0
-    write_bucketed(R.blocks(counted, mean, shards), place("postings"), ["term", "shard"], buckets, mode)
+    write_bucketed(R.blocks(read("pairs"), mean, shards, buckets), place("postings"), ["term", "shard"], buckets, mode, dealt=True)
     write_bucketed(read("postings").groupBy("term").agg(F.sum(F.size("rows")).alias("df")), place("counts"), ["term"], buckets, mode)
     for name, table in (("vectors", vectors), ("visual", visual)):
         if table is not None:
