@@ -21,7 +21,6 @@ from corvane.llm import packing as pk
 from corvane.llm import substring_dedup as sub
 from corvane.llm import suffix_dedup as suf
 from corvane.llm import voronoi_topk as vt
-from corvane.operators import evaluation as E
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,15 +76,6 @@ def test_vectors_of_several_lengths(spark):
     assert {tuple(r) for r in vt.topk_join(df, query_filter="vec_id % 25 = 0", pivots=8).collect()} == want
 
 
-def test_judged_samples_are_in_all_systems(spark):
-    make = lambda ids: spark.createDataFrame([(i, f"p{i}") for i in ids], "k long, prediction string")
-    systems = {"a": make([1, 2, 3, 4]), "b": make([2, 3, 4, 5]), "c": make([4, 2, 9])}
-    samples = spark.createDataFrame([(i,) for i in range(1, 6)], "k long")
-    got = E.judge_sheet(samples, systems, "k", F.col("k")).collect()
-    assert {(r["k"], r["sample_id"], r["model_label"]) for r in got} == {(k, s, m) for k, s in ((2, "judge_0001"), (4, "judge_0002")) for m in "abc"}
-    assert {r["k"] for r in E.in_all(samples, systems, "k").collect()} == {2, 4}
-
-
 def repeated_ids(seed, n=90, words=60, sep=" "):
     """Rows of which many share an id, with equal and with different texts."""
     rnd = random.Random(seed)
