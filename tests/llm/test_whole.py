@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from corvane.llm import common
