@@ -815,6 +815,21 @@ def mine_scored_failures(spark, sf_dir):
     return M.baseline_failures(b, a, 25, "qa_id").select("qa_id", F.round("mine_score", 6).alias("mine_score"))
 
 
+@query(real_sql("f_a - f_b + 0.5 * (k_a - k_b)", "has AND (k_a > k_b OR f_a > f_b)"))
+def mine_scored_better_supported(spark, sf_dir):
+    return M.better_supported(*real_systems(spark, sf_dir), 25, "qa_id").select("qa_id", F.round("mine_score", 6).alias("mine_score"))
+
+
+@query(real_sql("u_a - u_b", "u_a > u_b"))
+def mine_scored_safer_baselines(spark, sf_dir):
+    return M.safer_baselines(*real_systems(spark, sf_dir), 25, "qa_id").select("qa_id", F.round("mine_score", 6).alias("mine_score"))
+
+
+@query(real_sql("u_a + f_a", "h_a = 1"))
+def mine_scored_hallucinations(spark, sf_dir):
+    return M.hallucinations(real_systems(spark, sf_dir)[0], 25, "qa_id").select("qa_id", F.round("mine_score", 6).alias("mine_score"))
+
+
 PARTS_SQL = r"""
     parts AS (SELECT item_id * 1000 + nth - 1 AS item_id, part AS text FROM (SELECT item_id, unnest(a) AS part, generate_subscripts(a, 1) AS nth FROM (
         SELECT item_id, list_filter(regexp_split_to_array(text, '[.!?,;]+'), lambda x: trim(x, concat(' ', chr(9), chr(10), chr(13))) <> '') AS a FROM benchmark))),
