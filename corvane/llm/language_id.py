@@ -17,7 +17,9 @@ that many is no language, and the models would not fit.
 
 Text that is null or has no letter gives ``und`` with score 0, as does everything where
 nothing was learned. Rows without an id teach nothing, and are labelled only where columns are
-kept that tell them apart; repeated rows are labelled each. Other columns are ignored.
+kept that tell them apart; repeated rows are labelled each. Languages of equal shares are tied:
+the one whose name is smaller goes first. Very long texts are read in pieces, as a whole. An
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
