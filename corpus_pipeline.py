@@ -1,4 +1,13 @@
-"""A training corpus from raw documents: five stages, each on all that the one before kept."""
+"""A training corpus from raw documents: five stages, each on all that the one before kept.
+
+Null text and text without letters go in the first stage; text of which no line is left goes in
+the second. Very long texts are treated whole in every stage. Rows without an id take part in
+the language stage, by their text, and pass the next three unchanged; packing, whose rows name
+text by its id, leaves them out. Rows that repeat id and text have the same fate, those that
+repeat an id with other text are told apart by it, up to decontamination, which drops all rows
+of an id of which one leaks. Columns beyond those of documents stay up to the last stage. Of
+equal texts the smallest id stays. Empty tables give an empty result; so does an empty stage.
+"""
 
 from __future__ import annotations
 
