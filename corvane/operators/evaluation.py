@@ -126,9 +126,9 @@ def occurrence_keys(rows: DataFrame, key: str = "row_key", position: str = "pos"
 
 
 def paired(a: DataFrame, b: DataFrame, key: str = "unique_key") -> DataFrame:
-    """Inner join of two systems' long metric rows (key, record_type, metric, value), by the keys' digests."""
+    """Inner join of two systems' long metric rows (key, record_type, metric, value), by the keys' digests; where nothing asks for the keys, only digests are shuffled."""
     join_key = key_digest(F.col(key)) if dict(a.dtypes)[key].startswith("array") else F.unhex(F.md5(F.col(key).cast("string")))
-    left = a.where("value is not null").select(join_key.alias("key_digest"), "metric", F.col("record_type").alias("type_a"), F.col("value").alias("baseline"))
+    left = a.where("value is not null").select(join_key.alias("key_digest"), key, "metric", F.col("record_type").alias("type_a"), F.col("value").alias("baseline"))
     right = b.where("value is not null").select(join_key.alias("key_digest"), "metric", F.col("record_type").alias("type_b"), F.col("value").alias("target"))
     return left.join(right, ["key_digest", "metric"])
 
@@ -169,7 +169,7 @@ def with_draws(rows: DataFrame, seed: int) -> DataFrame:
     return made.withColumn("w", out).drop("__m")
 
 
-def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42, blocks: int = 500, key: str = "key_digest") -> DataFrame:
+def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42, blocks: int = 500) -> DataFrame:
     """Percentile intervals of the mean difference by paired resampling, in blocks of rows.
 
     Rows are dealt to ``blocks`` blocks by the digest of their key, whatever the size of a
@@ -179,7 +179,7 @@ def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, level: float = 0.95,
     rows. Draws are hashes of block and resample: no generator, no state, the same on any
     number of tasks. A task holds some resamples of a group, and the groups' sums are at most
     ``blocks`` rows each."""
-    rows = by_split(pairs).select("split", "metric", F.pmod(F.conv(F.hex(F.substring(F.col(key), 1, 4)), 16, 10).cast("long"), F.lit(blocks)).alias("block"), (F.col("target") - F.col("baseline")).alias("diff"))
+    rows = by_split(pairs).select("split", "metric", F.pmod(F.conv(F.hex(F.substring("key_digest", 1, 4)), 16, 10).cast("long"), F.lit(blocks)).alias("block"), (F.col("target") - F.col("baseline")).alias("diff"))
     sums = rows.groupBy("split", "metric", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("diff").alias("total"))
     each = sums.repartition("split", "metric", "block").withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
     taken = with_draws(each, seed).where("w > 0")

@@ -39,7 +39,7 @@ def test_metric_values(spark):
     sides = [df.withColumn("record_type", F.lit("qa")) for df in (C.metric_values(rows, ["k"]), other)]
     d = {(r["split"], r["metric"]): r for r in E.paired_delta(E.paired(*sides, key="k")).collect()}
     assert d["overall", "specificity_halluc"]["direction"] == "lower" and d["overall", "specificity_halluc"]["favors_target"]
-    ci = {(r["split"], r["metric"]): r for r in E.bootstrap_ci(E.paired(*sides, key="k").withColumn("k", F.array(F.col("k").cast("string"))), 50, key="k").collect()}
+    ci = {(r["split"], r["metric"]): r for r in E.bootstrap_ci(E.paired(*sides, key="k"), 50).collect()}
     assert ci["qa", "specificity_halluc"]["favors_target"] and {"baseline_mean", "target_mean", "ci_low"} <= set(ci["qa", "specificity_halluc"].asDict())
 
 

@@ -64,8 +64,10 @@ def test_pairs_meet_by_digest(spark):
     one = spark.createDataFrame(rows, "unique_key array<string>, record_type string, metric string, value double")
     got = E.paired(one, one.withColumn("value", F.col("value") * 10))
     assert sorted((r["baseline"], r["target"]) for r in got.collect()) == [(float(i), 10.0 * i) for i in range(8)]
-    exchanges = [x for x in plan_of(got).splitlines() if "Exchange hashpartitioning" in x]
-    assert all("unique_key" not in x for x in exchanges)
+    assert sorted(map(str, (r["unique_key"] for r in got.collect()))) == sorted(str(k) for k, *_ in rows)
+    below = E.paired_delta(got)._jdf.queryExecution().executedPlan().toString().split("Join", 1)[1]
+    scans = [x for x in below.splitlines() if "Exchange hashpartitioning" in x]
+    assert scans and all("unique_key" not in x for x in scans)
 
 
 def test_draws_are_poisson_and_independent(spark):
