@@ -384,6 +384,26 @@ def test_pages_of_all_kinds(spark):
     assert hx.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_vectors_of_an_id_that_crowds_the_bound(spark):
+    """More rows of the query's own id reach its bound than are asked for: others are still found, in far cells too."""
+    rng = np.random.default_rng(5)
+    vectors = [(0, (np.array([3.0, 0, 0]) + rng.normal(size=3) / 100).tolist()) for _ in range(20)] + [(i, rng.normal(size=3).tolist()) for i in range(1, 41)]
+    q = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in vectors]
+    want = Counter()
+    for v in {tuple(v) for i, v in q if i == 0}:
+        best = sorted((-int(np.array(v) @ x), j) for j, x in q if j)[:5]
+        want += Counter((0, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in vt.topk_join(df, pivots=30).collect()) == want
+
+
+def test_regions_of_cells():
+    """A query's copies are as many as regions, not as cells."""
+    assert vt.regions_of(np.array([3, 0, 4, 9, 25, 1]), 10) == [([0, 2], 0, 1), ([3], 1, 1), ([4], 2, 3), ([5], 5, 1)]
+    assert vt.regions_of(np.zeros(3, np.int64), 10) == []
+    assert len(vt.regions_of(np.full(1024, 585), 12_500)) == 49
+
+
 def test_vectors_of_repeated_ids_and_huge_components(spark):
     rng = np.random.default_rng(4)
     vectors = [(i % 150, rng.normal(size=5).tolist()) for i in range(200)]
