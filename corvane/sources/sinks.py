@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.operators import retrieval as R
 from corvane.sources.whole_files import write_csv, write_json_array, write_package
 
-__all__ = ["append_new", "markdown_report", "markdown_table", "write_bucketed", "write_csv", "write_document", "write_early", "write_index", "write_json_array", "write_json_lines", "write_package"]
+__all__ = ["append_new", "markdown_report", "markdown_table", "write_bucketed", "write_csv", "write_document", "write_early", "write_index", "write_json_array", "write_json_lines", "write_package", "write_rows_index"]
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -63,6 +63,18 @@ def write_index(corpus: DataFrame, vectors: DataFrame | None, index_dir: str, mo
     spark.createDataFrame([(*kept, shards, buckets)], "documents long, terms long, mean_idf double, shards int, buckets int").write.mode(mode).parquet(place("numbers"))
 
 
+def write_rows_index(corpus: DataFrame, index_dir: str, mode: str = "errorifexists") -> None:
+    """An index for many questions at once: counted rows, document counts and the numbers. Nothing but counts is shuffled."""
+    if corpus.isEmpty():
+        raise ValueError("the corpus is empty")
+    spark = corpus.sparkSession
+    read = lambda name: spark.read.parquet(f"{index_dir}/{name}")
+    R.counted(corpus).write.mode(mode).parquet(f"{index_dir}/rows")
+    R.row_counts(read("rows")).write.mode(mode).parquet(f"{index_dir}/counts")
+    kept = R.numbers(read("rows"), read("counts"))
+    spark.createDataFrame([kept], "documents long, terms long, mean_idf double").write.mode(mode).parquet(f"{index_dir}/numbers")
+
+
 def markdown_table(df: DataFrame, most: int = 10_000) -> str:
     """A small result as a table: null is a dash, doubles have four places. More than ``most`` rows are an error: no page holds them."""
     text = lambda c, t: F.format_string("%.4f", F.col(f"`{c}`")) if t == "double" else F.col(f"`{c}`").cast("string")
