@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import give_back
 from .common import texts
 
 WORD = re.compile(r"[^\W_]+")
@@ -268,6 +269,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
                     rows += [(doc, *x) for x in found if min(x[2:]) >= overlap]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            index = None
+            give_back()
 
         found = own.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

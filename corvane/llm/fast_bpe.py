@@ -165,6 +165,10 @@ class Encoder:
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
 
+    def forget(self) -> None:
+        """Words and tails; the vocabulary stays."""
+        self.known, self.tails = Known(), {"": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
             self.known = Known()
@@ -176,7 +180,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python process and vocabulary, so that tasks share what is known."""
+    """One for each Python process and vocabulary, as it takes a while to read; each task forgets the words that it met."""
     box = sys.modules.setdefault("corvane_kept", types.ModuleType("corvane_kept")).__dict__
     if path not in box:
         box[path] = Encoder(path)

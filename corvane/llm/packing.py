@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import batch, longs
+from .arrow import batch, give_back, longs
 from .common import Scratch, parts, texts
 from .fast_bpe import encoder
 
@@ -72,6 +72,8 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, with_ids: bool = Fal
                     ids, held, size = [], [], 0
             if ids:
                 yield flush(ids, held)
+        tokens.forget()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

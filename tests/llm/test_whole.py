@@ -372,6 +372,23 @@ def test_the_cut_decides():
     assert alone[at] and not cut[at]
 
 
+def test_packing_leaves_no_words_in_its_worker(spark):
+    """Python workers live on: what a task met must not stay beside the next step's memory."""
+    import sys
+
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k}" for k in range(50))) for i in range(40)], "doc_id long, text string")
+    assert pk.pieces(docs.repartition(2), 64, pk.default_vocabulary()).count() >= 40
+
+    def held(batches):
+        list(batches)
+        yield pa.record_batch([pa.array([len(x.known) for x in sys.modules["corvane_kept"].__dict__.values() if hasattr(x, "known")] if "corvane_kept" in sys.modules else [], pa.int64())], ["n"])
+
+    got = [r["n"] for r in spark.range(4).repartition(4).mapInArrow(held, "n long").collect()]
+    assert max(got, default=1) == 1  # the empty word
+
+
 def test_pages_of_all_kinds(spark):
     long = MENU + "<article>" + "<p>One more paragraph of the long page, as there are many.</p>" * 20_000 + "</article>" + FOOT
     deep = "<div>" * 3000 + "<p>Text at the very bottom of it all, and a sentence too.</p>"
